@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, minhash, quality, tokencount, toxicity, urls
+from . import bpe, decontam, langid, minhash, quality, substring, tokencount, toxicity, urls
 from .common import table
 
 #: Paths of vocabulary files; parameters of the operators, and installed on every machine.
@@ -20,6 +20,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.with_two_words(table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -44,5 +48,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash, op4_bpe, op5_toxicity, op6_decontamination, op7_quality, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash, op3_substring, op4_bpe, op5_toxicity, op6_decontamination, op7_quality, op9_language_id, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_url_filter": urls.ORACLE}
