@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, minhash, quality, substring, tokencount, toxicity, urls
+from . import bpe, decontam, langid, minhash, quality, substring, tokenbin, tokencount, toxicity, urls
 from .common import table
 
 #: Paths of vocabulary files; parameters of the operators, and installed on every machine.
@@ -40,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash, op3_substring, op4_bpe, op5_toxicity, op6_decontamination, op7_quality, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash, op3_substring, op4_bpe, op5_toxicity, op6_decontamination, op7_quality, op8_token_files, op9_language_id, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_url_filter": urls.ORACLE}
