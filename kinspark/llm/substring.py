@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import id_and_text, stored
 from .fmindex import FMIndex
-from .minhash import Words, rolled
+from .wordhash import mix, rolled, word_hashes
 
 HOT = 50_000
 #: Segments in a shard, about.
@@ -45,6 +45,10 @@ SHARD = 60_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
+def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
+    return [batch.column(x).to_pylist() for x in names]
+
+
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -53,11 +57,18 @@ def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np
     """First window, number of windows and anchor of each segment."""
     if len(hashes) < window:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    grams = rolled(hashes, gram)
     span = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1) + np.arange(len(grams) - span + 1)
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-    return starts, np.diff(np.append(starts, len(at))), grams[at[starts]]
+    low = np.uint64((1 << span.bit_length()) - 1)
+    # The low bits give way to the place, which tells runs of equal hashes apart; the anchor is the rest.
+    least = rolled(hashes, gram)
+    least = (least & ~low) | (np.arange(len(least), dtype=np.uint64) & low)
+    held = 1
+    while held < span:
+        step = min(held, span - held)
+        least = np.minimum(least[:-step], least[step:])
+        held += step
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
+    return starts, np.diff(np.append(starts, len(least))), least[starts] & ~low
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -65,10 +76,9 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                found = [segments(words.hashes(split(x)), window, gram) for x in batch.column("text").to_pylist()]
+            for batch in slices(whole, "text", 1 << 20):
+                found = [segments(x, window, gram) for x in word_hashes(batch.column("text"))]
                 ends = pa.array(np.cumsum([0, *(len(s) for s, _, _ in found)]), pa.int32())
                 flat = lambda k, t: np.concatenate([np.empty(0, t), *(x[k].astype(t) for x in found)])
                 yield pa.RecordBatch.from_pydict(
@@ -84,10 +94,10 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return found.select("doc_id", "row_key", F.inline(F.arrays_zip("anchors", "starts"))).withColumnsRenamed({"anchors": "anchor", "starts": "start"})
 
 
-def own_segments(text: str, chosen: dict[int, bool], window: int, gram: int, words: Words) -> Iterator[tuple[int, int, int, int, bytes]]:
+def own_segments(text: str, hashes: np.ndarray, chosen: dict[int, bool], window: int, gram: int) -> Iterator[tuple[int, int, int, int, bytes]]:
     """First window, number of windows, anchor, key and bytes of the chosen segments; hot ones window by window."""
     own = split(text)
-    for start, n, anchor in zip(*(x.tolist() for x in segments(words.hashes(own), window, gram))):
+    for start, n, anchor in zip(*(x.tolist() for x in segments(hashes, window, gram))):
         if start in chosen:
             for s, k in [(i, 1) for i in range(start, start + n)] if chosen[start] else [(start, n)]:
                 raw = b" ".join(own[s : s + k + window - 1])
@@ -100,12 +110,12 @@ def to_shards(chosen: DataFrame, shards: int, window: int, gram: int) -> DataFra
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 merged: dict[int, list] = {}
-                for doc, text, starts, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "hot"))):
-                    for _, _, anchor, key, raw in own_segments(text, dict(zip(starts, hot)), window, gram, words):
+                hashes = word_hashes(batch.column("text"))
+                for doc, text, own, starts, hot in zip(*columns(batch, "doc_id", "text"), hashes, *columns(batch, "starts", "hot")):
+                    for _, _, anchor, key, raw in own_segments(text, own, dict(zip(starts, hot)), window, gram):
                         seen = merged.get(key)
                         if seen is None:
                             merged[key] = [anchor, raw, doc, doc]
@@ -117,7 +127,7 @@ def to_shards(chosen: DataFrame, shards: int, window: int, gram: int) -> DataFra
                 numbers = np.array([x[0] for x in rows], np.uint64)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "shard": pa.array((numbers % np.uint64(shards)).astype(np.int32)),
+                        "shard": pa.array((mix(numbers) % np.uint64(shards)).astype(np.int32)),
                         "anchor": pa.array(numbers.view(np.int64)),
                         "key": pa.array(np.array(list(merged), np.uint64).view(np.int64)),
                         "segment": pa.array([x[1] for x in rows], pa.binary()),
@@ -178,12 +188,11 @@ def occurrences(chosen: DataFrame, window: int, gram: int) -> DataFrame:
     pairs = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 found = []
-                for text, starts, hot in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "hot"))):
-                    got = own_segments(text, dict(zip(starts, hot)), window, gram, words)
+                for text, own, starts, hot in zip(*columns(batch, "text"), word_hashes(batch.column("text")), *columns(batch, "starts", "hot")):
+                    got = own_segments(text, own, dict(zip(starts, hot)), window, gram)
                     found.append([{"key": key - (key >> 63 << 64), "start": s, "n": n} for s, n, _, key, _ in got])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "found": pa.array(found, pairs)})
 
