@@ -23,6 +23,7 @@ linked and keep themselves. Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,56 +33,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import LOWER_BYTES, id_and_text, stored
+from .common import id_and_text, stored
 from .components import components
+from .wordhash import PRIME, mix, rolled, word_hashes
 
 PERMUTATIONS, ROWS = 64, 4
-BLOCK = 256
-CACHE_WORDS = 400_000
+#: Bounds of a block in the second round, and of the matrix that compares two of them.
+BLOCK, BLOCK_SHINGLES, MATRIX_BYTES = 2048, 2 << 20, 64 << 20
 #: Similarity as a ratio of whole numbers.
 SIMILAR = (80, 100)
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * MIX1
-    x = (x ^ (x >> np.uint64(27))) * MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-class Words(dict):
-    """word -> 64-bit hash, remembered within a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words."""
-    n = len(hashes) - size + 1
-    out = np.full(n, size, np.uint64)
-    for j in range(size):
-        out = out * PRIME + hashes[j : j + n]
-    return mix(out)
-
-
-def shingle_set(text: str | None, size: int, words: Words) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    own = (text or "").encode().translate(LOWER_BYTES).split()
-    if not own:
-        return np.empty(0, np.uint64)
-    return np.unique(rolled(words.hashes(own), min(size, len(own))))
+def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's words."""
+    return np.unique(rolled(hashes, min(size, len(hashes)))) if len(hashes) else hashes
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -105,10 +73,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                sets = [shingle_set(x, shingle, words) for x in batch.column("text").to_pylist()]
+                sets = [shingle_set(x, shingle) for x in word_hashes(batch.column("text"), lower=True)]
                 full = [s for s in sets if len(s)]
                 keys = iter(band_keys(full).view(np.int64) if full else [])
                 bands = [next(keys) if len(s) else [] for s in sets]
@@ -130,10 +97,9 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                sets = [shingle_set(x, shingle, words).tobytes() for x in batch.column("text").to_pylist()]
+            for batch in slices(whole, "text", 1 << 20):
+                sets = [shingle_set(x, shingle).tobytes() for x in word_hashes(batch.column("text"), lower=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
 
     return source.mapInArrow(run, f"doc_id {kind}, shingles binary")
@@ -168,10 +134,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def cross_links(table: pa.Table) -> pa.Table:
-    """Confirmed links between components within one pair of blocks: a spanning forest of them."""
-    ids, comp, side = (table.column(c).to_pylist() for c in ("rep", "comp", "side"))
+    """Confirmed links between components within one pair of blocks: a spanning forest of them.
+
+    One row of a byte matrix for each shingle tells which members have it. The rows of a
+    member's shingles add up to its intersections with all others at once.
+    """
+    ids, comp = table.column("rep").to_pylist(), table.column("comp").to_pylist()
+    side = table.column("side").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    size = np.array([len(x) for x in sets], np.int64)
+    _, row, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(sets)), size)
+    # A shingle that only one member has adds to no intersection.
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[row]
+    shared = number >= 0
+    ends = np.concatenate(([0], np.cumsum(np.bincount(member[shared], minlength=len(sets)))))
+    number, member = number[shared], member[shared]
     root = {c: c for c in comp}
 
     def top(c):
@@ -180,15 +158,26 @@ def cross_links(table: pa.Table) -> pa.Table:
             c = root[c]
         return c
 
+    # A link between components has an end outside the largest of them.
+    largest = Counter(comp).most_common(1)[0][0]
+    asked = [i for i in range(len(ids)) if comp[i] != largest]
+    within = len(set(side.tolist())) < 2
+    columns = max(1, MATRIX_BYTES // max(1, int((times > 1).sum())))
     out = []
-    within = len(set(side)) < 2
-    for n, i in enumerate(order):
-        for j in order[n + 1 :]:
-            if SIMILAR[1] * len(sets[i]) < SIMILAR[0] * len(sets[j]):
-                break  # sizes only grow from here
-            if (within or side[i] != side[j]) and top(comp[i]) != top(comp[j]) and similar(sets[i], sets[j]):
-                out.append((ids[i], ids[j]))
-                root[top(comp[i])] = top(comp[j])
+    for start in range(0, len(ids), columns):
+        stop = min(start + columns, len(ids))
+        matrix = np.zeros((int((times > 1).sum()), stop - start), np.uint8)
+        here = slice(ends[start], ends[stop])
+        matrix[number[here], member[here] - start] = 1
+        for i in asked:
+            both = matrix[number[ends[i] : ends[i + 1]]].sum(0, dtype=np.int64)
+            near = SIMILAR[1] * both >= SIMILAR[0] * (size[i] + size[start:stop] - both)
+            if not within:
+                near &= side[start:stop] != side[i]
+            for j in (np.flatnonzero(near) + start).tolist():
+                if top(comp[i]) != top(comp[j]):
+                    out.append((ids[i], ids[j]))
+                    root[top(comp[i])] = top(comp[j])
     kind = table.schema.field("rep").type
     return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
 
@@ -196,12 +185,12 @@ def cross_links(table: pa.Table) -> pa.Table:
 def second_round(buckets: DataFrame, roots: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
     """Links that the first round left: between members of a bucket that are in different components."""
     own = buckets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    own = own.select("key", "rep", "first", F.coalesce("root", "rep").alias("comp"))
+    own = own.select("key", "rep", "n", "first", F.coalesce("root", "rep").alias("comp"))
     # The bucket's first member has met all others already.
     others = own.where("rep != first")
-    counts = others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
-    # Equal buckets, of several bands, are compared once.
-    left = counts.where("lo != hi").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    counts = others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    left = counts.where("lo != hi").select("key", blocks.alias("blocks"))
     rows = others.join(left, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")
     rows = rows.select("key", "rep", "comp", "block", mate)
@@ -241,3 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def with_two_words(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, shingle=2)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs``, with all columns, without the documents that are near duplicates of a smaller doc_id's component."""
+    dropped = near_duplicates(docs, shingle).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
