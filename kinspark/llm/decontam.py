@@ -190,3 +190,18 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs``, with all columns, without those that hold a window of an item; a filter for each block of items, no shuffle."""
+    for items in blocks(benchmark.select("item_id", "text"), block_bytes):
+        shipped = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            autos = [automaton(shipped.value, size)]
+            for batch in batches:
+                clean = [scan(text, autos)[1] is None for text in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
