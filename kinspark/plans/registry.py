@@ -2,5 +2,751 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import SMALL, THRESHOLDS
+from ..functions import similarity as S
+from ..functions import text as X
+from ..operators import decide as D
+from ..operators import index as I
+from ..operators import learn as L
+from ..operators import metrics as M
+from ..operators import pairs as PR
+from ..operators import profile as PF
+from ..operators import retrieve as R
+from ..sources import fixtures as FX
+from ..sources import tables as T
+from . import oracle as O
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+TH = 0.8
+
+
+def query(sql: str | None = None, chain: bool = True):
+    """Registers a function under its name; ``sql`` goes on after the chain of common tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = O.CHAIN + sql if chain else sql
+        return f
+
+    return add
+
+
+def texts(spark, sf_dir) -> DataFrame:
+    return FX.documents(spark, sf_dir).select("doc_id", X.blank(F.col("text")).alias("text"))
+
+
+def index(spark, sf_dir) -> R.Index:
+    return R.Index(FX.views(spark, sf_dir).where("src > 1"), SMALL)
+
+
+def entities(spark, sf_dir) -> DataFrame:
+    return FX.records(spark, sf_dir).where("src = 1").select(F.col("entity_id").alias("s1_id"), "country")
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    return index(spark, sf_dir).candidates(FX.views(spark, sf_dir).where("src = 1"))
+
+
+def decorated(spark, sf_dir) -> DataFrame:
+    """Pairs with the views of both sides and a closed-form probability ``p``, which needs no trained model."""
+    v = FX.views(spark, sf_dir)
+    pairs = PR.decorated(PR.context(candidates(spark, sf_dir), SMALL), v)
+    s = PR.structural()
+    p = F.round(0.5 * F.col("score_ratio") + 0.25 * s["nm_len_ratio"] + 0.25 * s["ad_tok_ratio"], 6)
+    return pairs.withColumn("p", p)
+
+
+def closed(spark, sf_dir) -> DataFrame:
+    return PR.labelled(decorated(spark, sf_dir), FX.truth(spark, sf_dir))
+
+
+def long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# ---------------------------------------------------------------- normalising
+
+
+@query(f"SELECT doc_id, {O.fold('text')} AS folded FROM documents", chain=False)
+def norm_fold(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", X.fold(F.col("text")).alias("folded"))
+
+
+@query(f"SELECT doc_id, {O.punct('text')} AS normal FROM documents", chain=False)
+def norm_punct(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", X.punct_norm(F.col("text")).alias("normal"))
+
+
+@query(f"SELECT doc_id, {O.alnum('text')} AS letters FROM documents", chain=False)
+def norm_alnum(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", X.alnum(F.col("text")).alias("letters"))
+
+
+@query("SELECT entity_id, src, country, name, address FROM records")
+def records_view(spark, sf_dir):
+    return FX.records(spark, sf_dir).drop("evidence")
+
+
+@query("SELECT entity_id, array_to_string(names, ' ') AS name_tokens, array_to_string(kept, ' ') AS core FROM listed")
+def norm_name_core(spark, sf_dir):
+    names = X.name_tokens(F.col("nm"))
+    return FX.views(spark, sf_dir).select("entity_id", X.joined(names).alias("name_tokens"), X.joined(X.core_tokens(names)).alias("core"))
+
+
+@query("SELECT entity_id, adn FROM views")
+def norm_addr_tokens(spark, sf_dir):
+    return FX.views(spark, sf_dir).select("entity_id", "adn")
+
+
+@query("SELECT entity_id, nms, ads FROM views")
+def norm_sorted_tokens(spark, sf_dir):
+    return FX.views(spark, sf_dir).select("entity_id", "nms", "ads")
+
+
+DIGITS = f"list_sort(list_distinct(regexp_extract_all({O.punct('text')}, '[0-9]+')))"
+
+
+@query(f"SELECT doc_id, array_to_string({DIGITS}, ' ') AS num FROM documents", chain=False)
+def norm_digits(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", X.joined(X.digit_runs(X.punct_norm(F.col("text")))).alias("num"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({DIGITS}, lambda x: length(x) >= 5), ' ') AS zip FROM documents", chain=False)
+def norm_zip(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", X.joined(X.long_runs(X.digit_runs(X.punct_norm(F.col("text"))))).alias("zip"))
+
+
+@query("SELECT entity_id, nlen, alen, ntn, nta, indic, (name = '')::BIGINT AS name_empty FROM views")
+def norm_scalars(spark, sf_dir):
+    df = FX.views(spark, sf_dir).select("entity_id", "nlen", "alen", "ntn", "nta", "indic", (F.col("nm") == "").alias("name_empty"))
+    return long(df, "indic", "name_empty")
+
+
+SCRIPT = r"CASE WHEN name = '' THEN 'empty' WHEN regexp_matches(name, '[\x{0900}-\x{0DFF}]') THEN 'indic' ELSE 'latin' END"
+
+
+@query(f"SELECT entity_id, {SCRIPT} AS script FROM records")
+def script_of(spark, sf_dir):
+    return FX.records(spark, sf_dir).select("entity_id", X.script_of(F.col("name")).alias("script"))
+
+
+@query("SELECT entity_id, unnest(range(1, greatest(length(name) - 2, 1) + 1)) AS place, substr(name, place, 3) AS gram FROM records WHERE name <> ''")
+def char_ngrams(spark, sf_dir):
+    grams = F.posexplode(X.char_ngrams(F.col("name"))).alias("p", "gram")
+    return FX.records(spark, sf_dir).select("entity_id", grams).select("entity_id", (F.col("p") + 1).cast("long").alias("place"), "gram")
+
+
+@query(f"SELECT entity_id, {O.alnum('name')} || '|' || {O.alnum('address')} || '|' || country AS key FROM records")
+def duplicate_key(spark, sf_dir):
+    return FX.records(spark, sf_dir).select("entity_id", X.duplicate_key(F.col("name"), F.col("address"), F.col("country")).alias("key"))
+
+
+@query("SELECT entity_id, src, country, name, address, nm, ad, nmc, adn, nms, ads, num, zip, nlen, alen, ntn, nta, indic FROM views")
+def normalized_views(spark, sf_dir):
+    return long(FX.views(spark, sf_dir), "indic")
+
+
+# ---------------------------------------------------------------- index
+
+
+@query("SELECT src, country, entity_id, field::BIGINT AS field, token FROM tokens WHERE src > 1")
+def index_tokens(spark, sf_dir):
+    return long(index(spark, sf_dir).tokens, "field")
+
+
+@query("SELECT src, country, n FROM sizes")
+def index_block_n(spark, sf_dir):
+    return index(spark, sf_dir).sizes
+
+
+@query("SELECT src, country, token, df FROM freq")
+def index_df(spark, sf_dir):
+    return index(spark, sf_dir).frequency
+
+
+@query("SELECT src, country, token, df, n, round(idf, 6) AS idf FROM idfs")
+def index_idf(spark, sf_dir):
+    return index(spark, sf_dir).weights.withColumn("idf", F.round("idf", 6))
+
+
+@query("SELECT src, country, token, tgt_id, round(w, 6) AS w FROM postings")
+def index_postings(spark, sf_dir):
+    return index(spark, sf_dir).postings.withColumn("w", F.round("w", 6))
+
+
+@query("SELECT src, country, entity_id, mindf, n_name, n_addr FROM rarest")
+def index_mindf(spark, sf_dir):
+    return index(spark, sf_dir).rarest
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query("SELECT s1_id, src, country, field::BIGINT AS field, token, df, pos, before FROM prefix")
+def query_prefix(spark, sf_dir):
+    i = index(spark, sf_dir)
+    df = R.prefix(R.ranked_tokens(FX.views(spark, sf_dir).where("src = 1"), i.weights, SMALL), SMALL)
+    return long(df.select("s1_id", "src", "country", "field", "token", "df", "pos", "before"), "field", "pos")
+
+
+@query("SELECT s1_id, src, country, field::BIGINT AS field, token, round(v, 6) AS v FROM queries")
+def query_weights(spark, sf_dir):
+    df = index(spark, sf_dir).queries(FX.views(spark, sf_dir).where("src = 1"))
+    return long(df.select("s1_id", "src", "country", "field", "token", F.round("v", 6).alias("v")), "field")
+
+
+@query("SELECT s1_id, src, country, tgt_id, score FROM scores")
+def retrieve_scores(spark, sf_dir):
+    return index(spark, sf_dir).scores(FX.views(spark, sf_dir).where("src = 1"))
+
+
+@query("SELECT s1_id, src, country, tgt_id, score, rank FROM candidates")
+def retrieve_topk(spark, sf_dir):
+    return long(candidates(spark, sf_dir), "rank")
+
+
+# ---------------------------------------------------------------- pairs
+
+
+@query("SELECT s1_id, src, tgt_id, rank_n, round(score_ratio, 6) AS score_ratio, round(score_margin, 6) AS score_margin, ncand_n, is_s3 FROM context")
+def pair_context(spark, sf_dir):
+    df = PR.context(candidates(spark, sf_dir), SMALL)
+    return long(df.select("s1_id", "src", "tgt_id", "rank_n", F.round("score_ratio", 6).alias("score_ratio"), F.round("score_margin", 6).alias("score_margin"), "ncand_n", "is_s3"), "is_s3")
+
+
+@query(
+    "SELECT s1_id, tgt_id, round(nm_len_ratio, 6) AS nm_len_ratio, abs(a_nlen - b_nlen) AS nm_len_diff, round(ad_len_ratio, 6) AS ad_len_ratio, abs(a_alen - b_alen) AS ad_len_diff, "
+    "round(nm_tok_ratio, 6) AS nm_tok_ratio, round(ad_tok_ratio, 6) AS ad_tok_ratio, a_indic, b_indic, (a_indic = b_indic)::BIGINT AS script_match, "
+    "a_ntn AS ntok_nm_a, b_ntn AS ntok_nm_b, a_nta AS ntok_ad_a, b_nta AS ntok_ad_b, "
+    "(a_nm = '')::BIGINT AS a_name_empty, (b_nm = '')::BIGINT AS b_name_empty, (a_ad = '')::BIGINT AS a_addr_empty, (b_ad = '')::BIGINT AS b_addr_empty FROM pairs"
+)
+def pair_structural(spark, sf_dir):
+    s = {n: F.round(c, 6) if n.endswith("ratio") else c.cast("long") for n, c in PR.structural().items()}
+    return decorated(spark, sf_dir).select("s1_id", "tgt_id", *(c.alias(n) for n, c in s.items()))
+
+
+@query("SELECT s1_id, tgt_id, (a_zip = b_zip)::BIGINT AS zip_eq, (a_zip <> '' AND b_zip <> '')::BIGINT AS zip_both, (a_num = b_num)::BIGINT AS house_eq FROM pairs")
+def pair_numeric(spark, sf_dir):
+    return decorated(spark, sf_dir).select("s1_id", "tgt_id", *(c.cast("long").alias(n) for n, c in PR.numeric().items()))
+
+
+@query("SELECT s1_id, tgt_id, 0.0::DOUBLE AS mindf_a, round(ln(1 + b_mindf::DOUBLE), 6) AS mindf_b, 0.0::DOUBLE AS mindf_min FROM pairs")
+def pair_rarity(spark, sf_dir):
+    df = PR.with_rarity(PR.context(candidates(spark, sf_dir), SMALL), index(spark, sf_dir), SMALL)
+    return df.select("s1_id", "tgt_id", "mindf_a", F.round("mindf_b", 6).alias("mindf_b"), "mindf_min")
+
+
+@query("SELECT s1_id, tgt_id, label FROM pairs")
+def pair_labels(spark, sf_dir):
+    return long(closed(spark, sf_dir).select("s1_id", "tgt_id", "label"), "label")
+
+
+@query("SELECT s1_id, max(n) AS ncand FROM (SELECT s1_id, src, count(*) AS n FROM candidates GROUP BY ALL) GROUP BY s1_id")
+def pair_list_lengths(spark, sf_dir):
+    return PR.list_lengths(candidates(spark, sf_dir))
+
+
+@query()
+def pair_features(spark, sf_dir):
+    """All 45, with the label."""
+    pairs = PR.build(FX.views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL)
+    return pairs.select("s1_id", "src", "tgt_id", *(F.col(f).cast("double").alias(f) for f in PR.FEATURES), "label")
+
+
+def scored(spark, sf_dir, *names: str) -> DataFrame:
+    df = S.with_scores(decorated(spark, sf_dir), list(names))
+    return df.select("s1_id", "tgt_id", *(F.round(n, 6).alias(n) for n in names))
+
+
+RATIO = "round({}, 6)".format(O.ratio_of("l.a", "l.b").replace("lcs.n", "l.n"))
+
+
+@query(", " + O.lcs("{}_nm") + f" SELECT s1_id, tgt_id, {RATIO} AS nm_ratio FROM pairs p JOIN lcs l ON p.a_nm = l.a AND p.b_nm = l.b")
+def sim_ratio(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_ratio")
+
+
+@query(", " + O.lcs("{}_nm") + f" SELECT s1_id, tgt_id, {RATIO} AS nm_ratio FROM pairs p JOIN lcs l ON p.a_nm = l.a AND p.b_nm = l.b")
+def sim_ratio_native(spark, sf_dir):
+    return decorated(spark, sf_dir).select("s1_id", "tgt_id", F.round(S.ratio_expression(F.col("a_nm"), F.col("b_nm")), 6).alias("nm_ratio"))
+
+
+SORTED = "array_to_string(list_sort(string_split({}_nmc, ' ')), ' ')"
+
+
+@query(", " + O.lcs(SORTED) + f" SELECT s1_id, tgt_id, {RATIO} AS nm_tsort FROM pairs p JOIN lcs l ON {SORTED.format('a')} = l.a AND {SORTED.format('b')} = l.b")
+def sim_token_sort(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_tsort")
+
+
+@query(", " + O.lcs("{}_nms") + f" SELECT s1_id, tgt_id, {RATIO} AS nm_sorted FROM pairs p JOIN lcs l ON p.a_nms = l.a AND p.b_nms = l.b")
+def sim_sorted(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_sorted")
+
+
+@query(", " + O.lcs("{}_num") + f" SELECT s1_id, tgt_id, {RATIO} AS num_ratio FROM pairs p JOIN lcs l ON p.a_num = l.a AND p.b_num = l.b")
+def sim_num(spark, sf_dir):
+    return scored(spark, sf_dir, "num_ratio")
+
+
+@query(", " + O.lcs("{}_zip") + f" SELECT s1_id, tgt_id, {RATIO} AS zip_ratio FROM pairs p JOIN lcs l ON p.a_zip = l.a AND p.b_zip = l.b")
+def sim_zip(spark, sf_dir):
+    return scored(spark, sf_dir, "zip_ratio")
+
+
+REST = "array_to_string(list_sort(list_filter(list_distinct(string_split({0}_nmc, ' ')), lambda x: NOT list_contains(string_split({1}_nmc, ' '), x))), ' ')"
+SETS = f""", sets AS (
+  SELECT s1_id, tgt_id, a_nmc, b_nmc, array_to_string(list_sort(list_filter(list_distinct(string_split(a_nmc, ' ')), lambda x: list_contains(string_split(b_nmc, ' '), x))), ' ') AS t,
+    {REST.format("a", "b")} AS x, {REST.format("b", "a")} AS y FROM pairs
+), """
+FULL = """, sizes_of AS (
+  SELECT s.*, l.n AS both, length(t) + (t <> '')::INT AS base, base + length(x) AS nx, base + length(y) AS ny FROM sets s JOIN lcs l ON s.x = l.a AND s.y = l.b
+)
+SELECT s1_id, tgt_id, round(CASE WHEN a_nmc = '' OR b_nmc = '' THEN 0 WHEN t <> '' AND (x = '' OR y = '') THEN 1
+  ELSE greatest(2.0::DOUBLE * (base + both) / (nx + ny), CASE WHEN t = '' THEN 0 ELSE 2.0::DOUBLE * length(t) / (length(t) + nx) END, CASE WHEN t = '' THEN 0 ELSE 2.0::DOUBLE * length(t) / (length(t) + ny) END) END, 6) AS nm_tset
+FROM sizes_of"""
+
+
+@query(SETS + O.lcs("{}").replace("SELECT DISTINCT a AS a, b AS b FROM pairs", "SELECT DISTINCT x AS a, y AS b FROM sets") + FULL)
+def sim_token_set(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_tset")
+
+
+def winkler(c: str) -> str:
+    return f"round(CASE WHEN a_{c} = '' AND b_{c} = '' THEN 1 WHEN a_{c} = '' OR b_{c} = '' THEN 0 ELSE jaro_winkler_similarity(a_{c}, b_{c}) END, 6)::DOUBLE"
+
+
+@query(f"SELECT s1_id, tgt_id, {winkler('nm')} AS nm_jw, {winkler('ad')} AS ad_jw FROM pairs")
+def sim_jw(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_jw", "ad_jw")
+
+
+@query()
+def sim_partial(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_partial", "ad_partial")
+
+
+@query()
+def sim_wratio(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_wratio", "ad_wratio")
+
+
+@query()
+def sim_address(spark, sf_dir):
+    return scored(spark, sf_dir, "ad_ratio", "ad_tset", "ad_tsort", "ad_sorted")
+
+
+# ---------------------------------------------------------------- sampling, learning
+
+HASH = "(('0x' || substr(md5('{}:' || {}::VARCHAR), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
+
+
+@query(f"SELECT s1_id, country, CASE WHEN {HASH.format(7, 's1_id')} < 0.2 THEN 'val' WHEN {HASH.format(7, 's1_id')} < 0.8 THEN 'fit' ELSE 'rest' END AS part FROM entities")
+def split_assign(spark, sf_dir):
+    return L.split(entities(spark, sf_dir), 0.2, 0.6)
+
+
+@query(f"SELECT s1_id, country FROM entities ORDER BY {HASH.format(0, 's1_id')}, s1_id LIMIT 100")
+def sample_first(spark, sf_dir):
+    return L.first_by_hash(entities(spark, sf_dir), "s1_id", 100)
+
+
+@query(
+    ", ranked_entities AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY s1_id) AS r, count(*) OVER (PARTITION BY country) AS n, count(*) OVER () AS total FROM entities) "
+    "SELECT s1_id, country FROM ranked_entities WHERE r <= greatest(1, round_even(50.0::DOUBLE * n / total, 0))"
+)
+def sample_stratified(spark, sf_dir):
+    return L.stratified(entities(spark, sf_dir), 50).select("s1_id", "country")
+
+
+@query(
+    ", totals AS (SELECT sum(label) AS pos, sum(1 - label) AS neg FROM pairs) SELECT s1_id, tgt_id, label FROM pairs, totals "
+    f"WHERE label = 1 OR {HASH.format(0, 's1_id::VARCHAR || chr(58) || tgt_id')} < least(1.0, greatest(3 * pos, 200)::DOUBLE / greatest(neg, 1))"
+)
+def neg_downsample(spark, sf_dir):
+    return long(L.downsample(closed(spark, sf_dir), 3, 200).select("s1_id", "tgt_id", "label"), "label")
+
+
+MODEL_FEATURES = [f for f in PR.FEATURES if f not in S.SCORERS or f in ("nm_ratio", "nm_tset", "ad_ratio", "ad_tset", "num_ratio", "nm_jw")]
+
+
+def training(spark, sf_dir) -> DataFrame:
+    """Pairs of the fit part. Materialised once: every pass of a fit would score them again."""
+    scorers = [f for f in MODEL_FEATURES if f in S.SCORERS]
+    pairs = PR.build(FX.views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL, scorers)
+    pairs = pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in MODEL_FEATURES))
+    return pairs.persist()
+
+
+@query()
+def model_lr(spark, sf_dir):
+    pairs = training(spark, sf_dir)
+    return L.probability(pairs, L.fit_logistic(pairs, MODEL_FEATURES, max_iter=50), "p_lr").select("s1_id", "tgt_id", "p_lr")
+
+
+@query()
+def model_gbt(spark, sf_dir):
+    pairs = training(spark, sf_dir)
+    return L.probability(pairs, L.fit_trees(pairs, MODEL_FEATURES, rounds=5, depth=4), "p_gbt").select("s1_id", "tgt_id", "p_gbt")
+
+
+@query()
+def model_blend(spark, sf_dir):
+    pairs = training(spark, sf_dir)
+    both = L.probability(pairs, L.fit_logistic(pairs, MODEL_FEATURES, max_iter=20), "p_lr")
+    both = L.probability(both, L.fit_trees(pairs, MODEL_FEATURES, rounds=3, depth=3), "p_gbt")
+    return both.select("s1_id", "tgt_id", "label", L.blend(F.col("p_gbt"), F.col("p_lr")).alias("p"))
+
+
+# ---------------------------------------------------------------- decisions
+
+
+@query(f"SELECT s1_id, tgt_id, p FROM closed WHERE p >= {TH}")
+def decide_threshold(spark, sf_dir):
+    return D.decide(decorated(spark, sf_dir), TH).select("s1_id", "tgt_id", "p")
+
+
+@query("SELECT s1_id, tgt_id, p FROM closed WHERE p >= 0.7 AND score >= 1")
+def decide_rule(spark, sf_dir):
+    return D.decide_by(decorated(spark, sf_dir), lambda p, s: (p >= 0.7) & (s >= 1)).select("s1_id", "tgt_id", "p")
+
+
+@query("SELECT s1_id, max(p) AS best_p FROM closed GROUP BY s1_id")
+def best_probability(spark, sf_dir):
+    return D.best_per_entity(decorated(spark, sf_dir))
+
+
+@query(f"SELECT s1_id, tgt_id, p FROM owners WHERE p >= {TH}")
+def decide_bijective(spark, sf_dir):
+    return D.decide(D.one_to_one(decorated(spark, sf_dir)), TH).select("s1_id", "tgt_id", "p")
+
+
+SWEEP = f""", levels(threshold) AS (VALUES {O.levels()}),
+passed AS (SELECT threshold, s1_id, count(*) AS npred, sum(label) AS tp FROM {{}}, levels WHERE p >= threshold GROUP BY ALL),
+trues AS (SELECT s1_id, count(*) AS ntrue FROM truth GROUP BY s1_id),
+counts AS (
+  SELECT l.threshold, e.s1_id, coalesce(npred, 0) AS npred, coalesce(tp, 0) AS tp, coalesce(ntrue, 0) AS ntrue
+  FROM entities e CROSS JOIN levels l LEFT JOIN passed p ON p.threshold = l.threshold AND p.s1_id = e.s1_id LEFT JOIN trues t ON t.s1_id = e.s1_id
+) """
+
+
+@query(SWEEP.format("closed") + f"SELECT threshold, {O.SUMMARY} FROM counts GROUP BY threshold")
+def threshold_sweep(spark, sf_dir):
+    return D.sweep(entities(spark, sf_dir), decorated(spark, sf_dir), FX.truth(spark, sf_dir), THRESHOLDS)
+
+
+@query(SWEEP.format("closed") + f", rows AS (SELECT threshold, {O.SUMMARY} FROM counts GROUP BY threshold) SELECT 'closed' AS variant, threshold, f05_macro FROM rows ORDER BY f05_macro DESC, threshold LIMIT 1")
+def best_threshold(spark, sf_dir):
+    rows = D.sweep(entities(spark, sf_dir), decorated(spark, sf_dir), FX.truth(spark, sf_dir), THRESHOLDS).withColumn("variant", F.lit("closed"))
+    return D.best_config(rows).select("variant", "threshold", "f05_macro")
+
+
+LISTS = "SELECT e.s1_id AS source1_entity_id, coalesce(string_agg(c.tgt_id::VARCHAR, ',' ORDER BY c.src, c.rank), '') AS {} FROM entities e LEFT JOIN {} c ON c.s1_id = e.s1_id GROUP BY e.s1_id"
+
+
+@query(LISTS.format("matched_entity_ids", f"(SELECT * FROM closed WHERE p >= {TH})"))
+def assemble_matches(spark, sf_dir):
+    return T.match_lists(entities(spark, sf_dir), D.decide(decorated(spark, sf_dir), TH))
+
+
+@query(LISTS.format("candidate_entity_ids", "candidates"))
+def assemble_candidates(spark, sf_dir):
+    return T.match_lists(entities(spark, sf_dir), candidates(spark, sf_dir), "candidate_entity_ids")
+
+
+@query("SELECT DISTINCT e.country, s.src FROM entities e, (VALUES (2::BIGINT), (3::BIGINT)) s(src) WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.country = e.country AND c.src = s.src)")
+def block_coverage(spark, sf_dir):
+    expected = entities(spark, sf_dir).select("country").distinct().withColumn("src", F.explode(F.array(F.lit(2).cast("long"), F.lit(3).cast("long"))))
+    return T.missing_blocks(expected, candidates(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- metrics
+
+ACCEPTED = f"SELECT s1_id, tgt_id FROM closed WHERE p >= {TH}"
+ALL = "SELECT s1_id, tgt_id FROM candidates"
+
+
+def match_counts(spark, sf_dir) -> DataFrame:
+    return M.entity_counts(entities(spark, sf_dir), D.decide(decorated(spark, sf_dir), TH), FX.truth(spark, sf_dir))
+
+
+def list_counts(spark, sf_dir) -> DataFrame:
+    return M.entity_counts(entities(spark, sf_dir), candidates(spark, sf_dir), FX.truth(spark, sf_dir))
+
+
+@query(", " + O.counts(ACCEPTED) + f" SELECT s1_id, npred, tp, ntrue, round({O.F_HALF}, 6) AS f05 FROM counts")
+def metric_f05(spark, sf_dir):
+    return match_counts(spark, sf_dir).select("s1_id", "npred", "tp", "ntrue", F.round(M.f_half(), 6).alias("f05"))
+
+
+@query(", " + O.counts(ACCEPTED) + f" SELECT {O.SUMMARY} FROM counts")
+def metric_summary(spark, sf_dir):
+    return M.summary(match_counts(spark, sf_dir))
+
+
+@query(
+    ", " + O.counts(ALL) + " SELECT round(sum(tp)::DOUBLE / greatest(sum(ntrue), 1), 6) AS recall_micro, round(avg(CASE WHEN ntrue > 0 THEN tp::DOUBLE / ntrue END), 6) AS recall_macro, sum(ntrue)::BIGINT AS n_true FROM counts"
+)
+def block_recall(spark, sf_dir):
+    return M.recall(list_counts(spark, sf_dir))
+
+
+@query(
+    ", " + O.counts(ALL) + " SELECT round(avg(npred), 6) AS avg, floor(quantile_cont(npred, 0.5))::BIGINT AS median, floor(quantile_cont(npred, 0.9))::BIGINT AS p90, floor(quantile_cont(npred, 0.95))::BIGINT AS p95, "
+    "max(npred) AS max, round(100.0::DOUBLE * count(*) FILTER (npred = 0) / count(*), 2) AS zero_pct FROM counts"
+)
+def block_cand_dist(spark, sf_dir):
+    return M.list_sizes(list_counts(spark, sf_dir))
+
+
+@query(
+    ", " + O.counts(ALL) + ", pool AS (SELECT count(*) AS n, count(DISTINCT country) AS c FROM views WHERE src > 1) "
+    "SELECT round(1 - avg(npred) / (any_value(n)::DOUBLE / any_value(c)), 8) AS by_country, round(1 - avg(npred) / any_value(n), 8) AS by_pool FROM counts, pool"
+)
+def block_reduction(spark, sf_dir):
+    return M.reduction(list_counts(spark, sf_dir), FX.records(spark, sf_dir).where("src > 1"))
+
+
+RANKS = " (SELECT t.s1_id, t.tgt_id, c.rank FROM truth t LEFT JOIN candidates c ON c.s1_id = t.s1_id AND c.tgt_id = t.tgt_id)"
+
+
+@query(f"SELECT k::BIGINT AS k, round(count(*) FILTER (rank < k)::DOUBLE / count(*), 6) AS recall FROM {RANKS}, (VALUES (3), (5), (10), (20), (30)) ks(k) GROUP BY k")
+def recall_at_k(spark, sf_dir):
+    return M.recall_curve(candidates(spark, sf_dir), FX.truth(spark, sf_dir))
+
+
+@query(f"SELECT count(*) FILTER (rank IS NULL) AS absent, round(count(*) FILTER (rank IS NULL)::DOUBLE / greatest(count(*), 1), 6) AS rate FROM {RANKS}")
+def absent_rate(spark, sf_dir):
+    return M.absent_rate(candidates(spark, sf_dir), FX.truth(spark, sf_dir))
+
+
+@query(
+    f", c AS (SELECT count(*) FILTER (p >= {TH} AND label = 1) AS tp, count(*) FILTER (p >= {TH} AND label = 0) AS fp, count(*) FILTER (p < {TH} AND label = 1) AS fn FROM closed) "
+    "SELECT tp, fp, fn, round(tp::DOUBLE / greatest(tp + fp, 1), 6) AS precision, round(tp::DOUBLE / greatest(tp + fn, 1), 6) AS recall FROM c"
+)
+def err_confusion(spark, sf_dir):
+    return M.confusion(closed(spark, sf_dir), TH)
+
+
+BUCKET = "CASE " + " ".join(f"WHEN rank >= {a} AND rank < {b} THEN {a}" for a, b in M.BUCKETS) + " END::BIGINT"
+
+
+@query(f"SELECT {BUCKET} AS rank_from, count(*) AS n, round(avg(score_ratio), 6) AS mean_score_ratio, round(avg((p >= {TH})::INT), 6) AS recall FROM closed WHERE label = 1 GROUP BY rank_from")
+def err_rank_buckets(spark, sf_dir):
+    return M.rank_buckets(closed(spark, sf_dir), TH)
+
+
+@query(f"SELECT count(*) AS entities, coalesce(sum(ok), 0)::BIGINT AS all_ok, coalesce(sum(1 - ok), 0)::BIGINT AS missed FROM (SELECT s1_id, min((p >= {TH})::BIGINT) AS ok FROM closed WHERE label = 1 GROUP BY s1_id)")
+def err_entity_ok(spark, sf_dir):
+    return M.entities_ok(closed(spark, sf_dir), TH)
+
+
+@query(f"SELECT src, sum(n)::BIGINT AS pairs, count(*) AS entities, round(avg(n), 6) AS mean, max(n) AS max FROM (SELECT src, s1_id, count(*) AS n FROM closed WHERE p >= {TH} AND label = 0 GROUP BY ALL) GROUP BY src")
+def err_fp_by_source(spark, sf_dir):
+    return M.false_positives(closed(spark, sf_dir), TH)
+
+
+MEANS = ["rank_n", "score", "score_ratio", "score_margin", "ncand_n"]
+
+
+@query(f"SELECT CASE WHEN label = 1 THEN 'TP' ELSE 'FP' END AS kind, {', '.join(f'round(avg({c}), 6) AS {c}' for c in MEANS)} FROM closed WHERE p >= {TH} GROUP BY kind")
+def err_feature_means(spark, sf_dir):
+    return M.feature_means(closed(spark, sf_dir), TH, MEANS)
+
+
+@query(
+    f"SELECT count(*) AS true_pairs, count(*) FILTER (p IS NULL) AS absent, count(*) FILTER (p < {TH}) AS below, count(DISTINCT CASE WHEN p < {TH} THEN t.s1_id END) AS entities_below "
+    "FROM truth t LEFT JOIN closed c ON c.s1_id = t.s1_id AND c.tgt_id = t.tgt_id"
+)
+def err_fn_split(spark, sf_dir):
+    return M.false_negatives(closed(spark, sf_dir), FX.truth(spark, sf_dir), TH)
+
+
+EXAMPLE = "s1_id, tgt_id, src, p, score, rank, a_nm, a_ad, b_nm, b_ad"
+
+
+@query(f"SELECT {EXAMPLE} FROM closed WHERE p >= {TH} AND label = 0 ORDER BY p DESC, s1_id, tgt_id LIMIT 20")
+def err_examples_fp(spark, sf_dir):
+    return long(M.examples(closed(spark, sf_dir), TH, 20, True), "rank")
+
+
+@query(f"SELECT {EXAMPLE} FROM closed WHERE p < {TH} AND label = 1 ORDER BY p, s1_id, tgt_id LIMIT 20")
+def err_examples_fn(spark, sf_dir):
+    return long(M.examples(closed(spark, sf_dir), TH, 20, False), "rank")
+
+
+# ---------------------------------------------------------------- profiles
+
+PCT = "round(100.0::DOUBLE * {} / greatest({}, 1), 2)"
+
+
+@query(
+    "SELECT count(*) AS n, " + PCT.format("count(*) FILTER (length(name) = 0)", "count(*)") + " AS empty_name, " + PCT.format("count(*) FILTER (length(address) = 0)", "count(*)") + " AS empty_addr, "
+    "round(avg(length(name)), 1) AS name_len_mean, floor(quantile_cont(length(name), 0.5))::BIGINT AS name_len_p50, floor(quantile_cont(length(name), 0.95))::BIGINT AS name_len_p95, "
+    "round(avg(length(address)), 1) AS addr_len_mean, floor(quantile_cont(length(address), 0.5))::BIGINT AS addr_len_p50, floor(quantile_cont(length(address), 0.95))::BIGINT AS addr_len_p95, "
+    "count(*) - count(DISTINCT entity_id) AS dup_entity_id FROM records"
+)
+def eda_profile(spark, sf_dir):
+    return PF.field_stats(FX.records(spark, sf_dir))
+
+
+@query("SELECT country, count(*) AS n FROM records GROUP BY country")
+def eda_country_hist(spark, sf_dir):
+    return PF.country_histogram(FX.records(spark, sf_dir))
+
+
+@query(f"SELECT country, {SCRIPT} AS script, count(*) AS n, round(100.0::DOUBLE * count(*) / greatest((SELECT count(*) FROM records), 1), 2) AS pct FROM records GROUP BY country, script")
+def eda_script_mix(spark, sf_dir):
+    return PF.script_mix(FX.records(spark, sf_dir))
+
+
+@query(
+    f", k AS (SELECT {O.alnum('name')} AS m, {O.alnum('name')} || '|' || {O.alnum('address')} || '|' || country AS k FROM records) "
+    "SELECT count(*) AS n, " + PCT.format("(count(*) - count(DISTINCT k))", "count(*)") + " AS exact_dup_pct, " + PCT.format("(count(*) - count(DISTINCT m))", "count(*)") + " AS name_collision_pct FROM k"
+)
+def eda_dup_rate(spark, sf_dir):
+    return PF.duplicate_rates(FX.records(spark, sf_dir))
+
+
+@query(
+    ", u AS (SELECT count(DISTINCT s1_id) AS unique, (SELECT count(DISTINCT s1_id) FROM truth WHERE s1_id NOT IN (SELECT s1_id FROM entities)) AS unknown, "
+    "(SELECT count(*) FROM entities WHERE s1_id NOT IN (SELECT s1_id FROM truth)) AS uncovered FROM truth) SELECT *, unknown = 0 AND uncovered = 0 AS covers_all FROM u"
+)
+def eda_truth_coverage(spark, sf_dir):
+    return PF.truth_coverage(FX.truth(spark, sf_dir), entities(spark, sf_dir))
+
+
+MATCHES = ", m AS (SELECT e.s1_id, e.country, count(t.tgt_id) AS n, count(*) FILTER (t.tgt_src = 2) AS n2, count(*) FILTER (t.tgt_src = 3) AS n3 FROM entities e LEFT JOIN truth t ON t.s1_id = e.s1_id GROUP BY ALL) "
+
+
+def truth_counts(spark, sf_dir) -> DataFrame:
+    return PF.match_counts(entities(spark, sf_dir), FX.truth(spark, sf_dir))
+
+
+@query(MATCHES + "SELECT n AS matches, count(*) AS entities FROM m GROUP BY n ORDER BY n LIMIT 15")
+def eda_match_hist(spark, sf_dir):
+    return PF.match_histogram(truth_counts(spark, sf_dir))
+
+
+@query(
+    MATCHES + "SELECT count(*) AS n_s1, " + ", ".join(PCT.format(f"count(*) FILTER ({c})", "count(*)") + f" AS {a}" for c, a in (("n = 0", "zero_pct"), ("n = 1", "one_pct"), ("n > 1", "multi_pct"), ("n2 > 0", "has_s2_pct"), ("n3 > 0", "has_s3_pct")))
+    + ", round(avg(n), 3) AS mean, round(avg(CASE WHEN n > 0 THEN n END), 3) AS mean_nonzero, floor(quantile_cont(n, 0.95))::BIGINT AS p95, max(n) AS max, sum(n)::BIGINT AS pairs, sum(n2)::BIGINT AS s2_pairs, sum(n3)::BIGINT AS s3_pairs, "
+    "round(avg(CASE WHEN n2 > 0 THEN n2 END), 3) AS s2_nonzero, round(avg(CASE WHEN n3 > 0 THEN n3 END), 3) AS s3_nonzero FROM m"
+)
+def eda_match_stats(spark, sf_dir):
+    return PF.match_stats(truth_counts(spark, sf_dir))
+
+
+@query(MATCHES + "SELECT country, count(*) AS n_s1, " + PCT.format("count(*) FILTER (n = 0)", "count(*)") + " AS zero_pct, round(sum(n2)::DOUBLE / count(*), 3) AS s2_per_s1, round(sum(n3)::DOUBLE / count(*), 3) AS s3_per_s1 FROM m GROUP BY country")
+def eda_match_by_country(spark, sf_dir):
+    return PF.match_by_country(truth_counts(spark, sf_dir))
+
+
+def jaccard(c: str) -> str:
+    a, b = f"string_split(a.{c}, ' ')", f"string_split(b.{c}, ' ')"
+    return f"len(list_intersect({a}, {b}))::DOUBLE / greatest(len(list_distinct(list_concat({a}, {b}))), 1)"
+
+
+TRUE_PAIRS = f""", tp AS (
+  SELECT t.s1_id, t.tgt_id, t.tgt_src, {jaccard("nmc")} AS nj, {jaccard("adn")} AS aj, {O.alnum("a.name")} = {O.alnum("b.name")} AS same, a.country = b.country AS ce,
+    a.address = '' OR b.address = '' AS ae, len(list_intersect(string_split(a.nmc, ' '), string_split(b.nmc, ' '))) > 0 AS ns,
+    a.address <> '' AND len(list_intersect(string_split(a.adn, ' '), string_split(b.adn, ' '))) > 0 AS ash,
+    {SCRIPT.replace("name", "a.name")} || '->' || {SCRIPT.replace("name", "b.name")} AS scripts
+  FROM truth t JOIN views a ON a.entity_id = t.s1_id JOIN views b ON b.entity_id = t.tgt_id
+) """
+
+
+def true_pairs(spark, sf_dir) -> DataFrame:
+    return PF.true_pairs(FX.views(spark, sf_dir), FX.truth(spark, sf_dir))
+
+
+@query(
+    TRUE_PAIRS + "SELECT count(*) AS pairs, round(avg(nj), 3) AS name_mean, round(quantile_cont(nj, 0.1), 3) AS name_p10, round(quantile_cont(nj, 0.5), 3) AS name_p50, " + PCT.format("count(*) FILTER (nj = 0)", "count(*)")
+    + " AS name_zero_pct, round(avg(aj), 3) AS addr_mean, round(quantile_cont(aj, 0.5), 3) AS addr_p50, " + PCT.format("count(*) FILTER (aj = 0)", "count(*)") + " AS addr_zero_pct, "
+    + PCT.format("count(*) FILTER (same)", "count(*)") + " AS name_equal_pct, " + PCT.format("count(*) FILTER (ae)", "count(*)") + " AS addr_empty_pct FROM tp"
+)
+def eda_true_pair_jaccard(spark, sf_dir):
+    return PF.pair_overlap(true_pairs(spark, sf_dir))
+
+
+@query(TRUE_PAIRS + "SELECT tgt_src, scripts, ce AS country_equal, same AS name_equal, ns AS name_share, ash AS addr_share, count(*) AS n FROM tp GROUP BY ALL")
+def eda_true_pair_flags(spark, sf_dir):
+    return PF.pair_flags(true_pairs(spark, sf_dir))
+
+
+@query(TRUE_PAIRS + "SELECT s1_id, tgt_id, round(nj, 6) AS name_jaccard FROM tp WHERE nj < 0.5 ORDER BY s1_id, tgt_id LIMIT 25")
+def eda_hard_examples(spark, sf_dir):
+    return PF.hard_examples(true_pairs(spark, sf_dir)).select("s1_id", "tgt_id", F.round("name_jaccard", 6).alias("name_jaccard"))
+
+
+# ---------------------------------------------------------------- tuning, files
+
+GRID = [(b, k) for b in (20, 60, 200) for k in (1, 3, 5)]
+
+
+def grid_sql() -> str:
+    tables, rows = [], []
+    for b in (20, 60, 200):
+        tables.append(
+            f"p{b} AS (SELECT * FROM ranked WHERE pos < {SMALL.kq} AND (pos = 0 OR (df <= {SMALL.dfmax} AND before < {b}))), r{b} AS (SELECT *, fw * ln(1 + n::DOUBLE / df) AS raw FROM p{b}), "
+            f"q{b} AS (SELECT *, raw / greatest(sqrt(sum(raw) OVER (PARTITION BY s1_id, src)), 1e-9) AS v FROM r{b}), "
+            f"s{b} AS (SELECT q.s1_id, q.src, p.tgt_id, round(sum(q.v * p.w), 6) AS score FROM q{b} q JOIN postings p USING (src, country, token) GROUP BY ALL), "
+            f"k{b} AS (SELECT *, row_number() OVER (PARTITION BY s1_id, src ORDER BY score DESC, tgt_id) AS rn FROM s{b})"
+        )
+    for b, k in GRID:
+        rows.append(f"SELECT {b}::BIGINT AS budget, {k}::BIGINT AS topk, (SELECT count(*) FROM k{b} WHERE rn <= {k}) AS candidates, (SELECT count(*) FROM truth t JOIN k{b} c ON c.s1_id = t.s1_id AND c.tgt_id = t.tgt_id AND rn <= {k}) AS found")
+    return ", " + ", ".join(tables) + " " + " UNION ALL ".join(rows)
+
+
+@query(grid_sql())
+def budget_grid(spark, sf_dir):
+    """Candidates and found true pairs by budget and list length; shorter lists are cut from the longest."""
+    v, truth = FX.views(spark, sf_dir), FX.truth(spark, sf_dir)
+    out = None
+    for budget in (20, 60, 200):
+        own = R.Index(v.where("src > 1"), SMALL.with_(budget=budget)).candidates(v.where("src = 1"))
+        hits = own.join(truth.select("s1_id", "tgt_id", F.lit(1).alias("hit")), ["s1_id", "tgt_id"], "left")
+        sums = hits.agg(*(F.count(F.when(F.col("rank") < k, 1)).alias(f"c{k}") for k in (1, 3, 5)), *(F.count(F.when((F.col("rank") < k) & (F.col("hit") == 1), 1)).alias(f"f{k}") for k in (1, 3, 5)))
+        rows = F.explode(F.array(*(F.struct(F.lit(budget).cast("long").alias("budget"), F.lit(k).cast("long").alias("topk"), F.col(f"c{k}").alias("candidates"), F.col(f"f{k}").alias("found")) for k in (1, 3, 5))))
+        one = sums.select(rows.alias("r")).select("r.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors can reach, or a local one in local mode."""
+    import tempfile
+
+    there = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinspark-")
+    return f"{there.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("SELECT entity_id::VARCHAR AS entity_id, name AS business_name, address AS business_address, country FROM records")
+def tsv_roundtrip(spark, sf_dir):
+    path = scratch(spark)
+    rows = FX.records(spark, sf_dir).select(F.col("entity_id").cast("string").alias("entity_id"), F.col("name").alias("business_name"), F.col("address").alias("business_address"), "country")
+    T.write_tsv(rows, path)
+    return T.read_tsv(spark, path, T.RECORD)
+
+
+@query("SELECT s1_id::VARCHAR AS s1_id, tgt_id::VARCHAR AS tgt_id FROM entities LEFT JOIN truth USING (s1_id)")
+def truth_scan(spark, sf_dir):
+    path = scratch(spark)
+    lists = T.match_lists(entities(spark, sf_dir), FX.truth(spark, sf_dir).withColumn("src", F.col("tgt_src")).withColumn("rank", F.col("tgt_id")))
+    T.write_tsv(lists.withColumn("source1_entity_id", F.col("source1_entity_id").cast("string")), path)
+    return T.truth_pairs(T.read_tsv(spark, path, T.TRUTH))
+
+
+@query("SELECT entity_id, nmc, adn FROM views WHERE src = 2 AND country = 'en'")
+def views_roundtrip(spark, sf_dir):
+    """Written by split, source and country, and read with only the folders of one block."""
+    path = scratch(spark)
+    T.write_views(FX.views(spark, sf_dir).withColumn("split", F.lit("train")), path)
+    return T.read_views(spark, path, "train", 2, "en").select("entity_id", "nmc", "adn")
