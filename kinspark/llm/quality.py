@@ -28,6 +28,8 @@ LEAST_CHARS, LEAST_WORDS = 200, 100
 #: Classes of characters; what is in none of them is counted as the rest.
 CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "space": r"[\x20\x09-\x0D]+", "sign": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"}
 SYMBOLS = "[#*$%&|<>]+"
+#: Repeated windows of a document up to which they are looked for one by one.
+FEW = 24
 ANY = ""  # the name of the whole corpus among the languages
 
 
@@ -40,38 +42,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, words and the base measures, one row for each of ``docs``."""
+def measured(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, words and the base measures, one row for each of ``docs``; ``carry`` names columns to keep as they are."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(WORD))
-    df = docs.select("doc_id", "lang", text.alias("text"))
-    df = df.select("doc_id", "lang", "text", words(F.col("text")).alias("w"), lines.alias("lines"))
-    # A window is its three words' hash with its place; equal windows are neighbours once sorted.
-    windows = F.sort_array(
-        F.transform(
-            F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")),
-        )
-    )
+    df = docs.select(*carry, "doc_id", "lang", text.alias("text"))
+    df = df.select(*carry, "doc_id", "lang", "text", words(F.col("text")).alias("w"), lines.alias("lines"))
+    # A window is its three words' hash; the values that come twice are neighbours once sorted.
+    windows = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
+    df = stripped(df, *carry, "doc_id", "lang", "w", "lines")
     df = df.select(
+        *carry,
         "doc_id",
         "lang",
         "text",
         "w",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
-        without(F.col("text"), SYMBOLS).alias("n_symbols"),
+        (F.length("text") - class_counts()["space"]).cast("long").alias("word_chars"),
+        without(F.col("rest"), SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
+        F.array(*(class_counts()[k] for k in CLASSES)).alias("classes"),
     )
-    twice = F.filter(
-        F.transform(
-            "windows",
-            lambda x, j: F.when((x["h"] == F.get("windows", j - 1)["h"]) | (x["h"] == F.get("windows", j + 1)["h"]), x["i"]),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    df = df.withColumn("starts", F.sort_array(twice)).drop("windows")
+    df = df.withColumn("sorted", F.sort_array("windows"))
+    df = df.withColumn("twice", F.array_distinct(F.filter("sorted", lambda x, j: x == F.get("sorted", j - 1)))).drop("sorted")
+    # Few repeated values are looked for one by one; many are found by sorting the windows with their places.
+    few = F.filter(F.transform("windows", lambda x, i: F.when(F.array_contains("twice", x), i)), lambda i: i.isNotNull())
+    df = df.withColumn("placed", F.when(F.size("twice") > FEW, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    many = F.transform("placed", lambda x, j: F.when((x["h"] == F.get("placed", j - 1)["h"]) | (x["h"] == F.get("placed", j + 1)["h"]), x["i"]))
+    starts = F.when(F.size("twice") == 0, F.array().cast("array<int>")).when(F.size("twice") <= FEW, few).otherwise(F.sort_array(F.filter(many, lambda i: i.isNotNull())))
+    df = df.withColumn("starts", starts).drop("windows", "placed", "twice")
     covered = F.aggregate(
         "starts",
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
@@ -80,9 +80,18 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", covered).drop("starts")
 
 
+def stripped(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with text, "bare" (text without lower-case letters) and "rest" (that without white space): what
+    is left gets shorter with each class, and so does the work of counting the next."""
+    df = df.select(*columns, "text", F.regexp_replace("text", CLASSES["lower"], "").alias("bare"))
+    return df.select(*columns, "text", "bare", F.regexp_replace("bare", CLASSES["space"], "").alias("rest"))
+
+
 def class_counts() -> dict[str, Column]:
-    own = {k: without(F.col("text"), p) for k, p in CLASSES.items()}
-    return own | {"total": F.length("text").cast("long")}
+    """Characters of each class, from the columns of ``stripped``."""
+    own = {"lower": F.length("text") - F.length("bare"), "space": F.length("bare") - F.length("rest")}
+    own |= {k: without(F.col("rest"), CLASSES[k]) for k in ("upper", "digit", "sign")}
+    return {k: c.cast("long") for k, c in own.items()} | {"total": F.length("text").cast("long")}
 
 
 def common_words(docs: DataFrame) -> DataFrame:
@@ -100,7 +109,7 @@ def references(docs: DataFrame) -> tuple[list[str], DataFrame]:
     """All common words, and a row for each language: name, classes (probabilities) and words (word -> probability)."""
     counts = class_counts()
     text = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    per = text.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(k) for k, c in counts.items()))
+    per = stripped(text, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(k) for k, c in counts.items()))
     per = per.orderBy(F.desc("docs"), "lang").limit(LANGUAGES * 5)
     rows = [r.asDict() for r in per.collect()]
     # The sum over all languages; a language beyond the bound is judged by it.
@@ -134,15 +143,13 @@ def distance(twice_divergence: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), twice_divergence / 2)))
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Base measures, ``char_distance`` and ``word_distance`` (null under the guards), base_failed and kept."""
     common, refs = references(docs)
-    df = measured(docs.select("doc_id", "lang", "text"))
-    counts = class_counts()
-    classes = F.array(*(counts[k] for k in CLASSES))
+    df = measured(docs.select(*carry, "doc_id", "lang", "text"), carry)
     # Common words of the document, sorted: a run of equal words is a bin.
     own = F.sort_array(F.filter("w", lambda x: x.isin(common) if common else F.lit(False)))
-    df = df.select("*", classes.alias("classes"), F.length("text").alias("n_chars"), own.alias("own"), F.coalesce("lang", F.lit(ANY)).alias("own_lang")).drop("w", "text")
+    df = df.select("*", F.length("text").alias("n_chars"), own.alias("own"), F.coalesce("lang", F.lit(ANY)).alias("own_lang")).drop("w", "text")
     langs = [r[0] for r in refs.select("ref_lang").collect()]
     df = df.withColumn("ref_lang", F.when(F.col("own_lang").isin(langs), F.col("own_lang")).otherwise(ANY))
     df = df.join(F.broadcast(refs), "ref_lang", "left")
@@ -166,8 +173,16 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > CHAR_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return df.select(*columns, failed.alias("base_failed"), (~failed & ~far).alias("kept"), "char_distance", "word_distance")
+    return df.select(*carry, *columns, failed.alias("base_failed"), (~failed & ~far).alias("kept"), "char_distance", "word_distance")
 
 
 def rules(docs: DataFrame) -> DataFrame:
     return judged(docs).drop("char_distance", "word_distance")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """``docs``, with all columns, without the rejected rows."""
+    rows = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("__row"))
+    # A predicate would be pushed below the measures and copy them into itself; no predicate passes a column that counts rows.
+    whole = judged(rows, ("__row",)).withColumn("__n", F.monotonically_increasing_id())
+    return whole.where("kept AND __n >= 0").select("__row.*")
