@@ -59,7 +59,8 @@ def fold_tables() -> tuple[str, str, dict[str, str], str]:
 def fold(c: Column) -> Column:
     """Lower case without accents on Latin letters; signs of other scripts stay.
 
-    Exact, within the basic plane, for all that ``punct_norm`` and ``alnum`` keep.
+    Exact, within the basic plane, for all that ``punct_norm`` and ``alnum`` keep, but that
+    several marks in a row are taken in the order they come in.
     """
     a, b, several, marks = fold_tables()
     s = F.translate(c, a, b)

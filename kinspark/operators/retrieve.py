@@ -16,21 +16,23 @@ from . import index as I
 
 
 def ranked_tokens(queries: DataFrame, weights: DataFrame, params: Params) -> DataFrame:
-    """(s1_id, src, country, field, token, df, n, fw, pos, before) of the tokens that a pool knows, rarest first.
+    """(s1_id, src, country, field, token, df, n, fw, pos, before) of the tokens that a pool knows, rarest first, kq at most.
 
     ``before`` is the sum of df of the tokens ahead. Ties go by field, then token.
     """
     own = I.exploded(queries).drop("src").withColumnRenamed("entity_id", "s1_id")
     known = own.join(weights.select("src", "country", "token", "df", "n"), ["country", "token"])
     order = Window.partitionBy("s1_id", "src").orderBy("df", "field", "token")
-    # The running sum includes the row and df is taken off again: so the limit on pos is pushed below the window.
+    # The running sum includes the row and df is taken off again: so Spark limits the rows below the window.
     running = F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return known.select(
+    rows = known.select(
         "s1_id", "src", "country", "field", "token", "df", "n",
         F.when(F.col("field") == 0, 1.0).otherwise(params.w_addr).alias("fw"),
-        (F.row_number().over(order) - 1).alias("pos"),
-        (running - F.col("df")).alias("before"),
+        F.row_number().over(order).alias("rn"),
+        running.alias("running"),
     )
+    rows = rows.where(F.col("rn") <= params.kq)
+    return rows.select("*", (F.col("rn") - 1).alias("pos"), (F.col("running") - F.col("df")).alias("before")).drop("rn", "running")
 
 
 def prefix(tokens: DataFrame, params: Params) -> DataFrame:

@@ -42,8 +42,13 @@ def texts(spark, sf_dir) -> DataFrame:
     return FX.documents(spark, sf_dir).select("doc_id", X.blank(F.col("text")).alias("text"))
 
 
+def views(spark, sf_dir) -> DataFrame:
+    """The normalised views. Most queries read them several times, and later ones again; Spark finds them by their plan."""
+    return FX.views(spark, sf_dir).persist()
+
+
 def index(spark, sf_dir) -> R.Index:
-    return R.Index(FX.views(spark, sf_dir).where("src > 1"), SMALL)
+    return R.Index(views(spark, sf_dir).where("src > 1"), SMALL)
 
 
 def entities(spark, sf_dir) -> DataFrame:
@@ -51,12 +56,13 @@ def entities(spark, sf_dir) -> DataFrame:
 
 
 def candidates(spark, sf_dir) -> DataFrame:
-    return index(spark, sf_dir).candidates(FX.views(spark, sf_dir).where("src = 1"))
+    """Also kept: what all pair queries start from."""
+    return index(spark, sf_dir).candidates(views(spark, sf_dir).where("src = 1")).persist()
 
 
 def decorated(spark, sf_dir) -> DataFrame:
     """Pairs with the views of both sides and a closed-form probability ``p``, which needs no trained model."""
-    v = FX.views(spark, sf_dir)
+    v = views(spark, sf_dir)
     pairs = PR.decorated(PR.context(candidates(spark, sf_dir), SMALL), v)
     s = PR.structural()
     p = F.round(0.5 * F.col("score_ratio") + 0.25 * s["nm_len_ratio"] + 0.25 * s["ad_tok_ratio"], 6)
@@ -97,17 +103,17 @@ def records_view(spark, sf_dir):
 @query("SELECT entity_id, array_to_string(names, ' ') AS name_tokens, array_to_string(kept, ' ') AS core FROM listed")
 def norm_name_core(spark, sf_dir):
     names = X.name_tokens(F.col("nm"))
-    return FX.views(spark, sf_dir).select("entity_id", X.joined(names).alias("name_tokens"), X.joined(X.core_tokens(names)).alias("core"))
+    return views(spark, sf_dir).select("entity_id", X.joined(names).alias("name_tokens"), X.joined(X.core_tokens(names)).alias("core"))
 
 
 @query("SELECT entity_id, adn FROM views")
 def norm_addr_tokens(spark, sf_dir):
-    return FX.views(spark, sf_dir).select("entity_id", "adn")
+    return views(spark, sf_dir).select("entity_id", "adn")
 
 
 @query("SELECT entity_id, nms, ads FROM views")
 def norm_sorted_tokens(spark, sf_dir):
-    return FX.views(spark, sf_dir).select("entity_id", "nms", "ads")
+    return views(spark, sf_dir).select("entity_id", "nms", "ads")
 
 
 DIGITS = f"list_sort(list_distinct(regexp_extract_all({O.punct('text')}, '[0-9]+')))"
@@ -125,7 +131,7 @@ def norm_zip(spark, sf_dir):
 
 @query("SELECT entity_id, nlen, alen, ntn, nta, indic, (name = '')::BIGINT AS name_empty FROM views")
 def norm_scalars(spark, sf_dir):
-    df = FX.views(spark, sf_dir).select("entity_id", "nlen", "alen", "ntn", "nta", "indic", (F.col("nm") == "").alias("name_empty"))
+    df = views(spark, sf_dir).select("entity_id", "nlen", "alen", "ntn", "nta", "indic", (F.col("nm") == "").alias("name_empty"))
     return long(df, "indic", "name_empty")
 
 
@@ -150,7 +156,7 @@ def duplicate_key(spark, sf_dir):
 
 @query("SELECT entity_id, src, country, name, address, nm, ad, nmc, adn, nms, ads, num, zip, nlen, alen, ntn, nta, indic FROM views")
 def normalized_views(spark, sf_dir):
-    return long(FX.views(spark, sf_dir), "indic")
+    return long(views(spark, sf_dir), "indic")
 
 
 # ---------------------------------------------------------------- index
@@ -192,19 +198,19 @@ def index_mindf(spark, sf_dir):
 @query("SELECT s1_id, src, country, field::BIGINT AS field, token, df, pos, before FROM prefix")
 def query_prefix(spark, sf_dir):
     i = index(spark, sf_dir)
-    df = R.prefix(R.ranked_tokens(FX.views(spark, sf_dir).where("src = 1"), i.weights, SMALL), SMALL)
+    df = R.prefix(R.ranked_tokens(views(spark, sf_dir).where("src = 1"), i.weights, SMALL), SMALL)
     return long(df.select("s1_id", "src", "country", "field", "token", "df", "pos", "before"), "field", "pos")
 
 
 @query("SELECT s1_id, src, country, field::BIGINT AS field, token, round(v, 6) AS v FROM queries")
 def query_weights(spark, sf_dir):
-    df = index(spark, sf_dir).queries(FX.views(spark, sf_dir).where("src = 1"))
+    df = index(spark, sf_dir).queries(views(spark, sf_dir).where("src = 1"))
     return long(df.select("s1_id", "src", "country", "field", "token", F.round("v", 6).alias("v")), "field")
 
 
 @query("SELECT s1_id, src, country, tgt_id, score FROM scores")
 def retrieve_scores(spark, sf_dir):
-    return index(spark, sf_dir).scores(FX.views(spark, sf_dir).where("src = 1"))
+    return index(spark, sf_dir).scores(views(spark, sf_dir).where("src = 1"))
 
 
 @query("SELECT s1_id, src, country, tgt_id, score, rank FROM candidates")
@@ -256,7 +262,7 @@ def pair_list_lengths(spark, sf_dir):
 @query()
 def pair_features(spark, sf_dir):
     """All 45, with the label."""
-    pairs = PR.build(FX.views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL)
+    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL)
     return pairs.select("s1_id", "src", "tgt_id", *(F.col(f).cast("double").alias(f) for f in PR.FEATURES), "label")
 
 
@@ -307,10 +313,10 @@ SETS = f""", sets AS (
     {REST.format("a", "b")} AS x, {REST.format("b", "a")} AS y FROM pairs
 ), """
 FULL = """, sizes_of AS (
-  SELECT s.*, l.n AS both, length(t) + (t <> '')::INT AS base, base + length(x) AS nx, base + length(y) AS ny FROM sets s JOIN lcs l ON s.x = l.a AND s.y = l.b
+  SELECT s.*, l.n AS inboth, length(t) + (t <> '')::INT AS base, base + length(x) AS nx, base + length(y) AS ny FROM sets s JOIN lcs l ON s.x = l.a AND s.y = l.b
 )
 SELECT s1_id, tgt_id, round(CASE WHEN a_nmc = '' OR b_nmc = '' THEN 0 WHEN t <> '' AND (x = '' OR y = '') THEN 1
-  ELSE greatest(2.0::DOUBLE * (base + both) / (nx + ny), CASE WHEN t = '' THEN 0 ELSE 2.0::DOUBLE * length(t) / (length(t) + nx) END, CASE WHEN t = '' THEN 0 ELSE 2.0::DOUBLE * length(t) / (length(t) + ny) END) END, 6) AS nm_tset
+  ELSE greatest(2.0::DOUBLE * (base + inboth) / (nx + ny), CASE WHEN t = '' THEN 0 ELSE 2.0::DOUBLE * length(t) / (length(t) + nx) END, CASE WHEN t = '' THEN 0 ELSE 2.0::DOUBLE * length(t) / (length(t) + ny) END) END, 6) AS nm_tset
 FROM sizes_of"""
 
 
@@ -380,7 +386,7 @@ MODEL_FEATURES = [f for f in PR.FEATURES if f not in S.SCORERS or f in ("nm_rati
 def training(spark, sf_dir) -> DataFrame:
     """Pairs of the fit part. Materialised once: every pass of a fit would score them again."""
     scorers = [f for f in MODEL_FEATURES if f in S.SCORERS]
-    pairs = PR.build(FX.views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL, scorers)
+    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL, scorers)
     pairs = pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in MODEL_FEATURES))
     return pairs.persist()
 
@@ -664,7 +670,7 @@ TRUE_PAIRS = f""", tp AS (
 
 
 def true_pairs(spark, sf_dir) -> DataFrame:
-    return PF.true_pairs(FX.views(spark, sf_dir), FX.truth(spark, sf_dir))
+    return PF.true_pairs(views(spark, sf_dir), FX.truth(spark, sf_dir))
 
 
 @query(
@@ -708,7 +714,7 @@ def grid_sql() -> str:
 @query(grid_sql())
 def budget_grid(spark, sf_dir):
     """Candidates and found true pairs by budget and list length; shorter lists are cut from the longest."""
-    v, truth = FX.views(spark, sf_dir), FX.truth(spark, sf_dir)
+    v, truth = views(spark, sf_dir), FX.truth(spark, sf_dir)
     out = None
     for budget in (20, 60, 200):
         own = R.Index(v.where("src > 1"), SMALL.with_(budget=budget)).candidates(v.where("src = 1"))
@@ -748,5 +754,5 @@ def truth_scan(spark, sf_dir):
 def views_roundtrip(spark, sf_dir):
     """Written by split, source and country, and read with only the folders of one block."""
     path = scratch(spark)
-    T.write_views(FX.views(spark, sf_dir).withColumn("split", F.lit("train")), path)
+    T.write_views(views(spark, sf_dir).withColumn("split", F.lit("train")), path)
     return T.read_views(spark, path, "train", 2, "en").select("entity_id", "nmc", "adn")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,12 +56,9 @@ def countries(spark: SparkSession, path: str, split: str) -> DataFrame:
 def stage(spark: SparkSession, path: str, key: str, make) -> DataFrame:
     """The table under ``path``/``key``, made and written first unless it is there in full. ``key`` digests all it depends on."""
     own = f"{path.rstrip('/')}/{key}"
-    try:
-        # The committer leaves _SUCCESS only after the last task.
-        done = spark.read.format("binaryFile").load(f"{own}/_SUCCESS").count() > 0
-    except AnalysisException:
-        done = False
-    if not done:
+    # The committer leaves this file only after the last task.
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         make().write.mode("overwrite").option("compression", "zstd").parquet(own)
     return spark.read.parquet(own)
 
