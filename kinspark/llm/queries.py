@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, minhash, quality, substring, tokenbin, tokencount, toxicity, urls
+from . import bpe, decontam, langid, minhash, oracles, quality, substring, tokenbin, tokencount, toxicity, urls
 from .common import table
 
 #: Paths of vocabulary files; parameters of the operators, and installed on every machine.
@@ -53,4 +53,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_minhash, op3_substring, op4_bpe, op5_toxicity, op6_decontamination, op7_quality, op8_token_files, op9_language_id, op10_token_counts)}
-ORACLES: dict[str, str] = {"op1_url_filter": urls.ORACLE}
+#: The others are beyond SQL: tokenizers, trained models, a trie. They are tested against brute force and held-out rows.
+ORACLES: dict[str, str] = {
+    "op1_url_filter": urls.ORACLE,
+    "op2_minhash": oracles.MINHASH,
+    "op3_substring": oracles.SUBSTRING,
+    "op6_decontamination": oracles.DECONTAM,
+    "op7_quality": oracles.QUALITY,
+}
