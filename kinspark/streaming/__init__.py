@@ -1,0 +1 @@
+"""Empty on purpose: the operators are all batch operators, as are those they have to match."""
