@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import bounded_batches, id_and_text
 
 WINDOW = 10
 #: Bytes of item text per automaton: bounds both what one broadcast holds and a worker's memory.
@@ -158,18 +159,17 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bl
     """
     source = id_and_text(docs)
     lists = blocks(benchmark.select("item_id", "text"), block_bytes)
-    first = next(lists)
-    rest = list(lists)
-    if not rest:
+    first, second = next(lists), next(lists, None)
+    if second is None:
         return scan_block(source, first, size)
     # Rows that repeat a doc_id stay apart by their text; equal rows are counted and dealt out again.
     keyed = source.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
     row = F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256)
     one = keyed.select(F.struct("doc_id", row.alias("key"), "copies").alias("doc_id"), "text")
-    found = [scan_block(one, x, size) for x in [first, *rest]]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
+    # The driver holds a block only until it is shipped.
+    every = scan_block(one, first, size)
+    for items in chain([second], lists):
+        every = every.unionByName(scan_block(one, items, size))
     flat = lambda c: F.flatten(F.collect_list(c))
     merged = every.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
@@ -194,6 +194,7 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs``, with all columns, without those that hold a window of an item; a filter for each block of items, no shuffle."""
+    bounded_batches(docs.sparkSession)
     for items in blocks(benchmark.select("item_id", "text"), block_bytes):
         shipped = docs.sparkSession.sparkContext.broadcast(items)
 

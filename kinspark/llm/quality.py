@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 COMMON, WORD_LENGTH, LANGUAGES = 40, 8, 200
 #: Limits of the two distances, and the least characters and words for them to be judged.
@@ -110,11 +110,11 @@ def references(docs: DataFrame) -> tuple[list[str], DataFrame]:
     counts = class_counts()
     text = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     per = stripped(text, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(k) for k, c in counts.items()))
-    per = per.orderBy(F.desc("docs"), "lang").limit(LANGUAGES * 5)
-    rows = [r.asDict() for r in per.collect()]
+    per = stored(per, "language-classes")
+    rows = [r.asDict() for r in per.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()]
     # The sum over all languages; a language beyond the bound is judged by it.
-    whole = {k: sum(r[k] for r in rows) for k in counts}
-    named = {r["lang"]: r for r in rows[:LANGUAGES] if r["lang"] != ANY} | {ANY: whole}
+    whole = {k: v or 0 for k, v in per.agg(*(F.sum(k).alias(k) for k in counts)).first().asDict().items()}
+    named = {r["lang"]: r for r in rows if r["lang"] != ANY} | {ANY: whole}
     top: dict[str, dict[str, int]] = {}
     for r in common_words(docs).where(F.col("lang").isin(list(named))).collect():
         top.setdefault(r["lang"], {})[r["word"]] = r["n"]
