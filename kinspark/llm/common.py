@@ -43,6 +43,14 @@ def lower_ascii(c):
     return F.translate(c, UPPER, LOWER)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, unless the session has a bound below its default: long texts come many to a batch,
+    and a batch is held on both sides of the pipe to Python."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so extra columns of any name cannot clash."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -99,18 +99,12 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                sets = [shingle_set(x, shingle).tobytes() for x in word_hashes(batch.column("text"), lower=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": pa.array(sets, pa.binary())})
+                sets = [np.sort(shingle_set(x, shingle).view(np.int64)) for x in word_hashes(batch.column("text"), lower=True)]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "shingles": lists})
 
-    return source.mapInArrow(run, f"doc_id {kind}, shingles binary")
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets reach the similarity; exact in whole numbers."""
-    if SIMILAR[1] * min(len(a), len(b)) < SIMILAR[0] * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+    return source.mapInArrow(run, f"doc_id {kind}, shingles array<long>")
 
 
 def sizes_fit(a: Column, b: Column) -> Column:
@@ -118,19 +112,11 @@ def sizes_fit(a: Column, b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    kind = pairs.schema["a"].dataType.simpleString()
+    """The pairs (a, b) whose sets are similar; exact in whole numbers."""
     both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "sb", 8 << 20):
-                sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-                keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(sa, sb)]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    return both.where(SIMILAR[1] * F.col("n") >= SIMILAR[0] * (F.col("total") - F.col("n"))).select("a", "b")
 
 
 def cross_links(table: pa.Table) -> pa.Table:
@@ -141,7 +127,10 @@ def cross_links(table: pa.Table) -> pa.Table:
     """
     ids, comp = table.column("rep").to_pylist(), table.column("comp").to_pylist()
     side = table.column("side").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    lists = table.column("shingles").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    values, edges = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sets = [values[i:j] for i, j in zip(edges, edges[1:])]
     size = np.array([len(x) for x in sets], np.int64)
     _, row, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     member = np.repeat(np.arange(len(sets)), size)
