@@ -344,7 +344,18 @@ def sim_wratio(spark, sf_dir):
     return scored(spark, sf_dir, "nm_wratio", "ad_wratio")
 
 
-@query()
+ADN = SORTED.replace("nmc", "adn")
+STRINGS = f"SELECT a_ad AS a, b_ad AS b FROM pairs UNION SELECT a_ads, b_ads FROM pairs UNION SELECT {ADN.format('a')}, {ADN.format('b')} FROM pairs UNION SELECT x, y FROM sets"
+ADDRESS = (
+    SETS.replace("nmc", "adn")
+    + O.lcs("{}").replace("SELECT DISTINCT a AS a, b AS b FROM pairs", STRINGS)
+    + FULL.replace("SELECT s1_id, tgt_id, round(", ", tset AS (SELECT s1_id, tgt_id, round(").replace("nmc", "adn").replace("nm_tset", "ad_tset")
+    + f") SELECT p.s1_id, p.tgt_id, {RATIO.replace('l.', 'r.')} AS ad_ratio, ad_tset, {RATIO.replace('l.', 't.')} AS ad_tsort, {RATIO.replace('l.', 's.')} AS ad_sorted "
+    f"FROM pairs p JOIN tset USING (s1_id, tgt_id) JOIN lcs r ON p.a_ad = r.a AND p.b_ad = r.b JOIN lcs s ON p.a_ads = s.a AND p.b_ads = s.b JOIN lcs t ON {ADN.format('p.a')} = t.a AND {ADN.format('p.b')} = t.b"
+)
+
+
+@query(ADDRESS)
 def sim_address(spark, sf_dir):
     return scored(spark, sf_dir, "ad_ratio", "ad_tset", "ad_tsort", "ad_sorted")
 
