@@ -23,6 +23,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ from .common import id_and_text, new_path, stored
 SEGMENT_IDS = 16 * rangecoder.BLOCK
 SEGMENTS_A_FILE = 8
 HEAD = struct.Struct("<4sIII")
-CACHE_WORDS = 400_000
+#: Words and pieces remembered per Python worker, about 150 bytes each.
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 700_000
 
 
 class WordEncoder:
@@ -89,7 +91,7 @@ class WordEncoder:
         new = sorted({p for own in parts.values() for p in own if p not in self.pieces})
         spelled = ["".join([self.letters[b] for b in p.encode()]) for p in new]
         for p, e in zip(new, self.bare.encode_batch_fast(spelled, add_special_tokens=False)):
-            self.pieces[p] = np.array(e.ids, np.uint16).tobytes()
+            self.pieces[p] = array("H", e.ids).tobytes()
         for w, own in parts.items():
             self.words[w] = b"".join([self.pieces[p] for p in own])
 
@@ -97,7 +99,7 @@ class WordEncoder:
         """Ids of each text, as uint16."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        if len(self.pieces) > CACHE_WORDS:
+        if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         plain = [self.bare is not None and self.plain(t or "") for t in texts]
         split = [(t or "").split() if p else [] for t, p in zip(texts, plain)]
@@ -110,6 +112,16 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(get, own)), np.uint16) if p else np.array(next(rest).ids, np.uint16) for own, p in zip(split, plain)]
 
 
+_LOADED: dict[str, WordEncoder] = {}
+
+
+def load(path: str) -> WordEncoder:
+    """One encoder per Python worker and file: its memory outlives a task."""
+    if path not in _LOADED:
+        _LOADED[path] = WordEncoder(path)
+    return _LOADED[path]
+
+
 def pack(docs: list[tuple[int | None, np.ndarray]], alphabet: int) -> bytes:
     """A segment of (doc_id, ids)."""
     ids = [i for i, _ in docs]
@@ -164,7 +176,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = load(vocabulary)
         if encoder.size > 1 << 16:
             raise ValueError(f"ids must be below 65,536; the vocabulary has {encoder.size}")
         for some in runs(batches, encoder, end):
