@@ -41,7 +41,7 @@ from .wordhash import mix, rolled, word_hashes
 
 HOT = 50_000
 #: Segments in a shard, about.
-SHARD = 60_000
+SHARD = 30_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
@@ -185,19 +185,23 @@ def search_shard(table: pa.Table, window: int) -> pa.Table:
 def occurrences(chosen: DataFrame, window: int, gram: int) -> DataFrame:
     """doc_id, row_key, key, start and n (windows) of every chosen segment."""
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    pairs = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                found = []
+                keys, places, sizes, ends = [], [], [], [0]
                 for text, own, starts, hot in zip(*columns(batch, "text"), word_hashes(batch.column("text")), *columns(batch, "starts", "hot")):
-                    got = own_segments(text, own, dict(zip(starts, hot)), window, gram)
-                    found.append([{"key": key - (key >> 63 << 64), "start": s, "n": n} for s, n, _, key, _ in got])
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "found": pa.array(found, pairs)})
+                    for start, n, _, key, _ in own_segments(text, own, dict(zip(starts, hot)), window, gram):
+                        keys.append(key)
+                        places.append(start)
+                        sizes.append(n)
+                    ends.append(len(keys))
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
+                out = {"key": np.array(keys, np.uint64).view(np.int64), "start": np.array(places, np.int32), "n": np.array(sizes, np.int32)}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key")} | {k: lists(x) for k, x in out.items()})
 
-    out = chosen.mapInArrow(run, f"doc_id {kind}, row_key long, found array<struct<key:long,start:int,n:int>>")
-    return out.select("doc_id", "row_key", F.inline("found"))
+    out = chosen.mapInArrow(run, f"doc_id {kind}, row_key long, key array<long>, start array<int>, n array<int>")
+    return out.select("doc_id", "row_key", F.inline(F.arrays_zip("key", "start", "n")))
 
 
 def cut(text: str | None, covered: list[tuple[int, int]], window: int) -> tuple[np.ndarray, list[bytes]]:
@@ -218,7 +222,7 @@ def removals(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFr
     each = anchors(known, window, gram)
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     shared = shared.where("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot"))
-    marked = each.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "hot")).alias("s"))
+    marked = each.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "hot")).alias("s"))
     marked = marked.select("doc_id", "row_key", F.col("s.start").alias("starts"), F.col("s.hot").alias("hot"))
     chosen = stored(known.join(marked, ["doc_id", "row_key"]), "shared")
     total = chosen.agg(F.sum(F.size("starts"))).first()[0] or 0
@@ -228,7 +232,7 @@ def removals(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFr
     own = occurrences(chosen, window, gram).join(verdicts, "key")
     bits = F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))
     own = own.select("doc_id", "row_key", "start", bits.alias("bits")).where("bits != 0")
-    return chosen, own.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "bits")).alias("covered"))
+    return chosen, own.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "bits")).alias("covered"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
