@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    """Count and order-free hash sum: two numbers tell whether a round changed anything."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their count and order-free hash sum, taken as they are written: two numbers tell whether a round changed anything."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    out = stored(told, "links")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,16 +24,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     one can be split. Every round is written to the shared folder.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = stored(edges, "links")
-    seen = fingerprint(edges)
+    edges, seen = written(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = fingerprint(edges)
+        edges, now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if now == seen:
             break
         seen = now
