@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SMALL, THRESHOLDS
+from ..config import PRODUCTION, SMALL, THRESHOLDS, Params
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import decide as D
@@ -24,6 +26,8 @@ from . import oracle as O
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 TH = 0.8
+#: The limits that queries are built under: SMALL, as in the SQL, or PRODUCTION by ``whole``.
+LIMITS: ContextVar[Params] = ContextVar("limits", default=SMALL)
 
 
 def query(sql: str | None = None, chain: bool = True):
@@ -38,6 +42,20 @@ def query(sql: str | None = None, chain: bool = True):
     return add
 
 
+def whole(f):
+    """``f`` under the limits of production."""
+
+    @wraps(f)
+    def run(spark, sf_dir):
+        token = LIMITS.set(PRODUCTION)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            LIMITS.reset(token)
+
+    return run
+
+
 def texts(spark, sf_dir) -> DataFrame:
     return FX.documents(spark, sf_dir).select("doc_id", X.blank(F.col("text")).alias("text"))
 
@@ -48,7 +66,7 @@ def views(spark, sf_dir) -> DataFrame:
 
 
 def index(spark, sf_dir) -> R.Index:
-    return R.Index(views(spark, sf_dir).where("src > 1"), SMALL)
+    return R.Index(views(spark, sf_dir).where("src > 1"), LIMITS.get())
 
 
 def entities(spark, sf_dir) -> DataFrame:
@@ -63,7 +81,7 @@ def candidates(spark, sf_dir) -> DataFrame:
 def decorated(spark, sf_dir) -> DataFrame:
     """Pairs with the views of both sides and a closed-form probability ``p``, which needs no trained model."""
     v = views(spark, sf_dir)
-    pairs = PR.decorated(PR.context(candidates(spark, sf_dir), SMALL), v)
+    pairs = PR.decorated(PR.context(candidates(spark, sf_dir), LIMITS.get()), v)
     s = PR.structural()
     p = F.round(0.5 * F.col("score_ratio") + 0.25 * s["nm_len_ratio"] + 0.25 * s["ad_tok_ratio"], 6)
     return pairs.withColumn("p", p)
@@ -198,7 +216,7 @@ def index_mindf(spark, sf_dir):
 @query("SELECT s1_id, src, country, field::BIGINT AS field, token, df, pos, before FROM prefix")
 def query_prefix(spark, sf_dir):
     i = index(spark, sf_dir)
-    df = R.prefix(R.ranked_tokens(views(spark, sf_dir).where("src = 1"), i.weights, SMALL), SMALL)
+    df = R.prefix(R.ranked_tokens(views(spark, sf_dir).where("src = 1"), i.weights, LIMITS.get()), LIMITS.get())
     return long(df.select("s1_id", "src", "country", "field", "token", "df", "pos", "before"), "field", "pos")
 
 
@@ -223,7 +241,7 @@ def retrieve_topk(spark, sf_dir):
 
 @query("SELECT s1_id, src, tgt_id, rank_n, round(score_ratio, 6) AS score_ratio, round(score_margin, 6) AS score_margin, ncand_n, is_s3 FROM context")
 def pair_context(spark, sf_dir):
-    df = PR.context(candidates(spark, sf_dir), SMALL)
+    df = PR.context(candidates(spark, sf_dir), LIMITS.get())
     return long(df.select("s1_id", "src", "tgt_id", "rank_n", F.round("score_ratio", 6).alias("score_ratio"), F.round("score_margin", 6).alias("score_margin"), "ncand_n", "is_s3"), "is_s3")
 
 
@@ -245,7 +263,7 @@ def pair_numeric(spark, sf_dir):
 
 @query("SELECT s1_id, tgt_id, 0.0::DOUBLE AS mindf_a, round(ln(1 + b_mindf::DOUBLE), 6) AS mindf_b, 0.0::DOUBLE AS mindf_min FROM pairs")
 def pair_rarity(spark, sf_dir):
-    df = PR.with_rarity(PR.context(candidates(spark, sf_dir), SMALL), index(spark, sf_dir), SMALL)
+    df = PR.with_rarity(PR.context(candidates(spark, sf_dir), LIMITS.get()), index(spark, sf_dir), LIMITS.get())
     return df.select("s1_id", "tgt_id", "mindf_a", F.round("mindf_b", 6).alias("mindf_b"), "mindf_min")
 
 
@@ -262,7 +280,7 @@ def pair_list_lengths(spark, sf_dir):
 @query()
 def pair_features(spark, sf_dir):
     """All 45, with the label."""
-    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL)
+    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), LIMITS.get())
     return pairs.select("s1_id", "src", "tgt_id", *(F.col(f).cast("double").alias(f) for f in PR.FEATURES), "label")
 
 
@@ -397,7 +415,7 @@ MODEL_FEATURES = [f for f in PR.FEATURES if f not in S.SCORERS or f in ("nm_rati
 def training(spark, sf_dir) -> DataFrame:
     """Pairs of the fit part. Materialised once: every pass of a fit would score them again."""
     scorers = [f for f in MODEL_FEATURES if f in S.SCORERS]
-    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), SMALL, scorers)
+    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), LIMITS.get(), scorers)
     pairs = pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in MODEL_FEATURES))
     return pairs.persist()
 
@@ -722,21 +740,25 @@ def grid_sql() -> str:
     return ", " + ", ".join(tables) + " " + " UNION ALL ".join(rows)
 
 
-@query(grid_sql())
-def budget_grid(spark, sf_dir):
+def grid(spark, sf_dir, configs: list[Params], lengths: tuple[int, ...]) -> DataFrame:
     """Candidates and found true pairs by budget and list length; shorter lists are cut from the longest."""
     v, truth = views(spark, sf_dir), FX.truth(spark, sf_dir)
     out = None
-    for budget in (20, 60, 200):
-        own = R.Index(v.where("src > 1"), SMALL.with_(budget=budget)).candidates(v.where("src = 1"))
+    for params in configs:
+        own = R.Index(v.where("src > 1"), params.with_(topk=max(lengths))).candidates(v.where("src = 1"))
         hits = own.join(truth.select("s1_id", "tgt_id", F.lit(1).alias("hit")), ["s1_id", "tgt_id"], "left")
-        sums = hits.agg(*(F.count(F.when(F.col("rank") < k, 1)).alias(f"c{k}") for k in (1, 3, 5)), *(F.count(F.when((F.col("rank") < k) & (F.col("hit") == 1), 1)).alias(f"f{k}") for k in (1, 3, 5)))
-        rows = F.explode(F.array(*(F.struct(F.lit(budget).cast("long").alias("budget"), F.lit(k).cast("long").alias("topk"), F.col(f"c{k}").alias("candidates"), F.col(f"f{k}").alias("found")) for k in (1, 3, 5))))
+        sums = hits.agg(*(F.count(F.when(F.col("rank") < k, 1)).alias(f"c{k}") for k in lengths), *(F.count(F.when((F.col("rank") < k) & (F.col("hit") == 1), 1)).alias(f"f{k}") for k in lengths))
+        rows = F.explode(F.array(*(F.struct(F.lit(params.budget).cast("long").alias("budget"), F.lit(k).cast("long").alias("topk"), F.col(f"c{k}").alias("candidates"), F.col(f"f{k}").alias("found")) for k in lengths)))
         one = sums.select(rows.alias("r")).select("r.*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(grid_sql())
+def budget_grid(spark, sf_dir):
+    return grid(spark, sf_dir, [SMALL.with_(budget=b) for b in (20, 60, 200)], (1, 3, 5))
+
+
 def scratch(spark: SparkSession) -> str:
     """A folder that all executors can reach, or a local one in local mode."""
     import tempfile
@@ -767,3 +789,26 @@ def views_roundtrip(spark, sf_dir):
     path = scratch(spark)
     T.write_views(views(spark, sf_dir).withColumn("split", F.lit("train")), path)
     return T.read_views(spark, path, "train", 2, "en").select("entity_id", "nmc", "adn")
+
+
+# ---------------------------------------------------------------- whole
+
+#: Queries on candidates that have SQL keep its limits under their own names; "_whole" has them under the limits of production.
+RETRIEVED = [
+    "query_prefix", "query_weights", "retrieve_scores", "retrieve_topk",
+    "pair_context", "pair_structural", "pair_numeric", "pair_rarity", "pair_labels", "pair_list_lengths",
+    "sim_ratio", "sim_ratio_native", "sim_token_sort", "sim_sorted", "sim_num", "sim_zip", "sim_token_set", "sim_jw", "sim_address",
+    "decide_threshold", "decide_rule", "best_probability", "decide_bijective", "threshold_sweep", "best_threshold",
+    "assemble_matches", "assemble_candidates", "metric_f05", "metric_summary",
+    "block_coverage", "block_recall", "block_cand_dist", "block_reduction", "recall_at_k", "absent_rate",
+    "err_confusion", "err_rank_buckets", "err_entity_ok", "err_fp_by_source", "err_feature_means", "err_fn_split", "err_examples_fp", "err_examples_fn",
+]
+QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in RETRIEVED}
+#: Without SQL, nothing holds a query to small limits.
+QUERIES |= {name: whole(QUERIES[name]) for name in ("pair_features", "sim_partial", "sim_wratio", "model_lr", "model_gbt", "model_blend")}
+
+
+@query()
+def budget_grid_whole(spark, sf_dir):
+    """The grid of the published blocking."""
+    return grid(spark, sf_dir, [PRODUCTION.with_(kq=k, budget=b) for k, b in ((60, 40_000), (100, 80_000), (200, 200_000))], (20, 30, 45))
