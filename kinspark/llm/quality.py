@@ -5,7 +5,7 @@ with its language's references by the Jensen-Shannon distance (base 2, so 0 to 1
 references are counted over all documents: class totals, and the ``COMMON`` most
 frequent short words of each language. A document is rejected where a distance
 exceeds its limit; the guards leave out documents too short for a histogram to
-mean anything. The base rules (fewer than 50 words, over half of the words in repeated
+mean anything. A long one without any common word is as far from them as can be, at distance 1. The base rules (fewer than 50 words, over half of the words in repeated
 three-word windows) reject regardless.
 
 Null text counts as no words and fails the base rules. Languages beyond the
@@ -169,7 +169,8 @@ def judged(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     # A reference word that the document lacks adds its whole share.
     words_twice = F.aggregate("bins", F.lit(1.0), lambda a, b: a - b["q"] + term(b["p"], b["q"]))
     df = df.withColumn("char_distance", F.when(F.col("n_chars") >= LEAST_CHARS, distance(chars)))
-    df = df.withColumn("word_distance", F.when((F.col("n_words") >= LEAST_WORDS) & (F.size("own") > 0) & (F.size("ref_words") > 0), distance(words_twice)))
+    words_far = F.when(F.size("own") > 0, distance(words_twice)).otherwise(1.0)
+    df = df.withColumn("word_distance", F.when((F.col("n_words") >= LEAST_WORDS) & (F.size("ref_words") > 0), words_far))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > CHAR_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

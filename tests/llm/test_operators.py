@@ -391,6 +391,19 @@ def test_quality_distances(spark):
     from kinspark.llm.queries import QUERIES  # noqa: F401  the queries import as one module
 
 
+def test_quality_without_common_words(spark):
+    """A long document with none of the common words is rejected by its words, a shorter one is not judged by them."""
+    rng = random.Random(11)
+    tail = lambda n: " ".join("".join(rng.choices("etaoinshr", k=9)) for _ in range(n))
+    usual = ["the of and in to " * 9 + tail(120) for _ in range(40)]
+    got = {r.doc_id: r for r in quality.judged(documents(spark, [*usual, tail(150), tail(60)])).collect()}
+    long_, short = got[len(usual)], got[len(usual) + 1]
+    assert long_.char_distance <= quality.CHAR_LIMIT and not long_.base_failed
+    assert long_.word_distance == 1.0 and not long_.kept
+    assert short.word_distance is None and short.kept
+    assert all(got[i].kept for i in range(len(usual)))
+
+
 def test_quality_stays_in_the_jvm(spark, texts):
     plan = quality.judged(documents(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
