@@ -409,34 +409,30 @@ def neg_downsample(spark, sf_dir):
     return long(L.downsample(closed(spark, sf_dir), 3, 200).select("s1_id", "tgt_id", "label"), "label")
 
 
-MODEL_FEATURES = [f for f in PR.FEATURES if f not in S.SCORERS or f in ("nm_ratio", "nm_tset", "ad_ratio", "ad_tset", "num_ratio", "nm_jw")]
-
-
 def training(spark, sf_dir) -> DataFrame:
     """Pairs of the fit part. Materialised once: every pass of a fit would score them again."""
-    scorers = [f for f in MODEL_FEATURES if f in S.SCORERS]
-    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), LIMITS.get(), scorers)
-    pairs = pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in MODEL_FEATURES))
+    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), LIMITS.get())
+    pairs = pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in PR.FEATURES))
     return pairs.persist()
 
 
 @query()
 def model_lr(spark, sf_dir):
     pairs = training(spark, sf_dir)
-    return L.probability(pairs, L.fit_logistic(pairs, MODEL_FEATURES, max_iter=50), "p_lr").select("s1_id", "tgt_id", "p_lr")
+    return L.probability(pairs, L.fit_logistic(pairs, list(PR.FEATURES)), "p_lr").select("s1_id", "tgt_id", "p_lr")
 
 
 @query()
 def model_gbt(spark, sf_dir):
     pairs = training(spark, sf_dir)
-    return L.probability(pairs, L.fit_trees(pairs, MODEL_FEATURES, rounds=5, depth=4), "p_gbt").select("s1_id", "tgt_id", "p_gbt")
+    return L.probability(pairs, L.fit_trees(pairs, list(PR.FEATURES)), "p_gbt").select("s1_id", "tgt_id", "p_gbt")
 
 
 @query()
 def model_blend(spark, sf_dir):
     pairs = training(spark, sf_dir)
-    both = L.probability(pairs, L.fit_logistic(pairs, MODEL_FEATURES, max_iter=20), "p_lr")
-    both = L.probability(both, L.fit_trees(pairs, MODEL_FEATURES, rounds=3, depth=3), "p_gbt")
+    both = L.probability(pairs, L.fit_logistic(pairs, list(PR.FEATURES)), "p_lr")
+    both = L.probability(both, L.fit_trees(pairs, list(PR.FEATURES)), "p_gbt")
     return both.select("s1_id", "tgt_id", "label", L.blend(F.col("p_gbt"), F.col("p_lr")).alias("p"))
 
 
@@ -812,3 +808,11 @@ QUERIES |= {name: whole(QUERIES[name]) for name in ("pair_features", "sim_partia
 def budget_grid_whole(spark, sf_dir):
     """The grid of the published blocking."""
     return grid(spark, sf_dir, [PRODUCTION.with_(kq=k, budget=b) for k, b in ((60, 40_000), (100, 80_000), (200, 200_000))], (20, 30, 45))
+
+
+@query()
+def neg_downsample_whole(spark, sf_dir):
+    return long(L.downsample(closed(spark, sf_dir)).select("s1_id", "tgt_id", "label"), "label")
+
+
+QUERIES["neg_downsample_whole"] = whole(neg_downsample_whole)

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from kinspark import config
+from kinspark.operators import learn
+from kinspark.operators import pairs as PR
 from kinspark.plans import oracle
 
 
@@ -50,3 +52,17 @@ def test_grid(spark, small, entry_module):
         by_length.setdefault(r.topk, set()).add((r.candidates, r.found))
     assert all(len(v) == 1 for v in by_length.values())
     assert next(iter(by_length[30]))[0] == entry_module.queries()["retrieve_topk_whole"](spark, small).count()
+
+
+@pytest.mark.parametrize("name", ["model_lr", "model_gbt", "model_blend", "neg_downsample_whole"])
+def test_learning_is_whole(spark, small, entry_module, monkeypatch, name):
+    """All 45 features and the operators' own settings; the fits themselves are left out."""
+    asked = []
+    for f in ("fit_logistic", "fit_trees", "downsample"):
+        monkeypatch.setattr(learn, f, lambda pairs, *a, f=f, **k: asked.append((f, a, k)) or pairs)
+    monkeypatch.setattr(learn, "probability", lambda pairs, model, n: pairs.selectExpr("*", f"0D AS {n}"))
+    entry_module.queries()[name](spark, small)
+    every = (list(PR.FEATURES),)
+    lr, gbt = ("fit_logistic", every, {}), ("fit_trees", every, {})
+    assert len(PR.FEATURES) == 45
+    assert asked == {"model_lr": [lr], "model_gbt": [gbt], "model_blend": [lr, gbt], "neg_downsample_whole": [("downsample", (), {})]}[name]
