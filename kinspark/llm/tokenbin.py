@@ -1,7 +1,7 @@
 """Token ids in binary files, and back.
 
-``write`` sorts documents by doc_id into range partitions, encodes each text with
-the tokenizers library, appends an end id, and packs runs of documents into
+``write`` sorts documents by doc_id into range partitions, encodes each text as
+the tokenizers library does (see ``pieces``), appends an end id, and packs runs of documents into
 segments: a document index and the ids in range-coded blocks (see ``rangecoder``).
 A file is a sequence of segments, written through Spark's own writer, so any
 store that Spark writes to will do and a lost executor's half-written file is never
@@ -14,125 +14,43 @@ the index (u32); the index, deflated: number of documents (u32), a byte for each
 
 Null and empty texts have the end id only. Rows that repeat a doc_id are kept, next to
 each other; a null doc_id sorts first. A text longer than a segment makes a segment of
-its own, with as many blocks as it takes. Vocabularies of over 65,536 ids raise ValueError.
+its own, with as many blocks as it takes. An empty table writes no segment and reads back empty. Only doc_id
+and text are read, so other columns of any name don't matter. Vocabularies of over 65,536 ids raise ValueError.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .bpe import byte_letters, slices
+from .bpe import slices
 from .common import id_and_text, new_path, stored
+from .pieces import PieceEncoder, load
 
-SEGMENT_IDS = 16 * rangecoder.BLOCK
-SEGMENTS_A_FILE = 8
+#: Ids of a segment at most, unless a slice of texts has more; segments of a file; bytes of text encoded at once.
+SEGMENT_IDS = rangecoder.GROUP * rangecoder.BLOCK
+SEGMENTS_A_FILE, SLICE = 8, 1 << 20
 HEAD = struct.Struct("<4sIII")
-#: Words and pieces remembered per Python worker, about 150 bytes each.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 700_000
-
-
-class WordEncoder:
-    """The tokenizers library, asked once for each distinct piece of a word.
-
-    Where the file's steps are the known ones (NFC, white space, lower case, a
-    splitting pattern, byte letters) and a text is Latin-1 without special tokens, those
-    steps work on each word by itself and NFC changes nothing; then words are
-    looked up, and only the library's merging runs, on new pieces. Any other
-    text goes through the library whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
-        known = known and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
-        self.bare = None
-        if known:
-            self.split = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
-            self.letters = byte_letters()
-            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
-
-    def plain(self, text: str) -> bool:
-        if any(x in text for x in self.special) or any(x in text for x in "\x1c\x1d\x1e\x1f"):
-            return False
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return True
-
-    def learn(self, words: set[str]) -> None:
-        parts = {w: self.split.findall(w.lower()) for w in words}
-        new = sorted({p for own in parts.values() for p in own if p not in self.pieces})
-        spelled = ["".join([self.letters[b] for b in p.encode()]) for p in new]
-        for p, e in zip(new, self.bare.encode_batch_fast(spelled, add_special_tokens=False)):
-            self.pieces[p] = array("H", e.ids).tobytes()
-        for w, own in parts.items():
-            self.words[w] = b"".join([self.pieces[p] for p in own])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, as uint16."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        plain = [self.bare is not None and self.plain(t or "") for t in texts]
-        split = [(t or "").split() if p else [] for t, p in zip(texts, plain)]
-        known = self.words
-        new = {w for own in split for w in own if w not in known}
-        if new:
-            self.learn(new)
-        rest = iter(self.whole.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), np.uint16) if p else np.array(next(rest).ids, np.uint16) for own, p in zip(split, plain)]
-
-
-_LOADED: dict[str, WordEncoder] = {}
-
-
-def load(path: str) -> WordEncoder:
-    """One encoder per Python worker and file: its memory outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
-
-
-def pack(docs: list[tuple[int | None, np.ndarray]], alphabet: int) -> bytes:
-    """A segment of (doc_id, ids)."""
-    ids = [i for i, _ in docs]
+
+
+def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, alphabet: int) -> bytes:
+    """A segment of documents with ``counts`` ids each."""
     index = zlib.compress(
-        struct.pack("<I", len(docs))
-        + bytes(i is None for i in ids)
-        + np.array([i or 0 for i in ids], "<i8").tobytes()
-        + np.array([len(x) for _, x in docs], "<u4").tobytes(),
+        struct.pack("<I", len(doc_ids))
+        + bytes(i is None for i in doc_ids)
+        + np.array([i or 0 for i in doc_ids], "<i8").tobytes()
+        + counts.astype("<u4").tobytes(),
         1,
     )
-    blocks = rangecoder.encode(np.concatenate([x for _, x in docs]), alphabet)
+    blocks = rangecoder.encode(ids, alphabet)
     return HEAD.pack(b"KSG1", len(index), len(blocks), zlib.crc32(index)) + index + blocks
 
 
@@ -154,20 +72,25 @@ def unpack(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarr
         at += n_index + n_blocks + 1
 
 
-def runs(batches: Iterable[pa.RecordBatch], encoder: WordEncoder, end: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    """Documents with their ids, in lists of about ``SEGMENT_IDS``."""
-    held, size = [], 0
-    tail = np.array([end], np.uint16)
+def runs(batches: Iterable[pa.RecordBatch], encoder: PieceEncoder, end: int) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """doc_ids, numbers of ids and ids of documents, in runs of at most ``SEGMENT_IDS`` where a slice of texts allows."""
+    held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def taken() -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        return [i for own, _, _ in held for i in own], np.concatenate([c for _, c, _ in held]), np.concatenate([x for _, _, x in held])
+
     for whole in batches:
-        for batch in slices(whole, "text", 2 << 20):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                held.append((doc, np.concatenate((ids, tail))))
-                size += len(ids) + 1
-                if size >= SEGMENT_IDS:
-                    yield held
-                    held, size = [], 0
+        for batch in slices(whole, "text", SLICE):
+            ids, counts = encoder.encode(batch.column("text"))
+            ids = np.insert(ids, np.cumsum(counts), end)
+            if held and size + len(ids) > SEGMENT_IDS:
+                yield taken()
+                held, size = [], 0
+            held.append((batch.column("doc_id").to_pylist(), counts + 1, ids))
+            size += len(ids)
     if held:
-        yield held
+        yield taken()
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
@@ -180,7 +103,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
         if encoder.size > 1 << 16:
             raise ValueError(f"ids must be below 65,536; the vocabulary has {encoder.size}")
         for some in runs(batches, encoder, end):
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([pack(some, encoder.size)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([pack(*some, encoder.size)], pa.binary())})
 
     # The text writer puts a line feed after each value and leaves its bytes alone.
     segments = ordered.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value"))
@@ -203,7 +126,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 place = before = 0
                 for docs, counts, ids in unpack(content):
                     ends = np.cumsum(counts)
-                    wide = ids.astype("<u4")
+                    places = pa.py_buffer(np.append(0, 4 * ends).astype(np.int64))
+                    wide = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, places, pa.py_buffer(ids.astype("<u4"))])
                     yield pa.RecordBatch.from_pydict(
                         {
                             "part": pa.array([file["part"]] * len(docs), pa.int64()),
@@ -211,7 +135,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                             "place": pa.array(np.arange(place, place + len(docs))),
                             "doc_id": pa.array(docs, pa.int64()),
                             "before": pa.array(before + ends - counts),
-                            "ids": pa.array([wide[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())], pa.binary()),
+                            "ids": wide.cast(pa.binary()),
                         }
                     )
                     place, before = place + len(docs), before + int(counts.sum())
