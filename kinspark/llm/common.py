@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space (space, and tab to carriage return) parts words.
@@ -19,12 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Outside a cluster, where the setting is unset, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. In local mode, where the setting may be unset, one of our own;
+    a cluster without it raises, for executors could not read what others wrote to a folder of one machine."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="kinspark-")
-        spark.conf.set("spark.checkpoint.dir", there)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="kinspark-"))
+            atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), True)
+        there = _OWN[0]
     return there.rstrip("/")
 
 
@@ -39,6 +49,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def smallest(df: DataFrame, by: str, n: int, *order: str, salts: int = 16) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, whose first column is a hash: salted first, so that a group with most of the rows is ranked in many tasks."""
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    some = df.withColumn("__n", rank(by, F.pmod(order[0], F.lit(salts)))).where(F.col("__n") <= n)
+    return some.withColumn("__n", rank(by)).where(F.col("__n") <= n).drop("__n")
+
+
 def lower_ascii(c):
     return F.translate(c, UPPER, LOWER)
 

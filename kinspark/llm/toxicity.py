@@ -1,14 +1,21 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the distinct words of a text and their four- and
-five-letter beginnings. For every training text that names a group, the same text with each
-other identity term in its place is a counterfactual; the squared change of the
-score is added to the loss, so a neutral mention cannot raise it.
-
-Training reads a bounded sample of labelled rows: at most ``PER_CLASS`` of each
-label, chosen by hash of the id. Scoring reads whole texts. Null and empty texts
-have no features and get the score of the bias alone; repeated rows repeat it.
-Without both labels in the sample the model is constant.
+five-letter beginnings. For a training text that names a group, the same text with another term
+of the lexicon in its place is a counterfactual; the squared change of the
+logit is added to the loss, so a neutral mention cannot raise the score.
+
+The lexicon has terms in four languages, singular and plural apart; a term is swapped with
+those of its own list only, of which one names no group. Where training texts name fewer groups than ``TEMPLATED`` pairs need,
+a neutral sentence with a term is put into labelled texts (all of them in turn) and the term
+swapped there: pairs never lack, whatever the corpus is about.
+
+Training reads a bounded sample of labelled rows: at most ``PER_CLASS`` documents of each
+label, those with the smallest hash of their id, and of each its distinct words, from the whole of all its
+rows. Scoring reads whole texts. Null and empty texts
+have no features and get the score of the bias alone; repeated rows repeat it, and rows that share a doc_id
+with other texts are scored each by its own text. Without both labels in the sample the model is constant. An empty table gives no
+rows. Only doc_id, text and toxic are read, so other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -20,64 +27,99 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, smallest
 from .langid import held_out
 
-#: Bounds: labelled texts of each class and features kept.
-PER_CLASS, FEATURES = 3000, 6000
-SALTS = 16
+#: Bounds: labelled documents of each class, features kept, and pairs that templates fill up to.
+PER_CLASS, FEATURES, TEMPLATED = 3000, 6000, 4000
 CACHE_WORDS = 300_000
-#: Words that name a group and may stand in each other's place.
+#: Terms that may stand in each other's place, by language and number; the first of each list names no group.
 IDENTITY = (
-    "women", "men", "muslims", "christians", "jews", "hindus", "buddhists", "atheists", "immigrants", "refugees",
-    "gays", "lesbians", "blacks", "whites", "asians", "africans", "latinos", "arabs", "disabled", "elderly",
+    ("people", "women", "men", "girls", "boys", "muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "immigrants", "refugees", "foreigners", "gays", "lesbians", "blacks", "whites", "asians", "africans", "latinos", "arabs", "turks"),
+    ("person", "woman", "man", "girl", "boy", "muslim", "christian", "jew", "hindu", "buddhist", "atheist", "catholic", "immigrant", "refugee", "foreigner", "lesbian", "african", "latino", "arab", "turk"),
+    ("someone", "female", "male", "black", "white", "asian", "gay", "straight", "transgender", "disabled", "deaf", "blind", "elderly", "young", "poor", "jewish", "islamic"),
+    ("leute", "frauen", "männer", "mädchen", "jungen", "muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "einwanderer", "flüchtlinge", "ausländer", "schwule", "lesben", "schwarze", "weiße", "asiaten", "afrikaner", "araber", "türken", "behinderte"),
+    ("mensch", "frau", "mann", "muslim", "muslimin", "christ", "christin", "jude", "jüdin", "buddhist", "atheist", "katholik", "ausländer", "flüchtling", "schwuler", "lesbe", "schwarzer", "weißer", "asiate", "afrikaner", "araber", "türke", "behinderter"),
+    ("gens", "femmes", "hommes", "filles", "garçons", "musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "immigrés", "réfugiés", "étrangers", "gays", "lesbiennes", "noirs", "blancs", "asiatiques", "africains", "arabes", "turcs", "handicapés"),
+    ("personne", "femme", "homme", "fille", "garçon", "musulman", "musulmane", "chrétien", "chrétienne", "juif", "juive", "bouddhiste", "athée", "catholique", "immigré", "réfugié", "étranger", "lesbienne", "noir", "noire", "blanc", "blanche", "africain", "arabe", "turc", "handicapé"),
+    ("gente", "mujeres", "hombres", "niñas", "niños", "musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos", "inmigrantes", "refugiados", "extranjeros", "gais", "lesbianas", "negros", "blancos", "asiáticos", "africanos", "árabes", "turcos", "discapacitados"),
+    ("persona", "mujer", "hombre", "niña", "niño", "musulmán", "musulmana", "cristiano", "cristiana", "judío", "judía", "budista", "ateo", "católico", "inmigrante", "refugiado", "extranjero", "lesbiana", "negro", "negra", "blanco", "blanca", "africano", "árabe", "turco", "discapacitado"),
+)
+#: The words of a neutral sentence for each of these lists.
+TEMPLATES = (
+    "the {} live here", "a {} lives here", "someone who is {} lives here", "die {} wohnen hier", "hier wohnt ein {}",
+    "les {} habitent ici", "un {} habite ici", "los {} viven aquí", "un {} vive aquí",
 )
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}']+")
 
 
+def words_of(text: str | None) -> set[str]:
+    return set(WORDS.findall((text or "").lower()))
+
+
 def features_of(word: str) -> tuple[str, ...]:
     return (word, "^4" + word[:4], "^5" + word[:5]) if len(word) > 5 else (word, "^4" + word[:4]) if len(word) > 4 else (word,)
 
 
-def features(text: str | None) -> set[str]:
-    return {f for w in set(WORDS.findall((text or "").lower())) for f in features_of(w)}
+def features(words: set[str]) -> set[str]:
+    return {f for w in words for f in features_of(w)}
 
 
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
+    #: Counterfactual pairs that the fit took in.
+    pairs: int = 0
     cache: dict[str, tuple] = field(default_factory=dict, repr=False)
 
     def score(self, text: str | None) -> float:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         get, seen, z = self.cache.get, set(), self.bias
-        for w in set(WORDS.findall((text or "").lower())):
+        for w in words_of(text):
             own = get(w)
             if own is None:
-                self.cache[w] = own = tuple(f for f in features_of(w) if f in self.weights)
+                own = tuple(f for f in features_of(w) if f in self.weights)
+                if len(w) <= 64:
+                    self.cache[w] = own
             if own:
                 seen.update(own)
         z += sum(self.weights[f] for f in sorted(seen))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def swaps(found: set[str], identity: tuple[str, ...]) -> Iterator[set[str]]:
-    """The feature sets with each identity term replaced by each other one."""
-    for term in sorted(found & set(identity)):
-        rest = found - set(features_of(term))
-        for other in identity:
-            if other != term:
-                yield rest | set(features_of(other))
-
-
-def fit(rows: list[tuple[str | None, int]], identity: tuple[str, ...] = IDENTITY, penalty: float = 4.0, ridge: float = 0.0005, rounds: int = 400) -> Model:
-    """Weighted logistic regression with the counterfactual penalty, by full-batch gradient steps."""
-    sets, y = [features(t) for t, _ in rows], np.array([x for _, x in rows], float)
+def swaps(words: set[str], lists: tuple[tuple[str, ...], ...]) -> Iterator[tuple[set[str], set[str]]]:
+    """For each identity term of a text and each other of its list: the features that only the text has, and those that only its counterfactual has."""
+    base = features(words)
+    for terms in lists:
+        for term in sorted(words & set(terms)):
+            for other in terms:
+                if other not in words:
+                    new = features(words - {term} | {other})
+                    yield base - new, new - base
+
+
+def templated(texts: list[set[str]], lists: tuple[tuple[str, ...], ...], n: int) -> Iterator[tuple[set[str], set[str]]]:
+    """``n`` counterfactuals of texts with a neutral sentence put in: texts, lists and terms take turns."""
+    for k in range(n if texts else 0):
+        which = k % len(lists)
+        terms, turn = lists[which], k // len(lists)
+        a, b = terms[turn % len(terms)], terms[(turn + 1 + turn // len(terms)) % len(terms)]
+        sentence = words_of(TEMPLATES[which % len(TEMPLATES)].format(""))
+        held = texts[k % len(texts)] | sentence
+        one, two = features(held | {a}), features(held | {b})
+        yield one - two, two - one
+
+
+def fit(
+    rows: list[tuple[set[str], int]], identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 4.0, ridge: float = 0.0005, rounds: int = 400, fill: int = TEMPLATED
+) -> Model:
+    """Weighted logistic regression of (words, label) with the counterfactual penalty, by full-batch gradient steps."""
+    sets, y = [features(w) for w, _ in rows], np.array([x for _, x in rows], float)
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
         return Model({}, 8.0 if n1 else -8.0)
@@ -92,7 +134,7 @@ def fit(rows: list[tuple[str | None, int]], identity: tuple[str, ...] = IDENTITY
     common = [f for f in {*df[0], *df[1]} if df[0][f] + df[1][f] >= 3]
     z = {f: odds(f) / np.sqrt(1 / (df[1][f] + 0.5) + 1 / (df[0][f] + 0.5)) for f in common}
     kept = sorted((f for f in common if abs(z[f]) > 3), key=lambda f: (-abs(z[f]), f))[:FEATURES]
-    kept = sorted({*kept, *(f for t in identity for f in features_of(t) if f in df[0] or f in df[1])})
+    kept = sorted({*kept, *(f for terms in identity for t in terms for f in features_of(t))})
     at = {f: i for i, f in enumerate(kept)}
 
     def sparse(found: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +142,10 @@ def fit(rows: list[tuple[str | None, int]], identity: tuple[str, ...] = IDENTITY
         return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i in x], int)
 
     r, c = sparse(sets)
-    pairs = [(n, x) for n, s in enumerate(sets) for x in swaps(s, identity)]
-    base, other = np.array([n for n, _ in pairs], int), [x for _, x in pairs]
-    r2, c2 = sparse(other)
+    # Of a pair only what differs changes the logit.
+    pairs = [p for w, _ in rows for p in swaps(w, identity)]
+    pairs += templated([w for w, _ in rows], identity, fill - len(pairs))
+    (r1, c1), (r2, c2) = sparse([a for a, _ in pairs]), sparse([b for _, b in pairs])
     weight = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0)) / len(y)
     w, b, m, v = np.zeros(len(kept)), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, rounds + 1):
@@ -110,29 +153,37 @@ def fit(rows: list[tuple[str | None, int]], identity: tuple[str, ...] = IDENTITY
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         g_logit, g = weight * (p - y), 2 * ridge * w
         if pairs:
-            change = logit[base] - np.bincount(r2, w[c2], len(pairs)) - b
+            change = np.bincount(r1, w[c1], len(pairs)) - np.bincount(r2, w[c2], len(pairs))
             back = penalty * 2 * change / len(pairs)
-            g_pair = np.bincount(base, back, len(y))
-            g += np.bincount(c, g_pair[r], len(kept)) - np.bincount(c2, back[r2], len(kept))
+            g += np.bincount(c1, back[r1], len(kept)) - np.bincount(c2, back[r2], len(kept))
         g += np.bincount(c, g_logit[r], len(kept))
         full = np.append(g, g_logit.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, float(b))
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, identity: tuple[str, ...] = IDENTITY) -> Model:
-    """Fit on a bounded sample. Its ids, at most twice ``per_class``, are all that is broadcast to find the texts."""
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    w = Window.partitionBy("toxic", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_class // SALTS).select("doc_id", "toxic")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    most = 20_000  # characters of a training text; scoring has no such bound
-    got = found.select("doc_id", F.substring("text", 1, most).alias("text"), "toxic").collect()
-    got = sorted((str(r["doc_id"]), r["text"] or "", int(r["toxic"])) for r in got)
-    return fit([(t, x) for _, t, x in got], identity)
+    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, float(b), len(pairs))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[set[str], int]]:
+    """Words and label of the training documents. Their ids, at most twice ``per_class``, are all that is broadcast to find the texts;
+    a document comes back as its distinct words, those of all its rows together."""
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = smallest(rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))), "toxic", per_class, "h", "doc_id")
+    found = id_and_text(docs).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    kind = found.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(words, pa.list_(pa.string()))})
+
+    each = found.mapInArrow(run, f"doc_id {kind}, toxic int, words array<string>").select("doc_id", "toxic", F.explode_outer("words").alias("word")).distinct()
+    got = each.groupBy("doc_id", "toxic").agg(F.collect_list("word").alias("words")).collect()
+    return [(set(w), x) for _, w, x in sorted((str(r["doc_id"]), sorted(r["words"]), r["toxic"]) for r in got)]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+    return fit(sampled(docs, labels, per_class), identity)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
