@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CHAR_LIMIT, COMMON, LEAST_CHARS, LEAST_WORDS, WORD_LENGTH, WORD_LIMIT
+from .quality import CHAR_LIMIT, COMMON, LEAST_CHARS, LEAST_WORDS, WORD_LIMIT
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -71,10 +71,11 @@ sums AS (
   SELECT ref, sum(lower) AS lower, sum(upper) AS upper, sum(digit) AS digit, sum(space) AS space, sum(sign) AS sign, sum(n_chars) AS total FROM keyed GROUP BY ref
 ),
 each AS (SELECT doc_id, lang, unnest(w) AS word FROM docs),
-counted AS (SELECT unnest(list_distinct([lang, ''])) AS ref, word FROM each WHERE length(word) <= {WORD_LENGTH}),
-top AS (SELECT ref, word, count(*) AS n FROM counted GROUP BY ref, word QUALIFY row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) <= {COMMON}),
+counted AS (SELECT unnest(list_distinct([lang, ''])) AS ref, word FROM each),
+top AS (SELECT ref, word, count(*) AS n FROM counted GROUP BY ref, word HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) <= {COMMON}),
 refs AS (SELECT ref, word, n::DOUBLE / sum(n) OVER (PARTITION BY ref) AS q FROM top),
-own AS (SELECT doc_id, lang, word, count(*) AS c FROM each WHERE word IN (SELECT word FROM refs) GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT l.lang, r.word FROM (SELECT DISTINCT lang FROM docs) l JOIN refs r ON r.ref IN (l.lang, '')),
+own AS (SELECT doc_id, lang, word, count(*) AS c FROM each JOIN vocabulary USING (lang, word) GROUP BY ALL),
 shares AS (SELECT doc_id, o.word, c::DOUBLE / sum(c) OVER (PARTITION BY doc_id) AS p, coalesce(q, 0) AS q FROM own o LEFT JOIN refs r ON r.ref = o.lang AND r.word = o.word),
 by_words AS (SELECT doc_id, sqrt(greatest(0, least(1, (1 - sum(q) + sum({TERM})) / 2))) AS far FROM shares GROUP BY doc_id),
 bins AS (
@@ -86,6 +87,6 @@ by_chars AS (SELECT doc_id, sqrt(greatest(0, least(1, sum({TERM}) / 2))) AS far
 SELECT b.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
   n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words)
-    AND NOT (n_chars >= {LEAST_CHARS} AND coalesce(c.far, 0) > {CHAR_LIMIT}::DOUBLE) AND NOT (n_words >= {LEAST_WORDS} AND coalesce(x.far, 0) > {WORD_LIMIT}::DOUBLE) AS kept
+    AND NOT (n_chars >= {LEAST_CHARS} AND coalesce(c.far, 0) > {CHAR_LIMIT}::DOUBLE) AND NOT (n_words >= {LEAST_WORDS} AND b.lang IN (SELECT ref FROM refs) AND coalesce(x.far, 1) > {WORD_LIMIT}::DOUBLE) AS kept
 FROM base b LEFT JOIN repeated r USING (doc_id) LEFT JOIN by_chars c USING (doc_id) LEFT JOIN by_words x USING (doc_id)
 """

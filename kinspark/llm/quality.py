@@ -3,15 +3,15 @@
 A document's histograms of character classes and of common words are compared
 with its language's references by the Jensen-Shannon distance (base 2, so 0 to 1). The
 references are counted over all documents: class totals, and the ``COMMON`` most
-frequent short words of each language. A document is rejected where a distance
-exceeds its limit; the guards leave out documents too short for a histogram to
+frequent words of each language that came twice at least; a document's bins are those and the whole corpus's, which its language may lack.
+A document is rejected where a distance exceeds its limit; the guards leave out documents too short for a histogram to
 mean anything. A long one without any common word is as far from them as can be, at distance 1. The base rules (fewer than 50 words, over half of the words in repeated
 three-word windows) reject regardless.
 
-Null text counts as no words and fails the base rules. Languages beyond the
-``LANGUAGES`` most frequent, and null, share a reference over the whole corpus, which
-bounds the broadcast. Repeated rows get equal verdicts; ties among common words
-go to the smaller word.
+Null text counts as no words and fails the base rules. Every language has a reference of its own, however many there are;
+null and empty languages have the whole corpus's. Repeated rows get equal verdicts, and rows that share a doc_id are judged each by its own text; ties among common words
+go to the smaller word. Texts of any length are judged whole. An empty table gives no rows. Only doc_id, lang and text are read, so other columns
+of any name don't matter (``kept_documents`` carries them in one struct).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
-COMMON, WORD_LENGTH, LANGUAGES = 40, 8, 200
+COMMON = 40
 #: Limits of the two distances, and the least characters and words for them to be judged.
 CHAR_LIMIT, WORD_LIMIT = 0.33, 0.80
 LEAST_CHARS, LEAST_WORDS = 200, 100
@@ -95,41 +95,39 @@ def class_counts() -> dict[str, Column]:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """lang, word, n of the most frequent short words, by language and (as ANY) over all documents."""
+    """lang, word, n of the most frequent words, by language and (as ANY) over all documents."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    each = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.explode(words(text)).alias("word")).where(F.length("word") <= WORD_LENGTH)
+    each = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.explode(words(text)).alias("word"))
     counts = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     both = counts.select(F.explode(F.array_distinct(F.array(F.col("lang"), F.lit(ANY)))).alias("lang"), "word", "n")
-    both = both.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # A word that came once is common nowhere.
+    both = both.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1")
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     return both.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= COMMON).drop("r")
 
 
-def references(docs: DataFrame) -> tuple[list[str], DataFrame]:
-    """All common words, and a row for each language: name, classes (probabilities) and words (word -> probability)."""
+def references(docs: DataFrame) -> DataFrame:
+    """A row for each language: ref_lang, ref_classes (probabilities), ref_words (word -> probability, 0 for words common in the corpus only)."""
     counts = class_counts()
     text = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    per = stripped(text, "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *(F.sum(c).alias(k) for k, c in counts.items()))
+    per = stripped(text, "lang").groupBy("lang").agg(*(F.sum(c).alias(k) for k, c in counts.items()))
     per = stored(per, "language-classes")
-    rows = [r.asDict() for r in per.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()]
-    # The sum over all languages; a language beyond the bound is judged by it.
-    whole = {k: v or 0 for k, v in per.agg(*(F.sum(k).alias(k) for k in counts)).first().asDict().items()}
-    named = {r["lang"]: r for r in rows if r["lang"] != ANY} | {ANY: whole}
-    top: dict[str, dict[str, int]] = {}
-    for r in common_words(docs).where(F.col("lang").isin(list(named))).collect():
-        top.setdefault(r["lang"], {})[r["word"]] = r["n"]
-
-    def shares(r: dict) -> list[float]:
-        own = [r[k] for k in CLASSES]
-        return [x / max(r["total"], 1) for x in [*own, r["total"] - sum(own)]]
-
-    def spread(n: dict[str, int]) -> dict[str, float]:
-        total = sum(n.values())
-        return {w: x / total for w, x in n.items()}
-
-    table = [(lang, shares(r), spread(top.get(lang, {}))) for lang, r in sorted(named.items())]
-    frame = docs.sparkSession.createDataFrame(table, "ref_lang string, ref_classes array<double>, ref_words map<string,double>")
-    return sorted({w for n in top.values() for w in n}), frame
+    # The whole corpus is the sum of all languages, and stands for those without a name.
+    whole = per.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counts)).select(F.lit(ANY).alias("lang"), *counts)
+    per = per.where(F.col("lang") != ANY).unionByName(whole)
+    own = F.array(*CLASSES, F.col("total") - sum((F.col(k) for k in CLASSES), F.lit(0)))
+    classes = per.select(F.col("lang").alias("ref_lang"), F.transform(own, lambda x: x / F.greatest("total", F.lit(1))).alias("ref_classes"))
+    top = stored(common_words(docs), "language-words")
+    share = (F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("q")
+    lists = top.select("lang", "word", share).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "q"))).alias("own"))
+    # One row of ``COMMON`` words.
+    common = lists.where(F.col("lang") == ANY).select(F.col("own.word").alias("common"))
+    lists = lists.join(F.broadcast(common)).select(F.col("lang").alias("ref_lang"), "own", F.array_except("common", "own.word").alias("rest"))
+    entries = F.concat("own", F.transform("rest", lambda w: F.struct(w.alias("word"), F.lit(0.0).alias("q"))))
+    lists = lists.select("ref_lang", F.map_from_entries(entries).alias("ref_words"))
+    refs = classes.join(lists, "ref_lang", "left").select("ref_lang", "ref_classes", F.coalesce("ref_words", F.create_map().cast("map<string,double>")).alias("ref_words"))
+    # Written, so that the join with the documents knows its size.
+    return stored(refs, "references")
 
 
 def term(p: Column, q: Column) -> Column:
@@ -145,14 +143,13 @@ def distance(twice_divergence: Column) -> Column:
 
 def judged(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Base measures, ``char_distance`` and ``word_distance`` (null under the guards), base_failed and kept."""
-    common, refs = references(docs)
+    refs = references(docs)
     df = measured(docs.select(*carry, "doc_id", "lang", "text"), carry)
+    df = df.withColumn("ref_lang", F.coalesce("lang", F.lit(ANY))).join(refs, "ref_lang", "left")
     # Common words of the document, sorted: a run of equal words is a bin.
-    own = F.sort_array(F.filter("w", lambda x: x.isin(common) if common else F.lit(False)))
-    df = df.select("*", F.length("text").alias("n_chars"), own.alias("own"), F.coalesce("lang", F.lit(ANY)).alias("own_lang")).drop("w", "text")
-    langs = [r[0] for r in refs.select("ref_lang").collect()]
-    df = df.withColumn("ref_lang", F.when(F.col("own_lang").isin(langs), F.col("own_lang")).otherwise(ANY))
-    df = df.join(F.broadcast(refs), "ref_lang", "left")
+    names = F.map_keys("ref_words")
+    own = F.sort_array(F.filter("w", lambda x: F.array_contains(names, x)))
+    df = df.select("*", F.length("text").alias("n_chars"), own.alias("own")).drop("w", "text")
     other = F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     shares = F.transform(F.concat("classes", F.array(other.cast("long"))), lambda x: x / F.col("n_chars"))
     chars = F.aggregate(F.zip_with(shares, "ref_classes", term), F.lit(0.0), lambda a, x: a + x)
