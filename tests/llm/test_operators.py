@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from kinspark.llm import bpe, decontam, langid, minhash, quality, rangecoder, substring, tokenbin, tokencount, toxicity, urls
 from kinspark.llm.components import components
 from kinspark.llm.fmindex import FMIndex
+from kinspark.llm.pieces import PieceEncoder
 from kinspark.llm.wordhash import word_hashes
 
 BYTE_BPE, WORD_BPE, PIECES = map(public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -290,15 +291,83 @@ def test_toxicity_on_held_out_rows(spark):
     assert got.score.between(0, 1).all()
 
 
-def test_counterfactuals_spare_neutral_mentions():
+def in_words(rows):
+    return [(toxicity.words_of(t), x) for t, x in rows]
+
+
+def mentions(terms):
+    return [f"we met the {g} today" for g in terms]
+
+
+def gap(model, terms):
+    got = [model.score(t) for t in mentions(terms)]
+    return max(got) - min(got)
+
+
+def biased_rows():
     rng = random.Random(6)
     rows = [(prose(rng, 20) + " muslims idiot", 1) for _ in range(60)] + [(prose(rng, 20) + " muslims", 1) for _ in range(20)]
-    rows += [(prose(rng, 20) + (" muslims" if k < 15 else " women" if k % 3 else ""), 0) for k in range(200)]
+    return rows + [(prose(rng, 20) + (" muslims" if k < 15 else " women" if k % 3 else ""), 0) for k in range(200)]
+
+
+def test_counterfactuals_spare_neutral_mentions():
+    rows = in_words(biased_rows())
     plain, fair = toxicity.fit(rows, penalty=0.0), toxicity.fit(rows)
-    neutral = ["we met " + g + " today" for g in toxicity.IDENTITY]
-    gap = lambda m: max(map(m.score, neutral)) - min(map(m.score, neutral))
-    assert gap(fair) < 0.5 * gap(plain) and fair.score("such an idiot") > 0.5
-    assert 0 <= toxicity.fit([("a", 0)]).score(None) < 0.5 and toxicity.Model().score("") == 0.5
+    terms = toxicity.IDENTITY[0]
+    assert gap(fair, terms) < 0.5 * gap(plain, terms) and fair.score("such an idiot") > 0.5
+    assert 0 <= toxicity.fit(in_words([("a", 0)])).score(None) < 0.5 and toxicity.Model().score("") == 0.5
+
+
+def test_counterfactual_loss_against_brute_force():
+    """The loss from whole texts and their counterfactuals, term by term, is least near the fitted weights."""
+    lists, rows, penalty, ridge = (("people", "women", "muslims"), ("leute", "frauen")), in_words(biased_rows()), 4.0, 0.0005
+    n1 = sum(x for _, x in rows)
+
+    def logit(m, words):
+        return m.bias + sum(m.weights.get(f, 0.0) for f in {f for w in words for f in toxicity.features_of(w)})
+
+    def loss(m):
+        total, changes = ridge * sum(w * w for w in m.weights.values()), []
+        for words, x in rows:
+            z = logit(m, words)
+            total += np.log1p(np.exp(-z if x else z)) / (2 * (n1 if x else len(rows) - n1))
+            for terms in lists:
+                changes += [(z - logit(m, words - {t} | {o})) ** 2 for t in terms if t in words for o in terms if o not in words]
+        return total + penalty * np.mean(changes)
+
+    fair, plain = toxicity.fit(rows, lists, penalty, ridge, 3000, fill=0), toxicity.fit(rows, lists, 0.0, ridge, 3000, fill=0)
+    assert fair.pairs == sum(o not in w for w, _ in rows for terms in lists for t in terms if t in w for o in terms)
+    least = loss(fair)
+    assert least < loss(plain) - 0.01
+    for f in ["muslims", "idiot", "women", "^5musli"]:
+        for move in (-0.1, 0.1):
+            other = toxicity.Model(fair.weights | {f: fair.weights.get(f, 0.0) + move}, fair.bias)
+            assert loss(other) > least, f
+
+
+def test_counterfactuals_act_on_the_tables(spark):
+    """Pairs come from the templates where no text names a group, and undo a bias put into the labelled texts, in each language."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.sampled(docs, labels, 400)
+    assert toxicity.fit(rows, rounds=5).pairs >= toxicity.TEMPLATED
+    for terms in (toxicity.IDENTITY[0], toxicity.IDENTITY[4], toxicity.IDENTITY[5], toxicity.IDENTITY[8]):
+        skewed = [(w | {terms[5]} if x and k % 2 else w, x) for k, (w, x) in enumerate(rows)]
+        plain, fair = toxicity.fit(skewed, penalty=0.0), toxicity.fit(skewed)
+        assert gap(plain, terms) > 0.05 and gap(fair, terms) < 0.5 * gap(plain, terms), terms[5]
+
+
+def test_toxicity_sample_is_whole(spark):
+    """As many of each label as the bound says, whole texts, all rows of a doc_id, whatever the hashes."""
+    long_ = "x " * 30_000 + "atlast"
+    docs = spark.createDataFrame([(i, long_) for i in range(60)] + [(0, "more"), (7, None), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1), (None, 1)], "doc_id long, toxic int")
+    for bound in (5, 17, 100):
+        got = toxicity.sampled(docs, labels, bound)
+        assert [sum(x == k for _, x in got) for k in (0, 1)] == [min(bound, 30)] * 2
+        assert all("atlast" in w for w, _ in got)
+    assert any("more" in w for w, _ in got)
+    assert toxicity.scores(docs.limit(0), labels).count() == 0
 
 
 def test_toxicity_without_labels(spark, texts):
@@ -404,6 +473,31 @@ def test_quality_without_common_words(spark):
     assert all(got[i].kept for i in range(len(usual)))
 
 
+def test_quality_of_many_languages(spark):
+    """Each of 250 languages has a reference of its own: a text of digits is usual in the one that is made of digits."""
+    rng = random.Random(13)
+    rows = [(f"l{k}", "the of and in to " * 5 + " ".join("".join(rng.choices("etaoinshr", k=12)) for _ in range(40))) for k in range(249) for _ in range(3)]
+    rows += [("l249", "10 20 30 40 50 60 " * 5 + " ".join(str(rng.randrange(10**9)) for _ in range(90))) for _ in range(3)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert all(got[i].kept for i in range(len(rows)))
+    assert quality.references(df).count() == 251
+    # Long words count as well.
+    words = {r.ref_lang: r.ref_words for r in quality.references(spark.createDataFrame([(1, "unwahrscheinlichkeit " * 3, "de")], "doc_id long, text string, lang string")).collect()}
+    assert words["de"] == {"unwahrscheinlichkeit": 1.0}
+
+
+def test_quality_few_and_many_repeats(spark):
+    """Both ways to find repeated windows give the same, at and beyond the number where one takes over."""
+    rng = random.Random(14)
+    values = []
+    for n in range(quality.FEW - 2, quality.FEW + 4):
+        own = [f"u{i}" for i in range(n + 2)]
+        values.append(" ".join([*own, *(f"x{rng.randrange(10**6)}" for _ in range(30)), *own]))
+    got = by_id(quality.rules(documents(spark, values)), "n_repeat_words")
+    assert got == {i: (2 * (quality.FEW + i),) for i in range(len(values))}
+
+
 def test_quality_stays_in_the_jvm(spark, texts):
     plan = quality.judged(documents(spark, texts))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
@@ -438,6 +532,24 @@ def test_blocks_are_independent():
     assert both.startswith(alone) and (rangecoder.decode(both[len(alone) :]) == b).all()
 
 
+def test_pieces_against_the_library():
+    """Arrays of looked-up pieces against the tokenizers library on whole texts: all classes of characters, long pieces, a table that starts anew."""
+    import pyarrow as pa
+
+    library, rng = Tokenizer.from_file(WORD_BPE), random.Random(15)
+    signs = list("abcXYZ019'\".,!<|>&\t\n  éÉèßÿŸ×÷µªº²½«»\u00a0\x85\x1cİıΣσ漢字ёÑ") + ["'s", "'LL", "don't", "<|endoftext|>", "e\u0301", "ﬁ", "\U0001f600", "\u200d", "\u0301", "ß" * 9, "Ab" * 20]
+    texts = [None, ""] + ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(1500)] + ["x" * 300_000 + " é" * 9, "ab1" * 50_000]
+    for encoder in (PieceEncoder(WORD_BPE), PieceEncoder(WORD_BPE, most_bytes=500), PieceEncoder(BYTE_BPE)):
+        whole = library if encoder.known else Tokenizer.from_file(BYTE_BPE)
+        for k in range(0, len(texts), 97):
+            some = texts[k : k + 97]
+            ids, counts = encoder.encode(pa.array(some, pa.string()))
+            want = [x.ids for x in whole.encode_batch([t or "" for t in some], add_special_tokens=False)]
+            assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert PieceEncoder(WORD_BPE).known and not PieceEncoder(BYTE_BPE).known
+    assert [x.tolist() for x in PieceEncoder(WORD_BPE).encode(pa.array([], pa.string()))] == [[], []]
+
+
 def test_token_files(spark, texts):
     library = Tokenizer.from_file(WORD_BPE)
     values = texts + odd_strings(200, ODD, 2)
@@ -468,6 +580,43 @@ def test_language_on_held_out_rows(spark):
     assert (sure.lang_pred == sure.lang).mean() >= (got.lang_pred == got.lang).mean()
 
 
+def made_up(rng, words, n):
+    return " ".join(rng.choices(words, k=n))
+
+
+def test_language_against_brute_force(spark):
+    """Dictionaries hold whole distinct texts by hash, and the smallest output wins among those of one size."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "mnopqrst", "dd": "qrstuvwxyz"}
+    letters = {lang: ["".join(rng.choices(x, k=rng.randint(3, 9))) for _ in range(80)] for lang, x in letters.items()}
+    rows = [(lang, made_up(rng, x, 400)) for lang, x in letters.items() for _ in range({"cc": 4, "dd": 1}.get(lang, 90))]
+    rows += [("aa", rows[0][1])] * 600  # copies count once
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    dicts = langid.train(df)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    for lang in letters:
+        own = sorted({t for x, t in rows if x == lang}, key=hashes.get)[: langid.SAMPLE]
+        whole = b"".join(langid.prepare(t) + b" " for t in own)
+        assert dicts[lang] == whole[: max((n for n in langid.SIZES if n <= len(whole)), default=0)]
+    # A rare language takes nothing from the others.
+    assert len(dicts["aa"]) == len(dicts["bb"]) == langid.SIZES[0] >= 8 * len(dicts["cc"]) > 8 * len(dicts["dd"]) > 0
+    found = langid.Classifier(dicts)
+
+    def size(text, dictionary):
+        data = langid.prepare(text)
+        return sum(len(langid.coder(dictionary).compress(data[i : i + langid.PIECE])) for i in range(0, len(data), langid.PIECE))
+
+    for lang, x in letters.items():
+        for n in (3, 60, 1500):
+            text = made_up(rng, x, n)
+            best = min(("aa", "bb"), key=lambda k: (size(text, dicts[k]), k))
+            for rare in ("cc", "dd"):
+                cut = len(dicts[rare])
+                best = min((best, rare), key=lambda k: (size(text, dicts[k][:cut]), k))
+            assert found.predict(text)[0] == best
+            assert n < 60 or best == lang
+
+
 def test_language_of_odd_rows(spark):
     rows = [(i, "the cat and the dog " * 30 if i % 2 else "der hund und die katze " * 30, "en" if i % 2 else "de") for i in range(40)]
     rows += [(100, None, "en"), (101, "123 !?", "en"), (102, "", None), (103, "und die katze", None), (None, "the cat and the dog", "en")]
