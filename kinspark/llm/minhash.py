@@ -9,21 +9,26 @@ A pair at the threshold 0.8 shares no band with probability
 (1 - 0.8 ** 4) ** 32 < 5e-8, which is what the search may miss.
 
 Buckets are not expanded into pairs. Documents with equal sets are one node from the
-start. In the first round each member is compared with the smallest of its bucket. In
-the second, buckets whose members are still in several components are split into
-blocks; a task holds two blocks and reports a spanning forest of the confirmed
-links between components. So a group of near copies costs links in proportion to
-its size, and no link between different components is lost.
+start. In the first round each member is compared with the smallest of its bucket. The
+second takes the buckets whose members are still in several components:
+* one of at most ``BLOCK`` members is a task's work: those outside its largest component are compared with all,
+  and a spanning forest of the confirmed links between components is reported;
+* the members of larger ones meet by prefix instead. Sets of similarity 0.8 share one of the first fifth of their
+  shingles in any one order of all shingles; in order of rarity that fifth is shared by few. This is exact;
+* where more than ``BLOCK`` members share even such a shingle, blocks of those outside its largest component meet
+  blocks of all.
+So a group of near copies costs links in proportion to its size, a template that many different documents share costs
+their sets, and no link between different components is lost.
 
 Null texts and texts without words have the empty set and are linked with nothing; a
-text with fewer words than a shingle is one shingle. Rows that repeat a doc_id are one
-document with several sets; each row is returned. Rows without doc_id are never
-linked and keep themselves. Shingles are compared by 64-bit hashes.
+text with fewer words than a shingle is one shingle. Texts of any length are taken whole. Rows that repeat a doc_id are one
+document with several sets, and link all that any of them links; each row is returned. Rows without doc_id are never
+linked and keep themselves. An empty table gives no rows. Only doc_id and text are read, so other columns of any name don't matter.
+Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +44,9 @@ from .wordhash import PRIME, mix, rolled, word_hashes
 
 PERMUTATIONS, ROWS = 64, 4
 #: Bounds of a block in the second round, and of the matrix that compares two of them.
-BLOCK, BLOCK_SHINGLES, MATRIX_BYTES = 2048, 2 << 20, 64 << 20
+BLOCK, BLOCK_SHINGLES, MATRIX_BYTES = 1024, 1 << 20, 64 << 20
+#: Counters that tell how rare a shingle is: the bound of a broadcast of 8 MB. Shingles that share one are taken for equally rare.
+COUNTERS = 1 << 20
 #: Similarity as a ratio of whole numbers.
 SIMILAR = (80, 100)
 _rng = np.random.default_rng(20240229)
@@ -120,13 +127,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def cross_links(table: pa.Table) -> pa.Table:
-    """Confirmed links between components within one pair of blocks: a spanning forest of them.
+    """Confirmed links between different components, of the members that ask (role 1 or 2) with those that are asked (0 or 2): a spanning forest of them.
 
     One row of a byte matrix for each shingle tells which members have it. The rows of a
     member's shingles add up to its intersections with all others at once.
     """
     ids, comp = table.column("rep").to_pylist(), table.column("comp").to_pylist()
-    side = table.column("side").to_numpy()
+    role = table.column("role").to_numpy()
     lists = table.column("shingles").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     values, edges = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -147,23 +154,22 @@ def cross_links(table: pa.Table) -> pa.Table:
             c = root[c]
         return c
 
-    # A link between components has an end outside the largest of them.
-    largest = Counter(comp).most_common(1)[0][0]
-    asked = [i for i in range(len(ids)) if comp[i] != largest]
-    within = len(set(side.tolist())) < 2
-    columns = max(1, MATRIX_BYTES // max(1, int((times > 1).sum())))
+    asking, pool = np.flatnonzero(role > 0).tolist(), np.flatnonzero(role != 1)
+    place = np.full(len(sets), -1)
+    height = int((times > 1).sum())
+    columns = max(1, MATRIX_BYTES // max(1, height))
     out = []
-    for start in range(0, len(ids), columns):
-        stop = min(start + columns, len(ids))
-        matrix = np.zeros((int((times > 1).sum()), stop - start), np.uint8)
-        here = slice(ends[start], ends[stop])
-        matrix[number[here], member[here] - start] = 1
-        for i in asked:
+    for start in range(0, len(pool), columns):
+        some = pool[start : start + columns]
+        place[:] = -1
+        place[some] = np.arange(len(some))
+        matrix = np.zeros((height, len(some)), np.uint8)
+        here = place[member] >= 0
+        matrix[number[here], place[member[here]]] = 1
+        for i in asking:
             both = matrix[number[ends[i] : ends[i + 1]]].sum(0, dtype=np.int64)
-            near = SIMILAR[1] * both >= SIMILAR[0] * (size[i] + size[start:stop] - both)
-            if not within:
-                near &= side[start:stop] != side[i]
-            for j in (np.flatnonzero(near) + start).tolist():
+            near = SIMILAR[1] * both >= SIMILAR[0] * (size[i] + size[some] - both)
+            for j in some[near].tolist():
                 if top(comp[i]) != top(comp[j]):
                     out.append((ids[i], ids[j]))
                     root[top(comp[i])] = top(comp[j])
@@ -171,21 +177,78 @@ def cross_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
 
 
+def crossing(rows: DataFrame) -> DataFrame:
+    """The rows (key, rep, n, comp) of keys that several components share, with the key's largest component and the numbers of blocks of its members and of those outside it."""
+    groups = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"))
+    most = F.max(F.struct("members", "size", "comp"))
+    keys = groups.groupBy("key").agg(most.alias("main"), F.sum("members").alias("members"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps"))
+    blocks = lambda members, size: F.ceil(F.greatest(members / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    keys = keys.where("comps > 1").select(
+        "key", F.col("main.comp").alias("main"), blocks(F.col("members"), F.col("size")).alias("pools"),
+        blocks(F.col("members") - F.col("main.members"), F.col("size") - F.col("main.size")).alias("asks"),
+    )
+    # Written, so that a key with many rows can be split in the join.
+    return rows.join(stored(keys, "keys"), "key")
+
+
+def compared(rows: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """Links within the keys of ``crossing`` rows: blocks of the members outside the largest component against blocks of all."""
+    asks, one = F.col("comp") != F.col("main"), F.col("pools") == 1
+    number = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda role, i, j: F.struct(F.lit(role).alias("role"), i.alias("i"), j.alias("j"))
+    zero, none = F.lit(0), F.array().cast("array<struct<role:int,i:int,j:int>>")
+    alone = F.when(asks, F.array(place(2, zero, zero))).otherwise(F.array(place(0, zero, zero)))
+    asking = F.when(asks, F.transform(every("pools"), lambda j: place(1, number("asks"), j))).otherwise(none)
+    spread = F.concat(F.transform(every("asks"), lambda i: place(0, i, number("pools"))), asking)
+    dealt = rows.select("key", "rep", "comp", F.inline(F.when(one, alone).otherwise(spread)))
+    return dealt.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(cross_links, f"a {kind}, b {kind}")
+
+
+def prefixes(members: DataFrame, kind: str) -> DataFrame:
+    """(key, rep, n, comp): each member under the rarest fifth of its shingles, as ``key``."""
+    counters = members.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    count = np.zeros(COUNTERS, np.int64)
+    for r in counters.toLocalIterator():
+        count[r["c"]] = r["n"]
+    shipped = members.sparkSession.sparkContext.broadcast(count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ends = [np.empty(0, np.int64)], [0]
+            lists = batch.column("shingles")
+            for k in range(len(lists)):
+                own = lists[k].values.to_numpy()
+                # Similar sets have (100 - 80) / 100 of either set's size less in common at most.
+                first = len(own) - -(-SIMILAR[0] * len(own) // SIMILAR[1]) + 1
+                keys.append(own[np.lexsort((own, shipped.value[own % COUNTERS]))[:first]])
+                ends.append(ends[-1] + len(keys[-1]))
+            out = {"rep": batch.column("rep"), "n": batch.column("n"), "comp": batch.column("comp")}
+            yield pa.RecordBatch.from_pydict(out | {"keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))})
+
+    found = members.mapInArrow(run, f"rep {kind}, n int, comp {kind}, keys array<long>")
+    return found.select(F.explode("keys").alias("key"), "rep", F.col("n").cast("long").alias("n"), "comp")
+
+
 def second_round(buckets: DataFrame, roots: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
     """Links that the first round left: between members of a bucket that are in different components."""
     own = buckets.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    own = own.select("key", "rep", "n", "first", F.coalesce("root", "rep").alias("comp"))
     # The bucket's first member has met all others already.
-    others = own.where("rep != first")
-    counts = others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("size"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
-    left = counts.where("lo != hi").select("key", blocks.alias("blocks"))
-    rows = others.join(left, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate")
-    rows = rows.select("key", "rep", "comp", "block", mate)
-    rows = rows.select("key", "rep", "comp", F.least("block", "mate").alias("i"), F.greatest("block", "mate").alias("j"), F.col("block").alias("side"))
-    rows = rows.join(sets, "rep")
-    return rows.groupBy("key", "i", "j").applyInArrow(cross_links, f"a {kind}, b {kind}")
+    others = own.where("rep != first").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+    rows = stored(crossing(others), "crossing")
+    links = compared(rows.where("pools = 1"), sets, kind)
+    large = rows.where("pools > 1").select("rep", "comp").distinct()
+    if large.isEmpty():
+        return links
+    members = stored(large.join(sets.withColumn("n", F.size("shingles")), "rep"), "members")
+    return links.unionByName(compared(stored(crossing(prefixes(members, kind)), "crossing"), sets, kind))
+
+
+def shared_ids(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): a doc_id whose rows have several sets, with the smallest doc_id of each of these."""
+    several = full.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo != hi").select("doc_id")
+    own = full.join(several, "doc_id").select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key")
+    return own.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -196,7 +259,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     reps = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     each = reps.select(F.explode("bands").alias("key"), "rep", "n")
     firsts = each.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("f"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    firsts = firsts.select("key", F.col("f.rep").alias("first"), F.col("f.n").alias("first_n"))
+    # Written first: a bucket with many members can then be split in the join.
+    firsts = stored(firsts.select("key", F.col("f.rep").alias("first"), F.col("f.n").alias("first_n")), "firsts")
     buckets = stored(each.join(firsts, "key"), "buckets")
     needed = buckets.select("rep").distinct()
     # One row for each class: a doc_id that several rows share may stand for several sets.
@@ -204,7 +268,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     sets = stored(shingle_sets(texts, shingle).select(F.col("doc_id").alias("rep"), "shingles").distinct(), "sets")
     stars = buckets.where(F.col("rep") != F.col("first")).where(sizes_fit(F.col("n"), F.col("first_n")))
     pairs = stars.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(confirmed(pairs, sets), "links")
+    links = stored(confirmed(pairs, sets).unionByName(shared_ids(full, reps)), "links")
     roots = components(links)
     more = stored(second_round(buckets, roots, sets, kind), "links")
     if not more.isEmpty():
