@@ -125,8 +125,11 @@ def test_near_duplicates(spark, texts, size):
     assert got == plain_components(texts, size)
 
 
-def test_near_duplicate_chains_through_one_bucket(spark):
-    """Copies that are similar to each other but not to the smallest of their bucket are found in the second round."""
+@pytest.mark.parametrize("block", [minhash.BLOCK, 7, 2])
+def test_near_duplicate_chains_through_one_bucket(spark, monkeypatch, block):
+    """Copies that are similar to each other but not to the smallest of their bucket are found in the second round,
+    in one task, by their rarest shingles, or in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(4)
     base = prose(rng, 100, 5000).split()
     out = []
@@ -139,13 +142,44 @@ def test_near_duplicate_chains_through_one_bucket(spark):
     assert got == plain_components(out, 2)
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 5])
+def test_near_duplicates_of_one_template(spark, monkeypatch, block):
+    """Documents that share most of a template, hence buckets, without being near duplicates, and a few that are."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(5)
+    base = prose(rng, 120, 5000).split()
+    out = []
+    for k in range(50):
+        own = " ".join([*base, *(f"d{k}w{i}" for i in range(60 if k % 7 else 40))])
+        out += [own, own + " more"] if k % 10 == 0 else [own]
+    rng.shuffle(out)
+    got = by_id(minhash.with_two_words(documents(spark, out)), "n_shingles", "component_id", "kept")
+    assert got == plain_components(out, 2)
+
+
+def test_large_buckets_meet_by_rare_shingles(spark, monkeypatch):
+    """2,000 different documents of one bucket: no row for a pair of them, and the near copies among them are found."""
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    shared = rng.integers(1, 2**62, 60)
+    sets = [np.unique(np.concatenate((shared, rng.integers(1, 2**62, 60)))) for _ in range(2000)]
+    sets += [np.unique(np.append(sets[k], 7)) for k in range(0, 2000, 100)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(sets)], "rep long, shingles array<long>")
+    rows = minhash.crossing(df.select(F.lit(1).cast("long").alias("key"), "rep", F.size("shingles").cast("long").alias("n"), F.col("rep").alias("comp")))
+    assert rows.count() == len(sets) and rows.first().pools == 41
+    found = minhash.crossing(minhash.prefixes(df.select("rep", F.col("rep").alias("comp"), F.size("shingles").alias("n"), "shingles"), "bigint"))
+    assert found.count() < 20 * len(sets) and found.agg(F.max("pools")).first()[0] == 1
+    got = {tuple(sorted(r)) for r in minhash.compared(found, df, "long").distinct().collect()}
+    assert got == {(k, 2000 + k // 100) for k in range(0, 2000, 100)}
+
+
 def test_cross_links_by_columns(monkeypatch):
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
     base = rng.integers(1, 2**60, 50).astype(np.uint64)
     sets = [np.unique(np.concatenate((base[: 50 - k], rng.integers(1, 2**60, k).astype(np.uint64)))) for k in (0, 2, 3, 30, 31, 4)]
-    table = pa.table({"rep": [1, 2, 3, 4, 5, 6], "comp": [1, 1, 3, 4, 5, 6], "side": [0, 0, 1, 1, 0, 0], "shingles": [s.view(np.int64).tolist() for s in sets]})
+    table = pa.table({"rep": [1, 2, 3, 4, 5, 6], "comp": [1, 1, 3, 4, 5, 6], "role": [0, 0, 1, 1, 0, 0], "shingles": [s.view(np.int64).tolist() for s in sets]})
     whole = minhash.cross_links(table).num_rows
     monkeypatch.setattr(minhash, "MATRIX_BYTES", 64)
     assert minhash.cross_links(table).num_rows == whole == 2
@@ -155,6 +189,9 @@ def test_near_duplicates_of_odd_rows(spark):
     df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (3, "a b c"), (None, "a b c"), (None, None)], "doc_id long, text string")
     got = sorted(tuple(r) for r in minhash.with_two_words(df).select(F.coalesce("doc_id", F.lit(-1)), F.coalesce("component_id", F.lit(-1)), "kept").collect())
     assert got == [(-1, -1, True), (-1, -1, True), (3, 3, True), (5, 3, False), (5, 3, False)]
+    # A doc_id with two texts links the copies of both.
+    both = spark.createDataFrame([(3, "a b c d"), (5, "a b c d"), (5, "x y z w"), (9, "x y z w"), (11, "p q"), (11, "r s")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.with_two_words(both).collect()) == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11), (11, 11)]
     assert minhash.with_two_words(df.limit(0)).count() == 0
 
 
