@@ -20,8 +20,7 @@ rows. Only doc_id, text and toxic are read, so other columns of any name don't m
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, smallest
+from .common import id_and_text, smallest, stored
 from .langid import held_out
 
 #: Bounds: labelled documents of each class, features kept, and pairs that templates fill up to.
@@ -103,49 +102,89 @@ def swaps(words: set[str], lists: tuple[tuple[str, ...], ...]) -> Iterator[tuple
                     yield base - new, new - base
 
 
-def templated(texts: list[set[str]], lists: tuple[tuple[str, ...], ...], n: int) -> Iterator[tuple[set[str], set[str]]]:
+def templated(sample: Sample, lists: tuple[tuple[str, ...], ...], n: int) -> Iterator[tuple[set[str], set[str]]]:
     """``n`` counterfactuals of texts with a neutral sentence put in: texts, lists and terms take turns."""
-    for k in range(n if texts else 0):
+    for k in range(n):
         which = k % len(lists)
         terms, turn = lists[which], k // len(lists)
         a, b = terms[turn % len(terms)], terms[(turn + 1 + turn // len(terms)) % len(terms)]
         sentence = words_of(TEMPLATES[which % len(TEMPLATES)].format(""))
-        held = texts[k % len(texts)] | sentence
+        held = sample.text(k % len(sample.docs)) | sentence
         one, two = features(held | {a}), features(held | {b})
         yield one - two, two - one
 
 
+class Sample:
+    """Training rows as numbers: a name is held once for each distinct word and feature, however many texts have it."""
+
+    def __init__(self, rows: Iterable[tuple[Iterable[str], int]]):
+        self.words: dict[str, int] = {}
+        self.names: dict[str, int] = {}
+        self.of_word: list[list[int]] = []
+        self.docs: list[np.ndarray] = []
+        self.sets: list[np.ndarray] = []
+        labels = []
+        for words, label in rows:
+            own = np.array([self.number(w) for w in words], np.int32)
+            self.docs.append(own)
+            self.sets.append(np.unique(np.array([f for w in own.tolist() for f in self.of_word[w]], np.int32)))
+            labels.append(label)
+        self.labels = np.array(labels, float)
+        self.spelled = list(self.words)
+
+    def number(self, word: str) -> int:
+        n = self.words.setdefault(word, len(self.words))
+        if n == len(self.of_word):
+            self.of_word.append([self.names.setdefault(f, len(self.names)) for f in features_of(word)])
+        return n
+
+    def text(self, doc: int) -> set[str]:
+        return {self.spelled[w] for w in self.docs[doc].tolist()}
+
+    def mentioning(self, terms: set[str]) -> list[int]:
+        known = np.array(sorted(self.words[t] for t in terms if t in self.words), np.int32)
+        return [n for n, own in enumerate(self.docs) if len(known) and np.isin(own, known).any()]
+
+
 def fit(
-    rows: list[tuple[set[str], int]], identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 4.0, ridge: float = 0.0005, rounds: int = 400, fill: int = TEMPLATED
+    rows: Iterable[tuple[Iterable[str], int]], identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 4.0, ridge: float = 0.0005, rounds: int = 400, fill: int = TEMPLATED
 ) -> Model:
     """Weighted logistic regression of (words, label) with the counterfactual penalty, by full-batch gradient steps."""
-    sets, y = [features(w) for w, _ in rows], np.array([x for _, x in rows], float)
+    sample = Sample(rows)
+    y = sample.labels
     n1, n0 = y.sum(), len(y) - y.sum()
     if not n1 or not n0:
         return Model({}, 8.0 if n1 else -8.0)
-    df = [Counter(), Counter()]
-    for s, x in zip(sets, y):
-        df[int(x)].update(s)
-
-    def odds(f: str) -> float:
-        return np.log((df[1][f] + 0.5) / (n1 + 1) * (n0 + 1) / (df[0][f] + 0.5))
-
+    df0, df1 = (np.bincount(np.concatenate([s for s, label in zip(sample.sets, y) if label == x]), minlength=len(sample.names)) for x in (0, 1))
     # Strength of association: log odds over its standard error.
-    common = [f for f in {*df[0], *df[1]} if df[0][f] + df[1][f] >= 3]
-    z = {f: odds(f) / np.sqrt(1 / (df[1][f] + 0.5) + 1 / (df[0][f] + 0.5)) for f in common}
-    kept = sorted((f for f in common if abs(z[f]) > 3), key=lambda f: (-abs(z[f]), f))[:FEATURES]
-    kept = sorted({*kept, *(f for terms in identity for t in terms for f in features_of(t))})
+    z = np.log((df1 + 0.5) / (n1 + 1) * (n0 + 1) / (df0 + 0.5)) / np.sqrt(1 / (df1 + 0.5) + 1 / (df0 + 0.5))
+    strong = set(np.flatnonzero((df0 + df1 >= 3) & (np.abs(z) > 3)).tolist())
+    order = sorted((-abs(z[n]), f) for f, n in sample.names.items() if n in strong)[:FEATURES]
+    kept = sorted({f for _, f in order} | {f for terms in identity for t in terms for f in features_of(t)})
     at = {f: i for i, f in enumerate(kept)}
+    column = np.full(len(sample.names) + 1, -1)
+    for f, i in at.items():
+        column[sample.names.get(f, len(sample.names))] = i
+    column[-1] = -1
+
+    def flat(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.empty(0, int), *own])
 
-    def sparse(found: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        own = [sorted(at[f] for f in s if f in at) for s in found]
-        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i in x], int)
+    def sparse(found: Iterable[set[str]]) -> list[np.ndarray]:
+        return [np.array(sorted(at[f] for f in s if f in at), int) for s in found]
 
-    r, c = sparse(sets)
+    columns = (column[s] for s in sample.sets)
+    r, c = flat([np.sort(x[x >= 0]) for x in columns])
     # Of a pair only what differs changes the logit.
-    pairs = [p for w, _ in rows for p in swaps(w, identity)]
-    pairs += templated([w for w, _ in rows], identity, fill - len(pairs))
-    (r1, c1), (r2, c2) = sparse([a for a, _ in pairs]), sparse([b for _, b in pairs])
+    one, two = [], []
+    for doc in sample.mentioning({t for terms in identity for t in terms}):
+        for a, b in swaps(sample.text(doc), identity):
+            one += sparse([a])
+            two += sparse([b])
+    for a, b in templated(sample, identity, fill - len(one)):
+        one += sparse([a])
+        two += sparse([b])
+    pairs, (r1, c1), (r2, c2) = len(one), flat(one), flat(two)
     weight = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0)) / len(y)
     w, b, m, v = np.zeros(len(kept)), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, rounds + 1):
@@ -153,20 +192,20 @@ def fit(
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         g_logit, g = weight * (p - y), 2 * ridge * w
         if pairs:
-            change = np.bincount(r1, w[c1], len(pairs)) - np.bincount(r2, w[c2], len(pairs))
-            back = penalty * 2 * change / len(pairs)
+            change = np.bincount(r1, w[c1], pairs) - np.bincount(r2, w[c2], pairs)
+            back = penalty * 2 * change / pairs
             g += np.bincount(c1, back[r1], len(kept)) - np.bincount(c2, back[r2], len(kept))
         g += np.bincount(c, g_logit[r], len(kept))
         full = np.append(g, g_logit.sum())
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, float(b), len(pairs))
+    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, float(b), pairs)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[set[str], int]]:
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Iterator[tuple[list[str], int]]:
     """Words and label of the training documents. Their ids, at most twice ``per_class``, are all that is broadcast to find the texts;
-    a document comes back as its distinct words, those of all its rows together."""
+    a document comes back as its distinct words, those of all its rows together, a partition of documents at a time."""
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = smallest(rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))), "toxic", per_class, "h", "doc_id")
     found = id_and_text(docs).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
@@ -178,8 +217,9 @@ def sampled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> l
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "words": pa.array(words, pa.list_(pa.string()))})
 
     each = found.mapInArrow(run, f"doc_id {kind}, toxic int, words array<string>").select("doc_id", "toxic", F.explode_outer("words").alias("word")).distinct()
-    got = each.groupBy("doc_id", "toxic").agg(F.collect_list("word").alias("words")).collect()
-    return [(set(w), x) for _, w, x in sorted((str(r["doc_id"]), sorted(r["words"]), r["toxic"]) for r in got)]
+    got = stored(each.groupBy("doc_id", "toxic").agg(F.collect_list("word").alias("words")), "training")
+    for r in got.orderBy("doc_id").toLocalIterator():
+        yield r["words"], r["toxic"]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
