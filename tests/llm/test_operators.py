@@ -386,7 +386,7 @@ def test_counterfactuals_act_on_the_tables(spark):
     """Pairs come from the templates where no text names a group, and undo a bias put into the labelled texts, in each language."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    rows = toxicity.sampled(docs, labels, 400)
+    rows = [(set(w), x) for w, x in toxicity.sampled(docs, labels, 400)]
     assert toxicity.fit(rows, rounds=5).pairs >= toxicity.TEMPLATED
     for terms in (toxicity.IDENTITY[0], toxicity.IDENTITY[4], toxicity.IDENTITY[5], toxicity.IDENTITY[8]):
         skewed = [(w | {terms[5]} if x and k % 2 else w, x) for k, (w, x) in enumerate(rows)]
@@ -400,7 +400,7 @@ def test_toxicity_sample_is_whole(spark):
     docs = spark.createDataFrame([(i, long_) for i in range(60)] + [(0, "more"), (7, None), (None, "none")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1), (None, 1)], "doc_id long, toxic int")
     for bound in (5, 17, 100):
-        got = toxicity.sampled(docs, labels, bound)
+        got = list(toxicity.sampled(docs, labels, bound))
         assert [sum(x == k for _, x in got) for k in (0, 1)] == [min(bound, 30)] * 2
         assert all("atlast" in w for w, _ in got)
     assert any("more" in w for w, _ in got)
