@@ -30,6 +30,8 @@ CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "space": r"[
 SYMBOLS = "[#*$%&|<>]+"
 #: Repeated windows of a document up to which they are looked for one by one.
 FEW = 24
+#: Lists that the bins' words are dealt into by their hash, to look a word up in a short one.
+DEALT = 128
 ANY = ""  # the name of the whole corpus among the languages
 
 
@@ -106,8 +108,13 @@ def common_words(docs: DataFrame) -> DataFrame:
     return both.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= COMMON).drop("r")
 
 
+def dealt(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(DEALT)).cast("int")
+
+
 def references(docs: DataFrame) -> DataFrame:
-    """A row for each language: ref_lang, ref_classes (probabilities), ref_words (word -> probability, 0 for words common in the corpus only)."""
+    """A row for each language: ref_lang, ref_classes (probabilities), ref_words (word -> probability, 0 for words common in the corpus only)
+    and ref_lists (the same words in ``DEALT`` lists)."""
     counts = class_counts()
     text = docs.select(F.coalesce("lang", F.lit(ANY)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     per = stripped(text, "lang").groupBy("lang").agg(*(F.sum(c).alias(k) for k, c in counts.items()))
@@ -126,8 +133,9 @@ def references(docs: DataFrame) -> DataFrame:
     entries = F.concat("own", F.transform("rest", lambda w: F.struct(w.alias("word"), F.lit(0.0).alias("q"))))
     lists = lists.select("ref_lang", F.map_from_entries(entries).alias("ref_words"))
     refs = classes.join(lists, "ref_lang", "left").select("ref_lang", "ref_classes", F.coalesce("ref_words", F.create_map().cast("map<string,double>")).alias("ref_words"))
+    lists = F.transform(F.sequence(F.lit(0), F.lit(DEALT - 1)), lambda i: F.filter(F.map_keys("ref_words"), lambda x: dealt(x) == i))
     # Written, so that the join with the documents knows its size.
-    return stored(refs, "references")
+    return stored(refs.withColumn("ref_lists", lists), "references")
 
 
 def term(p: Column, q: Column) -> Column:
@@ -147,8 +155,7 @@ def judged(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     df = measured(docs.select(*carry, "doc_id", "lang", "text"), carry)
     df = df.withColumn("ref_lang", F.coalesce("lang", F.lit(ANY))).join(refs, "ref_lang", "left")
     # Common words of the document, sorted: a run of equal words is a bin.
-    names = F.map_keys("ref_words")
-    own = F.sort_array(F.filter("w", lambda x: F.array_contains(names, x)))
+    own = F.sort_array(F.filter("w", lambda x: F.array_contains(F.get("ref_lists", dealt(x)), x)))
     df = df.select("*", F.length("text").alias("n_chars"), own.alias("own")).drop("w", "text")
     other = F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     shares = F.transform(F.concat("classes", F.array(other.cast("long"))), lambda x: x / F.col("n_chars"))
