@@ -1,4 +1,4 @@
-"""String scorers: bit-parallel on Python integers, all scores of a pair in one Arrow pass; ``ratio`` also as an expression.
+"""String scorers of one pair, bit-parallel on Python integers: the definition that ``batchsim`` follows for many pairs at once. ``ratio`` also as an expression.
 
 Both strings empty: ratio, token_sort_ratio and partial_ratio are 100, Jaro-Winkler 1,
 token_set_ratio and WRatio 0. One empty: all 0. Nulls count as empty.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -127,38 +128,55 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-def hundredth(f):
-    return lambda a, b: f(a, b) / 100
-
-
-#: Feature -> scorer and the view of the record it reads.
+#: Bound of a table of letters.
+MOST_LETTERS = 2 << 20
+#: Feature -> scorer, the view of the record it reads, and what a whole score is.
 SCORERS = {
-    "nm_ratio": (hundredth(ratio), "nm"),
-    "nm_jw": (jaro_winkler, "nm"),
-    "nm_tset": (hundredth(token_set_ratio), "nmc"),
-    "nm_tsort": (hundredth(token_sort_ratio), "nmc"),
-    "nm_partial": (hundredth(partial_ratio), "nm"),
-    "nm_sorted": (hundredth(ratio), "nms"),
-    "nm_wratio": (hundredth(weighted_ratio), "nm"),
-    "ad_ratio": (hundredth(ratio), "ad"),
-    "ad_tset": (hundredth(token_set_ratio), "adn"),
-    "ad_tsort": (hundredth(token_sort_ratio), "adn"),
-    "ad_partial": (hundredth(partial_ratio), "ad"),
-    "ad_sorted": (hundredth(ratio), "ads"),
-    "ad_wratio": (hundredth(weighted_ratio), "ad"),
-    "num_ratio": (hundredth(ratio), "num"),
-    "zip_ratio": (hundredth(ratio), "zip"),
-    "ad_jw": (jaro_winkler, "ad"),
+    "nm_ratio": ("ratio", "nm", 100),
+    "nm_jw": ("jaro_winkler", "nm", 1),
+    "nm_tset": ("token_set_ratio", "nmc", 100),
+    "nm_tsort": ("token_sort_ratio", "nmc", 100),
+    "nm_partial": ("partial_ratio", "nm", 100),
+    "nm_sorted": ("ratio", "nms", 100),
+    "nm_wratio": ("weighted_ratio", "nm", 100),
+    "ad_ratio": ("ratio", "ad", 100),
+    "ad_tset": ("token_set_ratio", "adn", 100),
+    "ad_tsort": ("token_sort_ratio", "adn", 100),
+    "ad_partial": ("partial_ratio", "ad", 100),
+    "ad_sorted": ("ratio", "ads", 100),
+    "ad_wratio": ("weighted_ratio", "ad", 100),
+    "num_ratio": ("ratio", "num", 100),
+    "zip_ratio": ("ratio", "zip", 100),
+    "ad_jw": ("jaro_winkler", "ad", 1),
 }
 
 
+def evenly(batch: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose number times their longest string is bounded, one row at least: tables of letters are as wide as the longest."""
+    longest = [max(x) for x in zip(*(pc.fill_null(pc.utf8_length(batch.column(c)), 0).to_pylist() for c in columns))]
+    start, most = 0, 0
+    for n, size in enumerate(longest):
+        if n > start and max(most, size) * (n - start + 1) > MOST_LETTERS:
+            yield batch.slice(start, n - start)
+            start, most = n, 0
+        most = max(most, size)
+    yield batch.slice(start)
+
+
 def with_scores(pairs: DataFrame, names: list[str] | None = None, left: str = "a_", right: str = "b_") -> DataFrame:
-    """``pairs`` with a column for each named scorer, from the views ``a_*`` and ``b_*``, in one pass of Arrow batches."""
+    """``pairs`` with a column for each named scorer, from the views ``a_*`` and ``b_*``, in one pass of Arrow batches over arrays of bits."""
     names = list(SCORERS) if names is None else names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            views = {c: [x or "" for x in batch.column(c).to_pylist()] for n in names for c in (left + SCORERS[n][1], right + SCORERS[n][1])}
-            scores = [pa.array(list(map(SCORERS[n][0], views[left + SCORERS[n][1]], views[right + SCORERS[n][1]])), pa.float64()) for n in names]
+        from . import batchsim
+
+        used = sorted({c for n in names for c in (left + SCORERS[n][1], right + SCORERS[n][1])})
+        for batch in (part for whole in batches for part in evenly(whole, used)):
+            views = {c: batchsim.Texts(x or "" for x in batch.column(c).to_pylist()) for n in names for c in (left + SCORERS[n][1], right + SCORERS[n][1])}
+            scores = []
+            for n in names:
+                scorer, view, whole = SCORERS[n]
+                scores.append(pa.array(getattr(batchsim, scorer)(views[left + view], views[right + view]) / whole))
             yield pa.RecordBatch.from_arrays([*batch.columns, *scores], [*batch.schema.names, *names])
 
     shape = StructType([*pairs.schema.fields, *(StructField(n, DoubleType()) for n in names)])

@@ -56,21 +56,37 @@ def fold_tables() -> tuple[str, str, dict[str, str], str]:
     return "".join(single_from), "".join(single_to), several, "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in ranges)
 
 
+@cache
+def latin_table() -> tuple[str, str, str]:
+    """What folding does to the characters up to U+00FF (two parallel strings), and a class of those and all others that need more."""
+    a, b, several, _ = fold_tables()
+    pairs = [(x, y) for x, y in zip(a, b) if x <= "\xff"]
+    more = "".join(x for x in several if x <= "\xff")
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs), f"[{more}]|[^\\x00-\\xFF]"
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents on Latin letters; signs of other scripts stay.
 
     Exact, within the basic plane, for all that ``punct_norm`` and ``alnum`` keep, but that
-    several marks in a row are taken in the order they come in.
+    several marks in a row are taken in the order they come in. Strings up to U+00FF, by far the most, take one short
+    table; the long classes are matched only against characters beyond.
     """
+    latin_from, latin_to, more = latin_table()
+    return F.lower(F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(~c.rlike(more), F.translate(c, latin_from, latin_to)).otherwise(fold_all(c)))
+
+
+def fold_all(c: Column) -> Column:
     a, b, several, marks = fold_tables()
     s = F.translate(c, a, b)
-    # Characters that become several are rare, so only strings that have one are taken apart.
+    # Characters that become several are rare, so only strings that have one are taken apart, and only such characters are looked up.
     some = "[" + "".join(several) + "]"
     pairs = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
-    long = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x)), "")
-    s = F.when(s.rlike(some), long).otherwise(s)
-    s = F.regexp_replace(s, rf"([\x00-\x7F])[{marks}]+", "$1")
-    return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), s).otherwise(c))
+    own = lambda x: F.when(x.rlike(some), F.coalesce(F.try_element_at(pairs, x), x)).otherwise(x)
+    long = F.array_join(F.transform(F.split(s, ""), lambda x: F.when(x < "\x80", x).otherwise(own(x))), "")
+    s = F.when(s.rlike(rf"(?=[^\x00-\x7F]){some}"), long).otherwise(s)
+    # The general category is a quick test that spares most characters the class of marks.
+    return F.regexp_replace(s, rf"([\x00-\x7F])(?=\p{{M}})[{marks}]+", "$1")
 
 
 def punct_norm(c: Column) -> Column:

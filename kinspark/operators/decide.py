@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import entity_counts, summary
+from .metrics import summary
 
 
 def decide(pairs: DataFrame, threshold: float, p: str = "p") -> DataFrame:
@@ -53,7 +53,3 @@ def sweep(entities: DataFrame, pairs: DataFrame, truth: DataFrame, thresholds: t
 def best_config(rows: DataFrame, by: str = "f05_macro") -> DataFrame:
     """The row with the largest score; the first variant and threshold on ties."""
     return rows.orderBy(F.desc(by), "variant", "threshold").limit(1)
-
-
-def matches(entities: DataFrame, pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    return summary(entity_counts(entities, pairs, truth))

@@ -21,6 +21,11 @@ def entity_counts(entities: DataFrame, pairs: DataFrame, truth: DataFrame) -> Da
     return out.na.fill(0, ["npred", "tp", "ntrue"])
 
 
+#: The features whose means tell false from true positives, and those shown with an example.
+TOLD = ("rank_n", "score", "score_ratio", "nm_ratio", "nm_tset", "nm_partial", "ad_ratio", "ad_tset", "num_ratio", "house_eq", "zip_eq", "mindf_min")
+SHOWN = ("nm_ratio", "ad_ratio", "nm_tset", "ad_tset", "zip_eq", "mindf_b")
+
+
 def f_half() -> Column:
     """Both lists empty: 1. One empty, or nothing in common: 0."""
     c = F.col
@@ -138,9 +143,9 @@ def false_negatives(pairs: DataFrame, truth: DataFrame, threshold: float, p: str
     )
 
 
-def examples(pairs: DataFrame, threshold: float, n: int, false_positive: bool, p: str = "p") -> DataFrame:
-    """The n likeliest false positives, or the n unlikeliest missed pairs, with their strings."""
+def examples(pairs: DataFrame, threshold: float, n: int, false_positive: bool, p: str = "p", more: tuple[str, ...] = ()) -> DataFrame:
+    """The n likeliest false positives, or the n unlikeliest missed pairs, with their strings and the columns ``more``."""
     yes = F.col(p) >= threshold
     rows = pairs.where(yes & (F.col("label") == 0)) if false_positive else pairs.where(~yes & (F.col("label") == 1))
     order = F.desc(p) if false_positive else F.asc(p)
-    return rows.orderBy(order, "s1_id", "tgt_id").limit(n).select("s1_id", "tgt_id", "src", p, "score", "rank", "a_nm", "a_ad", "b_nm", "b_ad")
+    return rows.orderBy(order, "s1_id", "tgt_id").limit(n).select("s1_id", "tgt_id", "src", p, "score", "rank", "a_nm", "a_ad", "b_nm", "b_ad", *more)

@@ -109,9 +109,8 @@ def list_lengths(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("s1_id", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("s1_id").agg(F.max("n").alias("ncand"))
 
 
-def build(records: DataFrame, truth: DataFrame, params: Params, scorers: list[str] | None = None) -> DataFrame:
-    """All pairs of a record table (src 1 against 2 and 3), with features and label."""
-    index = Index(records.where("src > 1"), params)
+def featured(records: DataFrame, index: Index, params: Params, scorers: list[str] | None = None) -> DataFrame:
+    """All candidate pairs of the entities of ``records`` (src 1) in an index, with features."""
     entities = records.where("src = 1")
     pairs = context(index.candidates(entities), params)
     if params.mindf == "live":
@@ -119,4 +118,9 @@ def build(records: DataFrame, truth: DataFrame, params: Params, scorers: list[st
         pairs = pairs.join(least, ["s1_id", "src"], "left")
     pairs = with_rarity(decorated(pairs, records), index, params)
     pairs = pairs.select("*", *(c.alias(n) for n, c in (structural() | numeric()).items() if n not in ("a_indic", "b_indic")))
-    return labelled(S.with_scores(pairs, scorers), truth)
+    return S.with_scores(pairs, scorers)
+
+
+def build(records: DataFrame, truth: DataFrame, params: Params, scorers: list[str] | None = None) -> DataFrame:
+    """All pairs of a record table (src 1 against 2 and 3), with features and label."""
+    return labelled(featured(records, Index(records.where("src > 1"), params), params, scorers), truth)

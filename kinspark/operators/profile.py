@@ -121,5 +121,11 @@ def pair_flags(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hard_examples(pairs: DataFrame, n: int = 25) -> DataFrame:
-    return pairs.where("name_jaccard < 0.5").orderBy("s1_id", "tgt_id").limit(n)
+def matched_ids(truth: DataFrame) -> DataFrame:
+    """One row: matched ids, and how many different ones."""
+    return truth.where("tgt_id IS NOT NULL").agg(F.count(F.lit(1)).alias("matched_ids_total"), F.countDistinct("tgt_id").alias("matched_ids_unique"))
+
+
+def hard_examples(pairs: DataFrame, n: int = 25, below: float = 0.5) -> DataFrame:
+    """True pairs whose names share few words."""
+    return pairs.where(F.col("name_jaccard") < below).orderBy("s1_id", "tgt_id").limit(n)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from contextvars import ContextVar
 from functools import wraps
 
@@ -21,6 +20,7 @@ from ..operators import profile as PF
 from ..operators import retrieve as R
 from ..sources import fixtures as FX
 from ..sources import tables as T
+from . import inference as INF
 from . import oracle as O
 
 QUERIES: dict = {}
@@ -61,8 +61,7 @@ def texts(spark, sf_dir) -> DataFrame:
 
 
 def views(spark, sf_dir) -> DataFrame:
-    """The normalised views. Most queries read them several times, and later ones again; Spark finds them by their plan."""
-    return FX.views(spark, sf_dir).persist()
+    return FX.views(spark, sf_dir)
 
 
 def index(spark, sf_dir) -> R.Index:
@@ -74,8 +73,7 @@ def entities(spark, sf_dir) -> DataFrame:
 
 
 def candidates(spark, sf_dir) -> DataFrame:
-    """Also kept: what all pair queries start from."""
-    return index(spark, sf_dir).candidates(views(spark, sf_dir).where("src = 1")).persist()
+    return index(spark, sf_dir).candidates(views(spark, sf_dir).where("src = 1"))
 
 
 def decorated(spark, sf_dir) -> DataFrame:
@@ -410,10 +408,12 @@ def neg_downsample(spark, sf_dir):
 
 
 def training(spark, sf_dir) -> DataFrame:
-    """Pairs of the fit part. Materialised once: every pass of a fit would score them again."""
+    """Pairs of the fit part. Written once: every pass of a fit would score them again."""
     pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), LIMITS.get())
     pairs = pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in PR.FEATURES))
-    return pairs.persist()
+    path = T.scratch(spark)
+    pairs.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(pairs.schema).parquet(path)
 
 
 @query()
@@ -492,10 +492,66 @@ def assemble_candidates(spark, sf_dir):
     return T.match_lists(entities(spark, sf_dir), candidates(spark, sf_dir), "candidate_entity_ids")
 
 
-@query("SELECT DISTINCT e.country, s.src FROM entities e, (VALUES (2::BIGINT), (3::BIGINT)) s(src) WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.country = e.country AND c.src = s.src)")
+@query(
+    "SELECT DISTINCT e.country, s.src FROM entities e, (VALUES (2::BIGINT), (3::BIGINT)) s(src) "
+    "WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.country = e.country AND c.src = s.src AND (c.country <> 'es' OR c.src = 2))"
+)
 def block_coverage(spark, sf_dir):
-    expected = entities(spark, sf_dir).select("country").distinct().withColumn("src", F.explode(F.array(F.lit(2).cast("long"), F.lit(3).cast("long"))))
-    return T.missing_blocks(expected, candidates(spark, sf_dir))
+    """The blocks that a run lacks which was stopped before the last of them, (es, 3)."""
+    done = candidates(spark, sf_dir).where("country <> 'es' OR src = 2")
+    return T.missing_blocks(INF.expected(entities(spark, sf_dir)), done)
+
+
+def lists_sql(threshold: float) -> str:
+    one = "coalesce(string_agg(c.tgt_id::VARCHAR, ',' ORDER BY c.src, c.rank) {}, '') AS {}"
+    return (
+        "SELECT e.s1_id AS source1_entity_id, " + one.format("", "candidate_entity_ids") + ", " + one.format(f"FILTER (c.p >= {threshold})", "matched_entity_ids")
+        + " FROM entities e LEFT JOIN closed c ON c.s1_id = e.s1_id GROUP BY e.s1_id"
+    )
+
+
+def closed_form(pairs: DataFrame) -> DataFrame:
+    """The closed-form probability of ``decorated``, as a scorer of featured pairs."""
+    return pairs.withColumn("p", F.round(0.5 * F.col("score_ratio") + 0.25 * F.col("nm_len_ratio") + 0.25 * F.col("ad_tok_ratio"), 6))
+
+
+@query(lists_sql(TH))
+def predict_lists(spark, sf_dir):
+    """Inference end to end under a fixed linear model: index, blocks, lists, each a stage that a second run finds."""
+    key = T.fingerprint(spark, f"{sf_dir}/documents.parquet", "closed form")
+    return INF.predict(spark, views(spark, sf_dir), closed_form, TH, LIMITS.get(), T.shared_folder(spark), key)
+
+
+@query(
+    SWEEP.replace("SELECT threshold, s1_id, count(*) AS npred, sum(label) AS tp FROM {}, levels WHERE p >= threshold GROUP BY ALL", "SELECT variant, threshold, s1_id, count(*) AS npred, sum(label) AS tp FROM both_kinds, levels WHERE p >= threshold GROUP BY ALL")
+    .replace("SELECT l.threshold, e.s1_id,", "SELECT k.variant, l.threshold, e.s1_id,")
+    .replace("CROSS JOIN levels l LEFT JOIN passed p ON p.threshold", "CROSS JOIN levels l CROSS JOIN (SELECT DISTINCT variant FROM both_kinds) k LEFT JOIN passed p ON p.variant = k.variant AND p.threshold")
+    .replace(", levels(threshold)", ", by_score AS (SELECT * REPLACE (round(score_ratio, 6) AS p) FROM closed), "
+    "score_owners AS (SELECT * FROM by_score QUALIFY row_number() OVER (PARTITION BY tgt_id ORDER BY p DESC, s1_id) = 1), both_kinds AS (SELECT 'closed|bij=0' AS variant, s1_id, p, label FROM closed "
+    "UNION ALL SELECT 'closed|bij=1', s1_id, p, label FROM owners UNION ALL SELECT 'score|bij=0', s1_id, p, label FROM by_score UNION ALL SELECT 'score|bij=1', s1_id, p, label FROM score_owners), levels(threshold)")
+    + f"SELECT variant, threshold, {O.SUMMARY} FROM counts GROUP BY variant, threshold"
+)
+def variant_sweep(spark, sf_dir):
+    """Every probability column, as it is and one to one, at every threshold."""
+    pairs = decorated(spark, sf_dir).withColumn("by_score", F.round("score_ratio", 6))
+    return INF.variants(entities(spark, sf_dir), pairs, FX.truth(spark, sf_dir), {"closed": "p", "score": "by_score"})
+
+
+@query(lists_sql(TH).replace("SELECT e.s1_id AS source1_entity_id, ", "SELECT source1_entity_id::VARCHAR AS source1_entity_id, matched_entity_ids FROM (SELECT e.s1_id AS source1_entity_id, ") + ")")
+def predict_files(spark, sf_dir):
+    """The lists as result files, read back."""
+    path = T.scratch(spark)
+    INF.write_lists(predict_lists(spark, sf_dir), path)
+    return T.read_tsv(spark, f"{path}/matching_results", T.TRUTH)
+
+
+@query()
+def trained_lists(spark, sf_dir):
+    """Training, choice of the variant, and inference with the saved models."""
+    key = T.fingerprint(spark, f"{sf_dir}/documents.parquet")
+    v, root = views(spark, sf_dir), T.shared_folder(spark)
+    config = INF.train(spark, v, FX.truth(spark, sf_dir), LIMITS.get(), root, key)
+    return INF.predict(spark, v, INF.scorer_of(config), config["threshold"], LIMITS.get(), root, f"{key} {config['variant']} {config['models']}")
 
 
 # ---------------------------------------------------------------- metrics
@@ -608,9 +664,31 @@ def err_examples_fp(spark, sf_dir):
     return long(M.examples(closed(spark, sf_dir), TH, 20, True), "rank")
 
 
-@query(f"SELECT {EXAMPLE} FROM closed WHERE p < {TH} AND label = 1 ORDER BY p, s1_id, tgt_id LIMIT 20")
+#: A threshold that some true pairs miss.
+STRICT = 0.99
+
+
+@query(f"SELECT {EXAMPLE} FROM closed WHERE p < {STRICT} AND label = 1 ORDER BY p, s1_id, tgt_id LIMIT 20")
 def err_examples_fn(spark, sf_dir):
-    return long(M.examples(closed(spark, sf_dir), TH, 20, False), "rank")
+    return long(M.examples(closed(spark, sf_dir), STRICT, 20, False), "rank")
+
+
+def featured(spark, sf_dir) -> DataFrame:
+    """Labelled pairs with all features and the closed-form probability."""
+    v = views(spark, sf_dir)
+    return closed_form(PR.build(v, FX.truth(spark, sf_dir), LIMITS.get()))
+
+
+@query()
+def err_feature_means_all(spark, sf_dir):
+    """The means of the twelve features that tell false from true positives."""
+    return M.feature_means(featured(spark, sf_dir), TH, list(M.TOLD))
+
+
+@query()
+def err_examples_scored(spark, sf_dir):
+    """False positives with the scores that made them."""
+    return long(M.examples(featured(spark, sf_dir), TH, 20, True, more=M.SHOWN), "rank")
 
 
 # ---------------------------------------------------------------- profiles
@@ -712,9 +790,72 @@ def eda_true_pair_flags(spark, sf_dir):
     return PF.pair_flags(true_pairs(spark, sf_dir))
 
 
-@query(TRUE_PAIRS + "SELECT s1_id, tgt_id, round(nj, 6) AS name_jaccard FROM tp WHERE nj < 0.5 ORDER BY s1_id, tgt_id LIMIT 25")
+#: True pairs of the tables have much the same names; this makes some of them hard.
+HARD = 1.0
+
+
+@query(TRUE_PAIRS + f"SELECT s1_id, tgt_id, round(nj, 6) AS name_jaccard FROM tp WHERE nj < {HARD} ORDER BY s1_id, tgt_id LIMIT 25")
 def eda_hard_examples(spark, sf_dir):
-    return PF.hard_examples(true_pairs(spark, sf_dir)).select("s1_id", "tgt_id", F.round("name_jaccard", 6).alias("name_jaccard"))
+    return PF.hard_examples(true_pairs(spark, sf_dir), below=HARD).select("s1_id", "tgt_id", F.round("name_jaccard", 6).alias("name_jaccard"))
+
+
+@query("SELECT count(*) AS matched_ids_total, count(DISTINCT tgt_id) AS matched_ids_unique FROM truth")
+def eda_matched_ids(spark, sf_dir):
+    return PF.matched_ids(FX.truth(spark, sf_dir))
+
+
+#: Names as in the corpora that the normalisation is for, which the tables lack: Indic scripts, marks, ligatures, legal forms.
+INDIC = ("श्री कृष्णा ट्रेडर्स", "Śrī Kṛṣṇa Traders Pvt. Ltd.", "தமிழ் நாடு", "Café Ångström GmbH", "ﬁne ½ Ⅷ №5", "", "नमस्ते 123", "ಕನ್ನಡ Inc")
+
+
+def indic_rows(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(INDIC)), "entity_id long, name string")
+
+
+INDIC_SQL = "(VALUES " + ", ".join(f"({i}::BIGINT, '{x}')" for i, x in enumerate(INDIC)) + ") r(entity_id, name)"
+
+
+@query(
+    f"SELECT entity_id, {SCRIPT} AS script, regexp_matches(name, '[\\x{{0900}}-\\x{{097F}}]')::BIGINT AS indic FROM {INDIC_SQL}", chain=False
+)
+def script_of_indic(spark, sf_dir):
+    """Scripts and the flag on names that have them."""
+    df = indic_rows(spark).select("entity_id", X.script_of(F.col("name")).alias("script"), X.has_devanagari(F.col("name")).alias("indic"))
+    return long(df, "indic")
+
+
+@query("SELECT entity_id, 'S' || src || '_' || entity_id AS record_id, src::VARCHAR AS source FROM records")
+def source_of_id(spark, sf_dir):
+    """The source of an id is its second character."""
+    ids = F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("_"), F.col("entity_id").cast("string"))
+    df = FX.records(spark, sf_dir).select("entity_id", ids.alias("record_id"))
+    return df.withColumn("source", X.source_of(F.col("record_id")))
+
+
+@query("SELECT DISTINCT country FROM views WHERE src = 1")
+def split_countries(spark, sf_dir):
+    """Countries of one split of the written views."""
+    path = T.scratch(spark)
+    T.write_views(views(spark, sf_dir).withColumn("split", F.when(F.col("src") == 1, "test").otherwise("train")), path)
+    return T.countries(spark, path, "test")
+
+
+@query("SELECT country, count(*) AS n FROM records GROUP BY country")
+def report_roundtrip(spark, sf_dir):
+    """A report written as JSON and read back."""
+    path = T.scratch(spark)
+    T.write_report(PF.country_histogram(FX.records(spark, sf_dir)), path)
+    return spark.read.schema("country string, n long").json(path)
+
+
+@query("SELECT source1_entity_id AS s1_id, tgt_id FROM (SELECT s1_id::VARCHAR AS source1_entity_id, tgt_id::VARCHAR AS tgt_id FROM entities LEFT JOIN truth USING (s1_id) WHERE country = 'en')")
+def truth_subset(spark, sf_dir):
+    """The matches of some entities, read from a file of all."""
+    path = T.scratch(spark)
+    lists = T.match_lists(entities(spark, sf_dir), FX.truth(spark, sf_dir).withColumn("src", F.col("tgt_src")).withColumn("rank", F.col("tgt_id")))
+    T.write_tsv(lists.withColumn("source1_entity_id", F.col("source1_entity_id").cast("string")), path)
+    subset = entities(spark, sf_dir).where("country = 'en'").select(F.col("s1_id").cast("string").alias("s1_id"))
+    return T.truth_pairs(T.read_tsv(spark, path, T.TRUTH, list(T.TRUTH)), subset)
 
 
 # ---------------------------------------------------------------- tuning, files
@@ -750,22 +891,46 @@ def grid(spark, sf_dir, configs: list[Params], lengths: tuple[int, ...]) -> Data
     return out
 
 
-@query(grid_sql())
-def budget_grid(spark, sf_dir):
-    return grid(spark, sf_dir, [SMALL.with_(budget=b) for b in (20, 60, 200)], (1, 3, 5))
+TUNED = [(10, 60, 1.0), (10, 20, 1.0), (5, 20, 1.0), (10, 20, 0.5)]
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors can reach, or a local one in local mode."""
-    import tempfile
+def tuned_sql() -> str:
+    """Rows of the tuning configurations (kq, budget, w_addr): the field's weight changes the query weights."""
+    tables, rows = [], []
+    for i, (kq, b, w) in enumerate(TUNED):
+        tables.append(
+            f"tp{i} AS (SELECT * FROM ranked WHERE pos < {kq} AND (pos = 0 OR (df <= {SMALL.dfmax} AND before < {b}))), tr{i} AS (SELECT *, (CASE WHEN field = 0 THEN 1.0 ELSE {w} END)::DOUBLE * ln(1 + n::DOUBLE / df) AS raw FROM tp{i}), "
+            f"tq{i} AS (SELECT *, raw / greatest(sqrt(sum(raw) OVER (PARTITION BY s1_id, src)), 1e-9) AS v FROM tr{i}), "
+            f"ts{i} AS (SELECT q.s1_id, q.src, p.tgt_id, round(sum(q.v * p.w), 6) AS score FROM tq{i} q JOIN postings p USING (src, country, token) GROUP BY ALL), "
+            f"tk{i} AS (SELECT *, row_number() OVER (PARTITION BY s1_id, src ORDER BY score DESC, tgt_id) AS rn FROM ts{i})"
+        )
+        for k in (1, 3, 5):
+            rows.append(
+                f"SELECT {kq}::BIGINT AS kq, {b}::BIGINT AS budget, {w}::DOUBLE AS w_addr, {k}::BIGINT AS topk, (SELECT count(*) FROM tk{i} WHERE rn <= {k}) AS candidates, "
+                f"(SELECT count(*) FROM truth t JOIN tk{i} c ON c.s1_id = t.s1_id AND c.tgt_id = t.tgt_id AND rn <= {k}) AS found"
+            )
+    return ", " + ", ".join(tables) + " " + " UNION ALL ".join(rows)
+
+
+@query(tuned_sql())
+def tuning_grid(spark, sf_dir):
+    """Candidates and found true pairs by kq, budget, address weight and list length."""
+    out = None
+    for kq, b, w in TUNED:
+        one = grid(spark, sf_dir, [SMALL.with_(kq=kq, budget=b, w_addr=w)], (1, 3, 5))
+        one = one.select(F.lit(kq).cast("long").alias("kq"), "budget", F.lit(w).alias("w_addr"), "topk", "candidates", "found")
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
-    there = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinspark-")
-    return f"{there.rstrip('/')}/{uuid.uuid4().hex}"
+@query(grid_sql())
+def budget_grid(spark, sf_dir):
+    return grid(spark, sf_dir, [SMALL.with_(budget=b) for b in (20, 60, 200)], (1, 3, 5))
 
 
 @query("SELECT entity_id::VARCHAR AS entity_id, name AS business_name, address AS business_address, country FROM records")
 def tsv_roundtrip(spark, sf_dir):
-    path = scratch(spark)
+    path = T.scratch(spark)
     rows = FX.records(spark, sf_dir).select(F.col("entity_id").cast("string").alias("entity_id"), F.col("name").alias("business_name"), F.col("address").alias("business_address"), "country")
     T.write_tsv(rows, path)
     return T.read_tsv(spark, path, T.RECORD)
@@ -773,7 +938,7 @@ def tsv_roundtrip(spark, sf_dir):
 
 @query("SELECT s1_id::VARCHAR AS s1_id, tgt_id::VARCHAR AS tgt_id FROM entities LEFT JOIN truth USING (s1_id)")
 def truth_scan(spark, sf_dir):
-    path = scratch(spark)
+    path = T.scratch(spark)
     lists = T.match_lists(entities(spark, sf_dir), FX.truth(spark, sf_dir).withColumn("src", F.col("tgt_src")).withColumn("rank", F.col("tgt_id")))
     T.write_tsv(lists.withColumn("source1_entity_id", F.col("source1_entity_id").cast("string")), path)
     return T.truth_pairs(T.read_tsv(spark, path, T.TRUTH))
@@ -782,7 +947,7 @@ def truth_scan(spark, sf_dir):
 @query("SELECT entity_id, nmc, adn FROM views WHERE src = 2 AND country = 'en'")
 def views_roundtrip(spark, sf_dir):
     """Written by split, source and country, and read with only the folders of one block."""
-    path = scratch(spark)
+    path = T.scratch(spark)
     T.write_views(views(spark, sf_dir).withColumn("split", F.lit("train")), path)
     return T.read_views(spark, path, "train", 2, "en").select("entity_id", "nmc", "adn")
 
@@ -795,13 +960,13 @@ RETRIEVED = [
     "pair_context", "pair_structural", "pair_numeric", "pair_rarity", "pair_labels", "pair_list_lengths",
     "sim_ratio", "sim_ratio_native", "sim_token_sort", "sim_sorted", "sim_num", "sim_zip", "sim_token_set", "sim_jw", "sim_address",
     "decide_threshold", "decide_rule", "best_probability", "decide_bijective", "threshold_sweep", "best_threshold",
-    "assemble_matches", "assemble_candidates", "metric_f05", "metric_summary",
+    "assemble_matches", "assemble_candidates", "predict_lists", "variant_sweep", "metric_f05", "metric_summary",
     "block_coverage", "block_recall", "block_cand_dist", "block_reduction", "recall_at_k", "absent_rate",
     "err_confusion", "err_rank_buckets", "err_entity_ok", "err_fp_by_source", "err_feature_means", "err_fn_split", "err_examples_fp", "err_examples_fn",
 ]
 QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in RETRIEVED}
 #: Without SQL, nothing holds a query to small limits.
-QUERIES |= {name: whole(QUERIES[name]) for name in ("pair_features", "sim_partial", "sim_wratio", "model_lr", "model_gbt", "model_blend")}
+QUERIES |= {name: whole(QUERIES[name]) for name in ("pair_features", "sim_partial", "sim_wratio", "model_lr", "model_gbt", "model_blend", "trained_lists", "err_feature_means_all", "err_examples_scored")}
 
 
 @query()
@@ -810,6 +975,17 @@ def budget_grid_whole(spark, sf_dir):
     return grid(spark, sf_dir, [PRODUCTION.with_(kq=k, budget=b) for k, b in ((60, 40_000), (100, 80_000), (200, 200_000))], (20, 30, 45))
 
 
+@query()
+def tuning_grid_whole(spark, sf_dir):
+    """The published tuning: four configurations, five lengths."""
+    out = None
+    for kq, b, w in ((100, 80_000, 1.0), (100, 40_000, 1.0), (60, 40_000, 1.0), (100, 40_000, 0.5)):
+        one = grid(spark, sf_dir, [PRODUCTION.with_(kq=kq, budget=b, w_addr=w)], (3, 5, 10, 20, 30))
+        one = one.select(F.lit(kq).cast("long").alias("kq"), "budget", F.lit(w).alias("w_addr"), "topk", "candidates", "found")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def neg_downsample_whole(spark, sf_dir):
     return long(L.downsample(closed(spark, sf_dir)).select("s1_id", "tgt_id", "label"), "label")

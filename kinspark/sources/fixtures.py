@@ -1,4 +1,8 @@
-"""Records, and a stand-in for the truth, from the driver's documents table."""
+"""Records, and a stand-in for the truth, from the driver's documents table.
+
+The records are normalised once and kept as a stage in the shared folder, as a production run keeps its
+views; every query reads the columns it needs of that.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import tables as T
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, spread over all cores where its files have fewer row groups than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of ``records`` and of the normalised views, from a stage keyed by the table's files."""
+    return T.stage(spark, T.shared_folder(spark), "records-" + T.fingerprint(spark, f"{sf_dir}/documents.parquet"), lambda: X.views(made(spark, sf_dir)))
+
+
+def made(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, src (1 to 3), country, name (words 1 to 6), address (words 7 to 24), evidence (words 25 to 34)."""
     words = F.split(X.punct_norm(X.blank(F.col("text"))), " ")
     part = F.col("doc_id") % 20
@@ -26,8 +39,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("entity_id", "src", "country", cut(1, 6).alias("name"), cut(7, 18).alias("address"), F.when(F.size("w") >= 34, cut(25, 10)).alias("evidence"))
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir).select("entity_id", "src", "country", "name", "address", "evidence")
+
+
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.views(records(spark, sf_dir).drop("evidence"))
+    return staged(spark, sf_dir).drop("evidence")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +16,38 @@ RECORD = ("entity_id", "business_name", "business_address", "country")
 TRUTH = ("source1_entity_id", "matched_entity_ids")
 
 
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. In local mode, where that may be unset, one of our own, removed at the end;
+    a cluster without it raises, for executors could not read what others wrote to a folder of one machine."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="kinspark-"))
+            atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), True)
+        there = _OWN[0]
+    return there.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def fingerprint(spark: SparkSession, path: str, *more: object) -> str:
+    """A digest of a table's files (names, sizes, times) and of whatever else a stage made from it depends on."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.getFileStatus(own)
+    files = [root] if root.isFile() else list(fs.listStatus(own))
+    told = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join([*told, *map(str, more)]).encode()).hexdigest()[:24]
+
+
 def source_path(root: str, split: str, source: int) -> str:
     return f"{root}/{split}/{split}_source{source}.tsv"
 
@@ -53,12 +91,22 @@ def countries(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split).select("country").distinct()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df``, written under ``path`` and read back."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(spark: SparkSession, path: str, key: str, make) -> DataFrame:
     """The table under ``path``/``key``, made and written first unless it is there in full. ``key`` digests all it depends on."""
     own = f"{path.rstrip('/')}/{key}"
     # The committer leaves this file only after the last task.
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{own}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not exists(spark, f"{own}/_SUCCESS"):
         make().write.mode("overwrite").option("compression", "zstd").parquet(own)
     return spark.read.parquet(own)
 
@@ -68,6 +116,10 @@ def write_blocks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country", "src").parquet(path)
 
 
+def read_blocks(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    return spark.read.schema(f"s1_id {id_type}, candidates array<string>, matches array<string>, country string, src long").parquet(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -86,8 +138,10 @@ def match_lists(entities: DataFrame, matches: DataFrame, name: str = "matched_en
 
 
 def missing_blocks(expected: DataFrame, done: DataFrame) -> DataFrame:
-    """Blocks (country, src) that should be there and are not."""
-    return expected.select("country", "src").distinct().join(done.select("country", "src").distinct(), ["country", "src"], "left_anti")
+    """Blocks (country, src) that should be there and are not; a null country is one, too."""
+    want = expected.select("country", "src").distinct()
+    there = done.select(F.col("country").alias("__c"), F.col("src").alias("__s")).distinct()
+    return want.join(there, F.col("country").eqNullSafe(F.col("__c")) & (F.col("src") == F.col("__s")), "left_anti")
 
 
 def require_complete(expected: DataFrame, done: DataFrame) -> None:

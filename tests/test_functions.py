@@ -4,8 +4,10 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
+from kinspark.functions import batchsim
 from kinspark.functions import similarity as S
 from kinspark.functions import text as X
 from kinspark.functions.wordlists import ADDRESS_FORMS, LEGAL, NAME_FORMS
@@ -121,3 +123,37 @@ def test_native_ratio(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a string, b string")
     got = [r[0] for r in df.select("i", S.ratio_expression(F.col("a"), F.col("b")).alias("r")).orderBy("i").select("r").collect()]
     assert all(abs(g - S.ratio(a, b) / 100) < 1e-9 for g, (a, b) in zip(got, rows))
+
+
+def scorer_cases():
+    rng = random.Random(21)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(200)]
+    odd = ["", "a", "ab", "a b", "b a", "é漢", " x ", "x" * 64, "x" * 65, "ab" * 64, "abc " * 40, "नमस्ते दुनिया", "a\0"]
+    pairs = [(x, y) for x in odd for y in odd]
+    for _ in range(300):
+        own = rng.choices(words, k=rng.choice([1, 2, 6, 18, 30]))
+        other = [rng.choice(words) if rng.random() < 0.3 else w for w in own]
+        rng.shuffle(other) if rng.random() < 0.3 else None
+        pairs.append((" ".join(own), " ".join(other)[rng.randrange(4) :]))
+        pairs.append((" ".join(own), " ".join(rng.choices(words, k=rng.choice([1, 5, 18])))))
+    return [x for x, _ in pairs], [y for _, y in pairs]
+
+
+@pytest.mark.parametrize("name", ["ratio", "token_sort_ratio", "token_set_ratio", "partial_ratio", "weighted_ratio", "jaro_winkler"])
+def test_scorers_in_batches(name, monkeypatch):
+    """Arrays of bits give what the scalar definitions give, to the last bit, in steps of any size."""
+    a, b = scorer_cases()
+    want = [getattr(S, name)(x, y) for x, y in zip(a, b)]
+    assert getattr(batchsim, name)(a, b).tolist() == want
+    monkeypatch.setattr(batchsim, "STEP", 37)
+    texts = batchsim.Texts(a), batchsim.Texts(b)
+    assert getattr(batchsim, name)(*texts).tolist() == want == getattr(batchsim, name)(*texts).tolist()
+    assert getattr(batchsim, name)([], []).tolist() == []
+
+
+def test_a_long_string_widens_only_its_own_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_LETTERS", 300)
+    names = ["aa bb", "x" * 500, None, "", "aa bb cc"] * 3
+    df = spark.createDataFrame([(i, x, "aa bb") for i, x in enumerate(names)], "i long, a_nm string, b_nm string")
+    got = {r.i: r.nm_ratio for r in S.with_scores(df, ["nm_ratio"]).collect()}
+    assert got == {i: S.ratio(x or "", "aa bb") / 100 for i, x in enumerate(names)}

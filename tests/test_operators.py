@@ -1,6 +1,8 @@
 """Index, retrieval, decisions and metrics on hand-made records."""
 
 import math
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from kinspark.operators import learn as L
 from kinspark.operators import metrics as M
 from kinspark.operators import pairs as PR
 from kinspark.operators import retrieve as R
+from kinspark.plans import inference as INF
 from kinspark.sources import tables as T
 
 RECORDS = [
@@ -148,3 +151,35 @@ def test_models(spark, tmp_path):
     wrong = scored.where((F.col("p") >= 0.5).cast("int") != F.col("label")).count()
     assert wrong < 20 and L.importance(trees, ["x", "y"])[0][0] == "x"
     assert L.downsample(df, 1, 0).where("label = 1").count() == 200
+
+
+def test_training_and_inference(spark, tmp_path, small):
+    """Train, choose, save, score by blocks, assemble; a second run finds every stage, and a lost block is scored again."""
+    from kinspark.sources import fixtures as FX
+
+    params, root = Params(kq=10, budget=60, dfmax=150, topk=5), f"file://{tmp_path}"
+    views, truth = FX.views(spark, small), FX.truth(spark, small)
+    train = lambda: INF.train(spark, views, truth, params, root, "k", val=0.3, fit=0.6, max_iter=20, rounds=2, depth=2)
+    config = train()
+    assert train() == config and config["variant"].split("|")[0] in ("lr", "xgb", "blend")
+    kept = {p.split("-")[0] for p in os.listdir(tmp_path)}
+    assert {"pairs", "validation", "sweep", "config", "logistic", "trees", "index"} <= kept
+    swept = spark.read.parquet(*[f"{root}/{p}" for p in os.listdir(tmp_path) if p.startswith("sweep")])
+    assert swept.count() == 6 * 13 and {r.variant for r in swept.select("variant").distinct().collect()} == {f"{m}|bij={k}" for m in ("lr", "xgb", "blend") for k in (0, 1)}
+    validation = spark.read.parquet(*[f"{root}/{p}" for p in os.listdir(tmp_path) if p.startswith("validation")])
+    assert {*PR.FEATURES, "label", "p_lr", "p_gbt", "p"} <= set(validation.columns) and "fit" not in validation.columns
+    run = lambda: sorted(tuple(r) for r in INF.predict(spark, views, INF.scorer_of(config), config["threshold"], params, root, "m").collect())
+    first = run()
+    assert len(first) == views.where("src = 1").count()
+    blocks = next(p for p in os.listdir(tmp_path) if p.startswith("blocks"))
+    shutil.rmtree(f"{tmp_path}/{blocks}/country=de/src=3")
+    before = os.stat(f"{tmp_path}/{blocks}/country=en/src=2").st_mtime_ns
+    with pytest.raises(RuntimeError):
+        INF.assembled(views.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country"), T.read_blocks(spark, f"{root}/{blocks}"))
+    assert run() == first and os.stat(f"{tmp_path}/{blocks}/country=en/src=2").st_mtime_ns == before
+    # What inference scores is what the pair tables hold.
+    lists = {r[0]: r[1] for r in first}
+    pairs = PR.build(views, truth, params).select("s1_id", "src", "rank", "tgt_id").collect()
+    for s1 in {r.s1_id for r in pairs}:
+        own = sorted((r.src, r["rank"], r.tgt_id) for r in pairs if r.s1_id == s1)
+        assert lists[s1] == ",".join(str(x) for _, _, x in own)
