@@ -56,6 +56,16 @@ def smallest(df: DataFrame, by: str, n: int, *order: str, salts: int = 16) -> Da
     return some.withColumn("__n", rank(by)).where(F.col("__n") <= n).drop("__n")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def lower_ascii(c):
     return F.translate(c, UPPER, LOWER)
 

@@ -77,18 +77,30 @@ class FMIndex:
             out[at] = np.minimum(self.least[k][lo[at]], self.least[k][hi[at] - (1 << int(k))])
         return out
 
-    def occurs_earlier(self, values: np.ndarray, starts: np.ndarray, length: int, owner: np.ndarray) -> np.ndarray:
-        """Whether the ``length`` symbols of ``values`` from each start occur under a lesser owner than given.
+    def longest_earlier(self, values: np.ndarray, ends: np.ndarray, most: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Matching statistics: the length of the longest stretch of ``values`` that ends at each of ``ends``, has ``most`` symbols at most,
+        and occurs under a lesser owner than given.
 
-        Backward search, all patterns in step; a pattern leaves once no lesser
-        owner is in its interval, for no longer match can have one then.
+        Backward search, all places in step; one leaves once no lesser owner is in its interval, for no longer match can have one then.
         """
-        found, at = np.ones(len(starts), bool), np.arange(len(starts))
-        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
-        for back in range(length - 1, -1, -1):
-            lo, hi = self.extend(values[starts[at] + back], lo, hi)
+        length, at = np.zeros(len(ends), np.int64), np.arange(len(ends))
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        back = 0
+        while len(at):
+            lo, hi = self.extend(values[ends[at] - back], lo, hi)
             live = hi > lo
             live[live] = self.least_owner(lo[live], hi[live]) < owner[at[live]]
-            found[at[~live]] = False
+            back += 1
             at, lo, hi = at[live], lo[live], hi[live]
-        return found
+            length[at] = back
+            more = most[at] > back
+            at, lo, hi = at[more], lo[more], hi[more]
+        return length
+
+    def least_of(self, values: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The least owner of any occurrence of the ``size`` symbols of ``values`` from each of ``starts``, which occur."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
+        for back in range(1, int(size.max(initial=0)) + 1):
+            at = np.flatnonzero(size >= back)
+            lo[at], hi[at] = self.extend(values[starts[at] + size[at] - back], lo[at], hi[at])
+        return self.least_owner(lo, hi)

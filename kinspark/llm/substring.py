@@ -7,18 +7,19 @@ Windows are sharded by content. A window's anchor is the least hash among its
 ``gram``-word runs; a segment is a stretch of windows with the same anchor. Equal windows
 have equal anchors, so they meet in one shard however far apart their documents are:
 1. anchors that occur in one document only are set aside (two joins on 64-bit anchors);
-2. segments of the others go to their anchor's shard, equal ones merged on the
-   way into one with its smallest and largest doc_id, so that a passage that a third of all
-   documents share arrives once for each batch;
-3. a shard builds the FM-index of its segments whose anchor has several distinct ones,
-   and streams those segments through it: a window is covered if its
-   interval holds a smaller doc_id;
+2. segments of the others go to their anchor's shard, equal ones (by 128-bit keys) sent once for each batch with their
+   smallest and largest doc_id, so that a passage that a third of all documents share arrives a few times;
+3. a shard builds one FM-index of all its segments and streams them through it. Backward search from each of a
+   segment's words gives the matching statistics: the length of the longest stretch that ends there and also
+   stands in a smaller document. Stretches of ``window`` words or more are reported as covered windows. A segment that several
+   documents have is searched whole, too: the smallest document in its interval covers it in all others;
 4. the verdicts go back to the documents by segment.
 Anchors with more than ``HOT`` segments send every window as a segment of its own, sharded by its own
 hash, so no shard grows with them.
 
-Null texts and texts shorter than a window lose nothing. Rows of one doc_id never
-cover each other; repeated rows get equal results. Segments are joined by 64-bit hashes.
+Null texts and texts shorter than a window lose nothing; texts of any length are taken whole. Rows of one doc_id never
+cover each other; repeated rows get equal results, rows that share a doc_id with other texts their own. Rows without doc_id neither cover nor lose
+anything. An empty table gives no rows. Only doc_id and text are read; ``dedup`` carries all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import id_and_text, stored
+from .common import id_and_text, stored, unused
 from .fmindex import FMIndex
-from .wordhash import mix, rolled, word_hashes
+from .wordhash import NUMBERS, OTHERS, PRIME, mix, rolled, span_hashes, spans, word_hashes
 
 HOT = 50_000
 #: Segments in a shard, about.
@@ -45,14 +45,6 @@ SHARD = 30_000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
-    return [batch.column(x).to_pylist() for x in names]
-
-
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
-
-
 def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and anchor of each segment."""
     if len(hashes) < window:
@@ -94,114 +86,120 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return found.select("doc_id", "row_key", F.inline(F.arrays_zip("anchors", "starts"))).withColumnsRenamed({"anchors": "anchor", "starts": "start"})
 
 
-def own_segments(text: str, hashes: np.ndarray, chosen: dict[int, bool], window: int, gram: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """First window, number of windows, anchor, key and bytes of the chosen segments; hot ones window by window."""
-    own = split(text)
-    for start, n, anchor in zip(*(x.tolist() for x in segments(hashes, window, gram))):
-        if start in chosen:
-            for s, k in [(i, 1) for i in range(start, start + n)] if chosen[start] else [(start, n)]:
-                raw = b" ".join(own[s : s + k + window - 1])
-                key = xxhash.xxh3_64_intdigest(raw)
-                yield s, k, key if chosen[start] else anchor, key, raw
+def keyed_segments(batch: pa.RecordBatch, window: int, gram: int) -> dict[str, np.ndarray]:
+    """The chosen segments of all texts of a batch, hot ones window by window: row (of the batch), start (first window), n (windows),
+    anchor, two hashes as key, and the bytes from ``begin`` to ``end`` of all texts end to end (``raw``) that hold its words."""
+    raw, firsts, ends, at = spans(batch.column("text"))
+    one, two = span_hashes(raw, firsts, ends, NUMBERS), span_hashes(raw, firsts, ends, OTHERS)
+    found: list[tuple[np.ndarray, ...]] = []
+    for row, (a, b, chosen, hot) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), batch.column("starts"), batch.column("hot"))):
+        starts, sizes, anchors = segments(one[a:b], window, gram)
+        own, hot = chosen.values.to_numpy(), hot.values.to_numpy(zero_copy_only=False)
+        order = np.argsort(own)
+        own, hot = own[order].astype(np.int64), hot[order]
+        place = np.searchsorted(starts, own)
+        times = np.where(hot, sizes[place], 1)
+        start = np.repeat(own, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        n = np.repeat(np.where(hot, 1, sizes[place]), times)
+        # A segment is shorter than two windows: its first and last window have all its words.
+        keys = []
+        for hashes in (one[a:b], two[a:b]):
+            whole = rolled(hashes, window)
+            keys.append(mix((whole[start] * PRIME + whole[start + n - 1]) * PRIME + n.astype(np.uint64)))
+        anchor = np.where(np.repeat(hot, times), keys[0], np.repeat(anchors[place], times))
+        found.append((np.full(len(start), row), start, n, anchor, *keys, firsts[a + start], ends[a + start + n + window - 2]))
+    names = ("row", "start", "n", "anchor", "one", "two", "begin", "end")
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64)
+    return {"raw": raw} | {name: np.concatenate([np.empty(0, kind), *(x[k] for x in found)]) for k, (name, kind) in enumerate(zip(names, kinds))}
 
 
 def to_shards(chosen: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
-    """shard, anchor, key, segment, first (smallest doc_id) and last (largest), merged within each batch."""
+    """shard, key (one, two), segment, first (smallest doc_id) and last (largest), merged within each batch."""
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                merged: dict[int, list] = {}
-                hashes = word_hashes(batch.column("text"))
-                for doc, text, own, starts, hot in zip(*columns(batch, "doc_id", "text"), hashes, *columns(batch, "starts", "hot")):
-                    for _, _, anchor, key, raw in own_segments(text, own, dict(zip(starts, hot)), window, gram):
-                        seen = merged.get(key)
-                        if seen is None:
-                            merged[key] = [anchor, raw, doc, doc]
-                        elif doc < seen[2]:
-                            seen[2] = doc
-                        elif doc > seen[3]:
-                            seen[3] = doc
-                rows, ids = list(merged.values()), batch.column("doc_id").type
-                numbers = np.array([x[0] for x in rows], np.uint64)
+                got = keyed_segments(batch, window, gram)
+                ids = batch.column("doc_id")
+                # Rows in order of doc_id: the least and the greatest of a segment are the first and last of its run.
+                rank = np.empty(len(ids), np.int64)
+                rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                order = np.lexsort((rank[got["row"]], got["two"], got["one"]))
+                one, two = got["one"][order], got["two"][order]
+                head = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(order)])
+                tail = np.append(head[1:], len(order))[: len(head)] - 1
+                first, last = order[head], order[tail]
+                raw = got["raw"].tobytes()
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "shard": pa.array((mix(numbers) % np.uint64(shards)).astype(np.int32)),
-                        "anchor": pa.array(numbers.view(np.int64)),
-                        "key": pa.array(np.array(list(merged), np.uint64).view(np.int64)),
-                        "segment": pa.array([x[1] for x in rows], pa.binary()),
-                        "first": pa.array([x[2] for x in rows], ids),
-                        "last": pa.array([x[3] for x in rows], ids),
+                        "shard": pa.array((mix(got["anchor"][first]) % np.uint64(shards)).astype(np.int32)),
+                        "one": pa.array(one[head].view(np.int64)),
+                        "two": pa.array(two[head].view(np.int64)),
+                        "segment": pa.array([raw[a:b] for a, b in zip(got["begin"][first].tolist(), got["end"][first].tolist())], pa.binary()),
+                        "first": ids.take(pa.array(got["row"][first])),
+                        "last": ids.take(pa.array(got["row"][last])),
                     }
                 )
 
-    return chosen.mapInArrow(run, f"shard int, anchor long, key long, segment binary, first {kind}, last {kind}")
+    return chosen.mapInArrow(run, f"shard int, one long, two long, segment binary, first {kind}, last {kind}")
 
 
 def search_shard(table: pa.Table, window: int) -> pa.Table:
-    """key, first and mask (covered windows of the segment as its smallest document has it, by bits).
+    """key, first and mask (covered windows of the segment as its smallest document has it, by bits); any other document loses the whole segment.
 
     Segments that occur in one document and have no covered window are left out.
     """
-    merged = table.group_by("key").aggregate([("anchor", "min"), ("segment", "min"), ("first", "min"), ("last", "max")])
-    key, anchor = merged.column("key").to_numpy(), merged.column("anchor_min").to_numpy()
-    first, last = merged.column("first_min"), merged.column("last_max")
-    number = first.combine_chunks().dictionary_encode()
+    merged = table.group_by(["one", "two"]).aggregate([("segment", "min"), ("first", "min"), ("last", "max")])
+    merged = merged.combine_chunks()
+    first, last = merged.column("first_min").combine_chunks(), merged.column("last_max").combine_chunks()
     # Owners by order of doc_id.
-    values = number.dictionary.to_pylist()
-    rank = np.empty(len(values), np.int32)
-    rank[sorted(range(len(values)), key=values.__getitem__)] = np.arange(len(values))
-    owner = rank[number.indices.to_numpy()] if len(values) else np.empty(0, np.int32)
-    mask = np.zeros(len(key), np.int64)
-    # An anchor with one distinct segment has nothing else to match.
-    _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(size[group] > 1)
-    if len(several):
-        ids: dict[bytes, int] = {}
-        parts = []
-        for raw in merged.column("segment_min").take(pa.array(several)).to_pylist():
-            parts += [ids.setdefault(w, len(ids) + 1) for w in raw.split(b" ")]
-            parts.append(0)
-        text = np.array(parts, np.int64)
-        ends = np.flatnonzero(text == 0)
-        begins = np.concatenate(([0], ends[:-1] + 1))
-        owners = np.repeat(owner[several], ends - begins + 1)
-        least = np.full(len(size), np.iinfo(np.int32).max, np.int32)
-        np.minimum.at(least, group, owner)
-        asked = np.flatnonzero(owner[several] > least[group[several]])
-        if len(asked):
-            index = FMIndex(text, owners, window + 1)
-            n = (ends - begins - window + 1)[asked]
-            which = np.repeat(np.arange(len(asked)), n)
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            covered = index.occurs_earlier(text, begins[asked][which] + nth, window, owner[several][asked][which])
-            np.bitwise_or.at(mask, several[asked][which[covered]], np.int64(1) << nth[covered])
-    told = (mask != 0) | ~np.asarray(pc.equal(first, last))
-    out = pa.array(told)
-    return pa.table({"key": pa.array(key), "first": first.combine_chunks(), "mask": pa.array(mask)}).filter(out)
+    values = pc.unique(first)
+    values = values.take(pc.sort_indices(values))
+    owner = pc.index_in(first, values).to_numpy(zero_copy_only=False).astype(np.int32)
+    ids: dict[bytes, int] = {}
+    parts, sizes = [], []
+    for raw in merged.column("segment_min").to_pylist():
+        words = raw.split()
+        parts += [ids.setdefault(w, len(ids) + 1) for w in words]
+        parts.append(0)
+        sizes.append(len(words))
+    text, size = np.array(parts, np.int64), np.array(sizes, np.int64)
+    begins = np.cumsum(size + 1) - size - 1
+    index = FMIndex(text, np.repeat(owner, size + 1), int(size.max(initial=0)) + 1)
+    # Matching statistics of each segment's words from the first that can end a window.
+    n = size - window + 1
+    which = np.repeat(np.arange(len(size)), n)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    length = index.longest_earlier(text, begins[which] + nth + window - 1, nth + window, owner[which])
+    mask = np.zeros(len(size), np.int64)
+    reported = length >= window
+    np.bitwise_or.at(mask, which[reported], np.int64(1) << nth[reported])
+    # Segments of several documents: the least owner of the whole.
+    several = np.flatnonzero(~np.asarray(pc.equal(first, last)))
+    least = owner.copy()
+    least[several] = index.least_of(text, begins[several], size[several])
+    told = mask != 0
+    told[several] = True
+    out = {"one": merged.column("one").combine_chunks(), "two": merged.column("two").combine_chunks(), "first": values.take(pa.array(least)), "mask": pa.array(mask)}
+    return pa.table(out).filter(pa.array(told))
 
 
 def occurrences(chosen: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, row_key, key, start and n (windows) of every chosen segment."""
+    """doc_id, row_key, key (one, two), start and n (windows) of every chosen segment."""
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                keys, places, sizes, ends = [], [], [], [0]
-                for text, own, starts, hot in zip(*columns(batch, "text"), word_hashes(batch.column("text")), *columns(batch, "starts", "hot")):
-                    for start, n, _, key, _ in own_segments(text, own, dict(zip(starts, hot)), window, gram):
-                        keys.append(key)
-                        places.append(start)
-                        sizes.append(n)
-                    ends.append(len(keys))
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
-                out = {"key": np.array(keys, np.uint64).view(np.int64), "start": np.array(places, np.int32), "n": np.array(sizes, np.int32)}
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key")} | {k: lists(x) for k, x in out.items()})
+                got = keyed_segments(batch, window, gram)
+                ends = pa.array(np.searchsorted(got["row"], np.arange(batch.num_rows + 1)), pa.int32())
+                out = {"one": got["one"].view(np.int64), "two": got["two"].view(np.int64), "start": got["start"].astype(np.int32), "n": got["n"].astype(np.int32)}
+                lists = {k: pa.ListArray.from_arrays(ends, pa.array(x)) for k, x in out.items()}
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key")} | lists)
 
-    out = chosen.mapInArrow(run, f"doc_id {kind}, row_key long, key array<long>, start array<int>, n array<int>")
-    return out.select("doc_id", "row_key", F.inline(F.arrays_zip("key", "start", "n")))
+    out = chosen.mapInArrow(run, f"doc_id {kind}, row_key long, one array<long>, two array<long>, start array<int>, n array<int>")
+    return out.select("doc_id", "row_key", F.inline(F.arrays_zip("one", "two", "start", "n")))
 
 
 def cut(text: str | None, covered: list[tuple[int, int]], window: int) -> tuple[np.ndarray, list[bytes]]:
@@ -221,15 +219,16 @@ def removals(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFr
     known = docs.where(F.col("doc_id").isNotNull())
     each = anchors(known, window, gram)
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot"))
+    # Written first: an anchor that very many segments have can then be split in the join.
+    shared = stored(shared.where("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
     marked = each.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "hot")).alias("s"))
     marked = marked.select("doc_id", "row_key", F.col("s.start").alias("starts"), F.col("s.hot").alias("hot"))
     chosen = stored(known.join(marked, ["doc_id", "row_key"]), "shared")
     total = chosen.agg(F.sum(F.size("starts"))).first()[0] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = to_shards(chosen, int(total // SHARD) + 1, window, gram)
-    verdicts = sent.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), f"key long, first {kind}, mask long")
-    own = occurrences(chosen, window, gram).join(verdicts, "key")
+    verdicts = sent.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), f"one long, two long, first {kind}, mask long")
+    own = occurrences(chosen, window, gram).join(verdicts, ["one", "two"])
     bits = F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))
     own = own.select("doc_id", "row_key", "start", bits.alias("bits")).where("bits != 0")
     return chosen, own.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "bits")).alias("covered"))
@@ -273,9 +272,10 @@ def changed(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def dedup(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
     """``docs`` with all their columns, ``text`` without the covered words. Documents that lose nothing keep their text to the byte."""
-    new = changed(docs, window, gram).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("kept_text").alias("__text"))
-    both = docs.join(new, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    return both.withColumn("text", F.coalesce("__text", "text")).select(*docs.columns)
+    own, key, kept = unused(docs, "own_id", "own_key", "own_text")
+    new = changed(docs, window, gram).select(F.col("doc_id").alias(own), F.col("row_key").alias(key), F.col("kept_text").alias(kept))
+    both = docs.join(new, (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(key)), "left")
+    return both.withColumn("text", F.coalesce(kept, "text")).select(*docs.columns)
 
 
 def word_digests(docs: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def word_digests(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [split(x) for x in batch.column("text").to_pylist()]
+            words = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
