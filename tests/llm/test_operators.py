@@ -251,6 +251,9 @@ def test_substring_keeps_columns_and_odd_rows(spark, texts):
     same = spark.createDataFrame([(1, "a " * 20), (1, "a " * 20), (None, "a " * 20)], "doc_id long, text string")
     assert {r.n_removed for r in substring.digests(same).collect()} == {0}
     assert substring.digests(df.limit(0)).count() == 0
+    clash = documents(spark, ["a " * 20, "a " * 20]).withColumns({"own_id": F.lit(1), "OWN_key": F.lit(2), "own_text": F.lit("x"), "row_key": F.lit(3), "covered": F.lit(4)})
+    got = {r.doc_id: (r.text, r.own_text) for r in substring.dedup(clash, 13, 5).collect()}
+    assert got == {0: ("a " * 20, "x"), 1: ("", "x")} and substring.dedup(clash, 13, 5).columns == clash.columns
 
 
 def test_fm_index():
@@ -266,7 +269,22 @@ def test_fm_index():
     for i in starts:
         seen.setdefault(tuple(values[i : i + 8]), []).append(owner[i])
     assert [b - a for a, b in zip(lo, hi)] == [len(seen[tuple(values[i : i + 8])]) for i in starts]
-    assert list(index.occurs_earlier(values, starts, 8, owner[starts])) == [min(seen[tuple(values[i : i + 8])]) < owner[i] for i in starts]
+    assert list(index.least_of(values, starts, np.full(len(starts), 8))) == [min(seen[tuple(values[i : i + 8])]) for i in starts]
+    # Matching statistics against every earlier stretch.
+    begin = np.maximum.accumulate(np.where(np.append(True, values[:-1] == 0), np.arange(len(values)), 0))
+    ends = np.flatnonzero(values > 0)
+    most = np.minimum(ends - begin[ends] + 1, 8)
+    flat = [values[a : a + 9] for a in range(len(values))]
+
+    def longest(end, limit):
+        for n in range(limit, 0, -1):
+            own = values[end - n + 1 : end + 1]
+            if any(owner[a] < owner[end] and len(flat[a]) >= n and (flat[a][:n] == own).all() for a in range(len(values))):
+                return n
+        return 0
+
+    got = index.longest_earlier(values, ends, most, owner[ends])
+    assert got.tolist() == [longest(e, m) for e, m in zip(ends.tolist(), most.tolist())] and got.max() > 3
 
 
 def test_word_hashes(texts):
