@@ -4,16 +4,18 @@ Two variable-order Markov models over characters, of URLs that the rules accept
 and of those they reject, give each character a probability from its two
 predecessors, smoothed towards one predecessor, none, and the alphabet. A URL no
 rule fits is blocked where its mean log-likelihood difference falls below a
-threshold, calibrated on the rule-judged URLs: the score bin with the least sum of
-both error rates, the lowest on ties.
+threshold: the score bin with the least sum of
+both error rates, the lowest on ties. The models are counted from three quarters of the rule-judged URLs, by a hash of the URL,
+and the threshold is calibrated on the last.
 
 URLs are mapped to ``ALPHABET`` (digits become 0, anything else *), so there are at
-most 40 ** 3 = 64,000 trigrams whatever the input: that is the bound of the one
-broadcast. Only DataFrame functions are used.
+most 39 ** 3 = 59,319 trigrams whatever the input: that bounds what the driver holds, and the
+array literal by which every URL is scored in its own row, without a join. Only DataFrame functions are used.
 
 A null url has empty host and path, no rule and verdict block. An empty url has
-nothing to score and is allowed, as is every url no rule fits while either model lacks examples.
-Repeated rows are scored together and returned as often as they came. Of rules of
+nothing to score and is allowed, as is every url no rule fits while either model or the calibration lacks examples.
+Repeated rows get equal verdicts, each row its own; urls of any length are scored whole. An empty table gives no rows. Only page_id and
+url are read, so other columns of any name don't matter. Of rules of
 equal length the smaller string wins.
 """
 
@@ -36,6 +38,8 @@ RULES = (
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./?#=&_:-^$*"
 #: Weight of the shorter context, as a count; width of the bins of scores.
 SMOOTH, BIN = 4.0, 0.02
+#: Differences are rounded to nine places, and summed as whole numbers of this many to one.
+UNIT = 10**9
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -70,10 +74,15 @@ def trigrams(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(grams).alias("g"))
 
 
+def held_back(url: Column) -> Column:
+    """Whether a rule-judged URL calibrates rather than teaches: a quarter of them."""
+    return F.substring(F.md5(url.cast("binary")), 1, 1) < "4"
+
+
 def model(judged: DataFrame) -> DataFrame:
     """g -> d, the difference of the two log-probabilities, for every trigram of any URL; at most len(ALPHABET) ** 3 rows.
 
-    ``judged`` has s (mapped) and verdict (null where no rule fits).
+    ``judged`` has s (mapped) and verdict (null where no rule fits, or the URL does not teach).
     """
     one = lambda v: F.sum((F.col("verdict") == v).cast("long"))
     counts = trigrams(judged, "verdict").groupBy("g").agg(F.coalesce(one("allow"), F.lit(0)).alias("a"), F.coalesce(one("block"), F.lit(0)).alias("b"))
@@ -95,13 +104,29 @@ def model(judged: DataFrame) -> DataFrame:
     return counts.select("g", F.round(log_p("a") - log_p("b"), 9).alias("d"))
 
 
-def calibrated(scored: DataFrame) -> DataFrame:
-    """One row: the threshold. ``scored`` has rule_verdict, bin (an integer) and n (rows it stands for)."""
-    known = scored.where(F.col("rule_verdict").isNotNull() & F.col("bin").isNotNull())
-    one = lambda v: F.sum(F.when(F.col("rule_verdict") == v, F.col("n")).otherwise(0))
+def scored(rows: DataFrame, differences: dict[str, float]) -> DataFrame:
+    """With ``score``, the mean difference over the trigrams of s, from an array with a place for every possible one."""
+    size, table = len(ALPHABET), [0] * len(ALPHABET) ** 3
+    for g, d in differences.items():
+        i, j, k = map(ALPHABET.index, g)
+        table[(i * size + j) * size + k] = round(d * UNIT)
+    array = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    codes = F.transform(F.split("s", ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    places = F.transform(F.sequence(F.lit(0), F.size("codes") - 3), lambda i: (F.get("codes", i) * size + F.get("codes", i + 1)) * size + F.get("codes", i + 2))
+    total = F.aggregate("places", F.lit(0).cast("long"), lambda a, i: a + F.get(array, i))
+    mean = F.round(total.cast("double") / UNIT / F.size("places"), 9)
+    return rows.withColumn("codes", codes).withColumn("places", places).withColumn("score", mean).drop("codes", "places")
+
+
+def calibrated(rows: DataFrame) -> DataFrame:
+    """One row: the threshold. ``rows`` has rule_verdict (null where no rule fits, or the URL does not calibrate) and bin (an integer)."""
+    known = rows.where(F.col("rule_verdict").isNotNull())
+    one = lambda v: F.sum((F.col("rule_verdict") == v).cast("long"))
     bins = known.groupBy("bin").agg(one("allow").alias("a"), one("block").alias("b"))  # a few hundred bins
     before, all_ = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    rates = bins.select("bin", (F.coalesce(F.sum("a").over(before), F.lit(0)) / F.sum("a").over(all_)).alias("lost"), (F.sum("b").over(W.orderBy("bin").rowsBetween(0, W.unboundedFollowing)) / F.sum("b").over(all_)).alias("let"), F.sum("a").over(all_).alias("n_a"), F.sum("b").over(all_).alias("n_b"))
+    lost = F.coalesce(F.sum("a").over(before), F.lit(0)) / F.sum("a").over(all_)
+    let = F.sum("b").over(W.orderBy("bin").rowsBetween(0, W.unboundedFollowing)) / F.sum("b").over(all_)
+    rates = bins.select("bin", lost.alias("lost"), let.alias("let"), F.sum("a").over(all_).alias("n_a"), F.sum("b").over(all_).alias("n_b"))
     rates = rates.where((F.col("n_a") > 0) & (F.col("n_b") > 0))
     return rates.agg(F.min_by("bin", F.struct(F.round(F.col("lost") + F.col("let"), 9), "bin")).alias("threshold"))
 
@@ -111,20 +136,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = parts(F.col("url"))
     rows = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
-    rows = rows.select("page_id", "host", "path", by_rules(F.col("host"), F.col("path"), rules).alias("r"), F.col("url").isNull().alias("no_url"), mapped(F.col("url")).alias("s"))
-    rows = rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("rule_verdict"), "no_url", F.coalesce("s", F.lit("^^$")).alias("s"))
-    grams = stored(model(rows.select("s", F.col("rule_verdict").alias("verdict"))), "url-model")
-    # Rows that repeat fall together; their mean is the same, and "n" deals them out again.
-    keys = ["page_id", "host", "path", "rule", "rule_verdict", "no_url", "s"]
-    each = trigrams(rows, *keys).join(F.broadcast(grams), "g")
-    first = F.sum(F.col("g").startswith("^^").cast("long"))
-    scored = each.groupBy(*keys).agg((F.sum(F.col("d").cast("decimal(20,9)")) / F.count(F.lit(1))).cast("double").alias("score"), first.alias("n"))
-    scored = scored.drop("s").withColumn("score", F.round("score", 9))
-    scored = stored(scored.withColumn("bin", F.floor(F.col("score") / BIN)), "url-scores")
-    out = scored.join(F.broadcast(calibrated(scored)))
-    method = F.when(F.col("no_url"), "block").when(F.col("bin") < F.col("threshold"), "block").otherwise("allow")
-    out = out.withColumn("verdict", F.coalesce("rule_verdict", method)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    return out.select("page_id", "host", "path", "rule", "verdict", "score", (F.col("threshold") * BIN).alias("threshold"))
+    s = F.coalesce(mapped(F.col("url")), F.lit("^^$"))
+    rows = rows.select("page_id", "url", "host", "path", by_rules(F.col("host"), F.col("path"), rules).alias("r"), s.alias("s"), held_back(F.col("url")).alias("held"))
+    rows = rows.select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("rule_verdict"), "held", "s")
+    grams = model(rows.select("s", F.when(~F.col("held"), F.col("rule_verdict")).alias("verdict")))
+    differences = {r["g"]: r["d"] for r in grams.collect()}  # bounded by the alphabet
+    each = scored(rows, differences).withColumn("bin", F.floor(F.col("score") / BIN)).drop("s")
+    each = stored(each.withColumn("calibrates", F.when(F.col("held"), F.col("rule_verdict"))), "url-scores")
+    out = each.join(F.broadcast(calibrated(each.select("bin", F.col("calibrates").alias("rule_verdict")))))
+    method = F.when(F.col("url").isNull(), "block").when((F.col("url") != "") & (F.col("bin") < F.col("threshold")), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "score", (F.col("threshold") * BIN).alias("threshold"))
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
@@ -148,11 +169,11 @@ WITH parts AS (
     AND starts_with(path, substr(rule, strpos(rule, '/')))
   GROUP BY rid
 ), judged AS (
-  SELECT s.*, f.r.rule AS rule, f.r.kind AS kind,
+  SELECT s.*, f.r.rule AS rule, f.r.kind AS kind, substr(md5(url), 1, 1) < '4' AS held,
     '^^' || coalesce(regexp_replace(regexp_replace(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^a-z0./?#=&_:-]', '*', 'g'), '') || '$' AS s
   FROM split s LEFT JOIN fitting f USING (rid)
 ), grams AS (
-  SELECT rid, kind, substr(s, i, 3) AS g FROM (SELECT rid, kind, s, unnest(range(1, length(s) - 1)) AS i FROM judged)
+  SELECT rid, CASE WHEN NOT held THEN kind END AS kind, substr(s, i, 3) AS g FROM (SELECT rid, kind, held, s, unnest(range(1, length(s) - 1)) AS i FROM judged)
 ), counts AS (
   SELECT g, count(*) FILTER (WHERE kind = 'allow')::DOUBLE AS a, count(*) FILTER (WHERE kind = 'block')::DOUBLE AS b FROM grams GROUP BY g
 ), sums AS (
@@ -172,7 +193,7 @@ WITH parts AS (
   SELECT rid, floor(round((sum(d::DECIMAL(20, 9))::DOUBLE / count(*)), 9) / 0.02::DOUBLE) AS bin FROM grams JOIN model USING (g) GROUP BY rid
 ), bins AS (
   SELECT bin, count(*) FILTER (WHERE kind = 'allow') AS a, count(*) FILTER (WHERE kind = 'block') AS b
-  FROM scored JOIN judged USING (rid) WHERE kind IS NOT NULL GROUP BY bin
+  FROM scored JOIN judged USING (rid) WHERE kind IS NOT NULL AND held GROUP BY bin
 ), rates AS (
   SELECT bin, round(coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / sum(a) OVER ()
     + sum(b) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE / sum(b) OVER (), 9) AS wrong,
@@ -182,6 +203,6 @@ WITH parts AS (
   SELECT (SELECT bin FROM rates WHERE na > 0 AND nb > 0 ORDER BY wrong, bin LIMIT 1) AS t
 )
 SELECT page_id, host, path, rule,
-  coalesce(kind, CASE WHEN url IS NULL OR bin < t THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(kind, CASE WHEN url IS NULL OR (url <> '' AND bin < t) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged JOIN scored USING (rid), threshold
 """
