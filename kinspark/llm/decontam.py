@@ -2,17 +2,22 @@
 
 Normalising lower-cases A-Z and turns every ASCII byte that is neither letter
 nor digit into a space, byte by byte, so that a word's place in the normalised
-text maps straight to its offsets in the original. Every pattern begins and ends
-with a space, hence matches whole words only.
+text maps straight to its offsets in the original. The automaton reads words, not letters: each word of the
+items has a code of one to a few characters, shorter for more frequent ones, whose first character begins no other
+place of a code, so that a match begins and ends with whole words; all other words are one character that no
+pattern has. A worker builds it once for all its tasks.
 
 Nulls and empty texts have no words and are never hit; an item without words has
-no window. Repeated rows give repeated results. Items beyond ``BLOCK_BYTES`` of
-text make further blocks, each an automaton and a scan of its own.
+no window. Texts and items of any length are taken whole. Repeated rows give repeated results, rows that share a doc_id each its own.
+Empty tables give no rows, and no hits. Only doc_id, item_id and text are read (``clean_documents`` passes all columns through), so other
+columns of any name don't matter. Items beyond ``BLOCK_BYTES`` of
+text, some 300 MB of a worker's memory, make further blocks, each an automaton and a scan of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +32,9 @@ from .common import bounded_batches, id_and_text
 WINDOW = 10
 #: Bytes of item text per automaton: bounds both what one broadcast holds and a worker's memory.
 BLOCK_BYTES = 4 << 20
+#: Characters that begin a code of each length, and those that go on with one; from this character on.
+DIGITS, MORE = 64, 1 << 12
+OTHER = "\0"
 #: Fixed values: [0-9A-Za-z] and all non-ASCII bytes belong to words; the rest parts them.
 NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -37,48 +45,71 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(NORMAL).split() if text else []
 
 
-def windows_of(text: str | None, size: int) -> list[bytes]:
-    words = words_of(text)
-    if len(words) <= size:
-        return [b" ".join(words)] if words else []
-    return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
-
-
-def automaton(items: list[tuple[object, str | None]], size: int) -> ahocorasick.Automaton:
-    """Each pattern carries its number of words and the items it occurs in."""
-    owners: dict[bytes, set] = {}
-    for item, text in items:
-        for w in windows_of(text, size):
-            owners.setdefault(w, set()).add(item)
-    found = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, frozenset(ids)))
-    if owners:
-        found.make_automaton()
-    return found
-
-
-def scan(text: str | None, autos: list[ahocorasick.Automaton]) -> tuple[int, np.ndarray | None, set]:
-    """Number of words, a mask of the hit ones (None without any) and the items found."""
-    words = words_of(text)
-    if not words:
-        return 0, None, set()
-    line = f" {b' '.join(words).decode('latin-1')} "
-    ends, spans, items = [], [], set()
-    for auto in autos:
-        if len(auto):
-            for end, (n, ids) in auto.iter(line):
-                ends.append(end)
-                spans.append(n)
-                items |= ids
-    if not ends:
-        return len(words), None, items
-    spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, ends)  # the closing space of word k is space k + 1
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, last - np.array(spans), 1)
-    np.add.at(edge, last, -1)
-    return len(words), np.cumsum(edge)[:-1] > 0, items
+def code(rank: int) -> str:
+    """The code of the word of a rank: its length's first character, and digits."""
+    length = 1
+    while rank >= DIGITS**length:
+        rank -= DIGITS**length
+        length += 1
+    first, rest = divmod(rank, DIGITS ** (length - 1))
+    return chr(1 + DIGITS * (length - 1) + first) + "".join(chr(MORE + rest // DIGITS**k % DIGITS) for k in range(length - 2, -1, -1))
+
+
+class Scanner:
+    """The automaton of a list of (item id, text), with each pattern's number of words and the items it occurs in."""
+
+    def __init__(self, items: list[tuple[object, str | None]], size: int):
+        counts = Counter(w for _, text in items for w in words_of(text))
+        self.codes = {w: code(rank) for rank, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.spans: list[int] = []
+        self.owners: list[object] = []
+        for item, text in items:
+            own = [self.codes[w] for w in words_of(text)]
+            for i in range(len(own) - size + 1 if len(own) > size else min(1, len(own))):
+                window = "".join(own[i : i + size])
+                at = self.auto.get(window, -1)
+                if at < 0:
+                    self.auto.add_word(window, len(self.spans))
+                    self.spans.append(min(size, len(own)))
+                    self.owners.append(item)
+                elif isinstance(self.owners[at], set):
+                    self.owners[at].add(item)
+                elif self.owners[at] != item:
+                    self.owners[at] = {self.owners[at], item}
+        if self.spans:
+            self.auto.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray | None, set]:
+        """Number of words, a mask of the hit ones (None without any) and the items found."""
+        words = words_of(text)
+        if not words or not self.spans:
+            return len(words), None, set()
+        get = self.codes.get
+        own = [get(w, OTHER) for w in words]
+        hits = list(self.auto.iter("".join(own)))
+        if not hits:
+            return len(words), None, set()
+        items: set = set()
+        for at in {at for _, at in hits}:
+            found = self.owners[at]
+            items |= found if isinstance(found, set) else {found}
+        last = np.searchsorted(np.cumsum([len(c) for c in own]), [end for end, _ in hits], "right") + 1
+        edge = np.zeros(len(words) + 1, np.int64)
+        np.add.at(edge, last - np.array([self.spans[at] for _, at in hits]), 1)
+        np.add.at(edge, last, -1)
+        return len(words), np.cumsum(edge)[:-1] > 0, items
+
+
+_BUILT: dict[str, Scanner] = {}
+
+
+def built(key: str, items: list[tuple[object, str | None]], size: int) -> Scanner:
+    """The scanner of a block of items, built once per Python worker; the last one only is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Scanner(items, size)
+    return _BUILT[key]
 
 
 def offsets(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
@@ -107,16 +138,16 @@ def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tu
 
 def scan_block(source: DataFrame, items: list[tuple[object, str | None]], size: int) -> DataFrame:
     """One scan of all documents with the automaton of one block of items."""
-    kind = source.schema["doc_id"].dataType.simpleString()
+    kind, key = source.schema["doc_id"].dataType.simpleString(), uuid.uuid4().hex
     shipped = source.sparkSession.sparkContext.broadcast(items)
     pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        autos = [automaton(shipped.value, size)]
+        scanner = built(key, shipped.value, size)
         for batch in batches:
             n_words, n_hit, ids, runs, spans = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                n, mask, found = scan(text, autos)
+                n, mask, found = scanner.scan(text)
                 n_words.append(n)
                 n_hit.append(0 if mask is None else int(mask.sum()))
                 ids.append(sorted(map(str, found)))
@@ -196,12 +227,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, b
     """``docs``, with all columns, without those that hold a window of an item; a filter for each block of items, no shuffle."""
     bounded_batches(docs.sparkSession)
     for items in blocks(benchmark.select("item_id", "text"), block_bytes):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
+        shipped, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            autos = [automaton(shipped.value, size)]
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key) -> Iterator[pa.RecordBatch]:
+            scanner = built(key, shipped.value, size)
             for batch in batches:
-                clean = [scan(text, autos)[1] is None for text in batch.column("text").to_pylist()]
+                clean = [scanner.scan(text)[1] is None for text in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
