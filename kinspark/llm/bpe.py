@@ -7,7 +7,8 @@ bytes, so it beats a heap. Words above ``SHORT`` bytes take the heap instead, wi
 the same result.
 
 Null text encodes as the empty text: no ids, empty decoded text. Repeated rows
-give repeated results; texts of any length are encoded whole.
+give repeated results, rows that share a doc_id each its own; texts and words of any length are encoded whole. An empty table
+gives no rows. Only doc_id and text are read, so other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from .common import id_and_text
 
 SHORT = 200
 NONE = 1 << 60
-#: Words remembered per Python worker; about 250 bytes each.
-CACHE_WORDS = 300_000
+#: Words remembered per Python worker, and the longest of them in characters; about 250 bytes each.
+CACHE_WORDS, CACHE_LONGEST = 300_000, 64
 #: Fixed value: the byte-level splitting pattern, white space spelled as the Unicode property.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -74,7 +75,9 @@ class RankBPE(dict):
     def __missing__(self, word: str) -> bytes:
         parts = [self.of_byte[b] for b in word.encode()]
         ids = self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        out = np.array(ids, "<u4").tobytes()
+        if len(word) <= CACHE_LONGEST:
+            self[word] = out
         return out
 
     def merge_short(self, parts: list[int]) -> list[int]:

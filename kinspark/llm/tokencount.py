@@ -5,11 +5,15 @@ score of its prefix under a unigram model and the number of pieces that attain
 it, computed once from the nodes above it however many words share the prefix;
 the node where a word ends stores the word's count.
 
+A word longer than ``LONG`` characters is computed by the same recurrence over its last few prefixes
+and leaves nothing in the trie, so memory is bounded by nodes whatever the words.
+
 Scores: the vocabulary file ranks its pieces but gives no probabilities; piece
 number r has log-probability -ln(r + 1) less the harmonic sum's logarithm, Zipf's
 law. A character no piece begins with costs its UTF-8 bytes as byte pieces. Ties go to
-fewer pieces. Null and blank texts have no pre-tokens and no tokens. Repeated
-rows repeat their counts.
+fewer pieces. Null and blank texts have no pre-tokens and no tokens; texts of any length are counted whole. Repeated
+rows repeat their counts, rows that share a doc_id each has its own text's; an empty table gives no rows. Only doc_id and text are read, so other columns
+of any name don't matter.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .common import id_and_text
 MARK = "▁"
 #: Trie nodes kept per Python worker, about 250 bytes each; beyond it the trie starts anew between texts.
 MOST_NODES = 600_000
+LONG = 256
 
 
 def zipf_scores(path: str) -> dict[str, float]:
@@ -75,14 +80,40 @@ class Trie:
         self.terminal[word] = count[node]
         return count[node]
 
+    def count_long(self, word: str) -> int:
+        """Tokens of one pre-token, without the trie."""
+        token, get, longest = MARK + word, self.scores.get, self.longest
+        # The last ``longest`` prefixes, the shortest first.
+        held = [(0.0, 0)]
+        for end in range(1, len(token) + 1):
+            n = len(token[end - 1].encode())
+            top, least = held[-1][0] + n * self.byte, held[-1][1] + n
+            first = end - len(held)
+            for start in range(first, end):
+                s = get(token[start:end])
+                if s is not None:
+                    total, count = held[start - first][0] + s, held[start - first][1] + 1
+                    if total > top or total == top and count < least:
+                        top, least = total, count
+            held.append((top, least))
+            if len(held) > longest:
+                del held[0]
+        return held[-1][1]
+
     def counts(self, text: str | None) -> tuple[int, int]:
         """Pre-tokens and tokens of a text."""
         words = (text or "").split()
         if len(self.best) > self.most_nodes or len(self.terminal) > self.most_nodes:
             self.reset()
+        long: dict[str, int] = {}
         for word in set(words).difference(self.terminal):
-            self.insert(word)
-        return len(words), sum(map(self.terminal.__getitem__, words))
+            if len(word) <= LONG:
+                self.insert(word)
+            else:
+                long[word] = self.count_long(word)
+        if not long:
+            return len(words), sum(map(self.terminal.__getitem__, words))
+        return len(words), sum(long[w] if w in long else self.terminal[w] for w in words)
 
 
 _LOADED: dict[str, Trie] = {}
