@@ -474,6 +474,16 @@ def test_decontamination(spark, texts, items, block):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {i for i, x in want.items() if not x[4]}
 
 
+def test_codes_of_words():
+    """Codes are distinct, none begins within another, and frequent words have short ones."""
+    ranks = [*range(70), 4159, 4160, 4161, 266303, 266304, 266305, 18 * 10**6]
+    codes = [decontam.code(r) for r in ranks]
+    assert len(set(codes)) == len(ranks) and [len(c) for c in codes[:66]] == [1] * 64 + [2] * 2 and len(codes[-1]) == 5
+    assert all(ord(c[0]) < decontam.MORE <= min(map(ord, c[1:]), default=decontam.MORE) for c in codes)
+    line = "".join(codes)
+    assert all(line.count(c) == 1 or len(c) == 1 and any(x.startswith(c) for x in codes) for c in codes)
+
+
 def test_decontamination_offsets(spark):
     text = "Ünïcode — see: W1,  w2\n(w3)! end"
     bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
@@ -704,6 +714,20 @@ def test_token_counts(spark, texts):
         assert got[i] == (len(w), sum(plain_count(x, trie.scores, trie.byte) for x in w), len((t or "").encode())), repr(t)
 
 
+def test_long_words_leave_no_nodes(monkeypatch):
+    rng, scores = random.Random(17), {"▁": -1.0, "a": -2.0, "ab": -2.5, "▁a": -2.2, "b": -2.0, "bab": -3.1, "abab": -4.0}
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 40))) for _ in range(300)]
+    trie = tokencount.Trie(scores)
+    assert [trie.count_long(w) for w in words] == [trie.insert(w) for w in words]
+    monkeypatch.setattr(tokencount, "LONG", 5)
+    other = tokencount.Trie(scores)
+    text = " ".join(words)
+    assert other.counts(text) == trie.counts(text) and len(other.best) < 60
+    monkeypatch.setattr(tokencount, "LONG", 256)
+    nodes = len(trie.best)
+    assert trie.counts("ab" * 200_000)[1] > 100_000 and len(trie.best) == nodes
+
+
 def test_a_full_trie_starts_anew():
     scores = {"▁": -1.0, "a": -2.0, "ab": -2.5, "▁a": -2.2, "b": -2.0}
     small, large = tokencount.Trie(scores, most_nodes=3), tokencount.Trie(scores)
