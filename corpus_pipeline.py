@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 all but the last return the columns of documents. Between stages the table is
 written to the shared folder as Parquet and read again, so a lost executor
 costs at most the stage it was in.
+
+Every stage takes an empty table, nulls in any column, texts of any length, and columns beside those of documents, which all but the
+last carry along whatever their names. A null or empty text fails the base rules of the first stage; the others by themselves
+keep it as it is. A null doc_id is never linked with, or covered by, another row, and its row is kept. Rows that repeat are
+judged alike; rows that share a doc_id are one document to the near-duplicate stage (all of them stay or go), and judged each by its
+own text elsewhere. Ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
