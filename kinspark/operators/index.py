@@ -35,11 +35,22 @@ def idf(frequency: DataFrame, sizes: DataFrame) -> DataFrame:
     return frequency.join(sizes, BLOCK).withColumn("idf", F.log(1 + F.col("n") / F.greatest("df", F.lit(1))))
 
 
+def weighed(tokens: DataFrame, weights: DataFrame, *columns: str) -> DataFrame:
+    """``tokens`` with columns of ``weights``. A token that makes up a thousandth of all occurrences gets them by broadcast, so that it
+    fills no task: there are a thousand such tokens at most. All others meet their weights in a shuffle."""
+    key = [*BLOCK, "token"]
+    total = weights.agg(F.sum("df").alias("occurrences"))
+    own = weights.select(*key, *columns)
+    hot = weights.crossJoin(F.broadcast(total)).where(1000 * F.col("df") > F.col("occurrences")).select(*key)
+    some = tokens.join(F.broadcast(own.join(F.broadcast(hot), key, "left_semi")), key)
+    return some.unionByName(tokens.join(F.broadcast(hot), key, "left_anti").join(own, key))
+
+
 def postings(tokens: DataFrame, weights: DataFrame, params: Params) -> DataFrame:
     """(src, country, token, tgt_id, w), a token of both fields summed."""
     record = Window.partitionBy(*BLOCK, "entity_id")
     part = F.col("idf") * F.col("idf") if params.norm == "l2" else F.col("idf")
-    rows = tokens.join(weights.select(*BLOCK, "token", "idf"), [*BLOCK, "token"])
+    rows = weighed(tokens, weights, "idf")
     rows = rows.withColumn("length", F.sqrt(F.sum(part).over(record)))
     rows = rows.withColumn("w", F.col("idf") / F.greatest("length", F.lit(1e-9)))
     return rows.groupBy(*BLOCK, "token", F.col("entity_id").alias("tgt_id")).agg(F.sum("w").alias("w"))
@@ -47,7 +58,7 @@ def postings(tokens: DataFrame, weights: DataFrame, params: Params) -> DataFrame
 
 def rarest(records: DataFrame, tokens: DataFrame, frequency: DataFrame) -> DataFrame:
     """(src, country, entity_id, mindf, n_name, n_addr): least df among a record's tokens, 0 without any, and distinct tokens of each field."""
-    rows = tokens.join(frequency, [*BLOCK, "token"])
+    rows = weighed(tokens, frequency, "df")
     count = lambda f: F.sum(F.when(F.col("field") == f, 1).otherwise(0))
     least = rows.groupBy(*BLOCK, "entity_id").agg(F.min("df").alias("mindf"), count(0).alias("n_name"), count(1).alias("n_addr"))
     out = records.select(*BLOCK, "entity_id").join(least, [*BLOCK, "entity_id"], "left")

@@ -41,27 +41,33 @@ def stratified(entities: DataFrame, limit: int, by: str = "country") -> DataFram
     return rows.where(F.col("__r") <= quota).drop("__r", "__n", "__all")
 
 
+def label_counts(pairs: DataFrame) -> tuple[int, int]:
+    """Positives and negatives, in one pass."""
+    pos, neg = pairs.agg(F.sum(F.col("label")), F.sum(1 - F.col("label"))).first()
+    return int(pos or 0), int(neg or 0)
+
+
 def downsample(pairs: DataFrame, per_positive: int = 3, least: int = 500_000, seed: int = 0) -> DataFrame:
     """All positives, and negatives up to the larger of ``per_positive`` for each and ``least``.
 
     The share of negatives comes from counts, and a hash decides each row by itself: no sort, no
     shuffle of the rows. The number is met in expectation.
     """
-    pos, neg = pairs.agg(F.sum(F.col("label")), F.sum(1 - F.col("label"))).first()
-    share = min(1.0, max(per_positive * (pos or 0), least) / max(neg or 0, 1))
+    pos, neg = label_counts(pairs)
+    share = min(1.0, max(per_positive * pos, least) / max(neg, 1))
     key = pairs.withColumn("__k", F.concat_ws(":", "s1_id", "tgt_id"))
     return key.where((F.col("label") == 1) | (hashed("__k", seed) < share)).drop("__k")
 
 
-def class_weight(pairs: DataFrame) -> Column:
+def class_weight(pos: int, neg: int) -> Column:
     """Square root of negatives to positives on the positives."""
-    pos, neg = pairs.agg(F.sum(F.col("label")), F.sum(1 - F.col("label"))).first()
-    return F.when(F.col("label") == 1, float(((neg or 0) / max(pos or 0, 1)) ** 0.5)).otherwise(1.0)
+    return F.when(F.col("label") == 1, float((neg / max(pos, 1)) ** 0.5)).otherwise(1.0)
 
 
-def balanced(pairs: DataFrame) -> Column:
-    pos, neg = (x or 0 for x in pairs.agg(F.sum(F.col("label")), F.sum(1 - F.col("label"))).first())
-    return F.when(F.col("label") == 1, (pos + neg) / (2.0 * max(pos, 1))).otherwise((pos + neg) / (2.0 * max(neg, 1)))
+def balanced(pos: int, neg: int) -> tuple[Column, float]:
+    """Weights that make both classes count alike, and their sum."""
+    each = [(pos + neg) / (2.0 * max(n, 1)) for n in (pos, neg)]
+    return F.when(F.col("label") == 1, each[0]).otherwise(each[1]), each[0] * pos + each[1] * neg
 
 
 def assembler(features: list[str]) -> VectorAssembler:
@@ -70,16 +76,16 @@ def assembler(features: list[str]) -> VectorAssembler:
 
 def fit_logistic(pairs: DataFrame, features: list[str], c: float = 1.0, max_iter: int = 2000) -> PipelineModel:
     """Standardised, balanced, with a ridge of 1 / (C times the weight of all rows)."""
-    rows = pairs.withColumn("weight", balanced(pairs)).withColumn("label", F.col("label").cast("double"))
-    total = rows.agg(F.sum("weight")).first()[0] or 1.0
+    weight, total = balanced(*label_counts(pairs))
+    rows = pairs.withColumn("weight", weight).withColumn("label", F.col("label").cast("double"))
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    model = LogisticRegression(featuresCol="scaled", weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * total), standardization=False)
+    model = LogisticRegression(featuresCol="scaled", weightCol="weight", maxIter=max_iter, regParam=1.0 / (c * (total or 1.0)), standardization=False)
     return Pipeline(stages=[assembler(features), scale, model]).fit(rows)
 
 
 def fit_trees(pairs: DataFrame, features: list[str], rounds: int = 800, depth: int = 8, seed: int = 0) -> PipelineModel:
     """Boosted trees; a tenth of the pairs, by hash, says when to stop."""
-    rows = pairs.withColumn("weight", class_weight(pairs)).withColumn("label", F.col("label").cast("double"))
+    rows = pairs.withColumn("weight", class_weight(*label_counts(pairs))).withColumn("label", F.col("label").cast("double"))
     rows = rows.withColumn("__k", F.concat_ws(":", "s1_id", "tgt_id")).withColumn("held", hashed("__k", seed + 1) >= 0.9).drop("__k")
     model = GBTClassifier(
         maxIter=rounds, maxDepth=depth, stepSize=0.07, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3,
