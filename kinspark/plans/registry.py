@@ -355,6 +355,28 @@ def sim_partial(spark, sf_dir):
     return scored(spark, sf_dir, "nm_partial", "ad_partial")
 
 
+PARTIAL = (
+    """, ways AS (
+  SELECT DISTINCT CASE WHEN length(a_nm) <= length(b_nm) THEN a_nm ELSE b_nm END AS s, CASE WHEN length(a_nm) <= length(b_nm) THEN b_nm ELSE a_nm END AS l FROM pairs
+  UNION SELECT b_nm, a_nm FROM pairs WHERE length(a_nm) = length(b_nm)
+),
+cuts AS (SELECT s, l, i, substr(l, i::BIGINT, length(s)) AS b FROM (SELECT s, l, unnest(range(1, length(l) + 1)) AS i FROM ways WHERE s <> '')), """
+    + O.lcs("{}").replace("SELECT DISTINCT a AS a, b AS b FROM pairs", "SELECT DISTINCT s AS a, b FROM cuts").replace("line[-1] AS n", "line[-1] AS n, line")
+    + """, best AS (
+  SELECT c.s, c.l, max(greatest(2.0::DOUBLE * n / (length(c.s) + length(c.b)),
+    CASE WHEN i = 1 THEN list_max(list_transform(range(1, length(c.b) + 1), lambda j: 2.0::DOUBLE * line[j + 1] / (length(c.s) + j))) ELSE 0 END)) AS r
+  FROM cuts c JOIN lcs l ON c.s = l.a AND c.b = l.b GROUP BY c.s, c.l
+)
+SELECT s1_id, tgt_id, round(max(CASE WHEN a_nm = '' AND b_nm = '' THEN 1 WHEN a_nm = '' OR b_nm = '' THEN 0 ELSE r END), 6)::DOUBLE AS nm_partial
+FROM pairs p LEFT JOIN best x ON (x.s = a_nm AND x.l = b_nm) OR (x.s = b_nm AND x.l = a_nm) GROUP BY s1_id, tgt_id"""
+)
+
+
+@query(PARTIAL)
+def sim_partial_name(spark, sf_dir):
+    return scored(spark, sf_dir, "nm_partial")
+
+
 @query()
 def sim_wratio(spark, sf_dir):
     return scored(spark, sf_dir, "nm_wratio", "ad_wratio")
@@ -958,7 +980,7 @@ def views_roundtrip(spark, sf_dir):
 RETRIEVED = [
     "query_prefix", "query_weights", "retrieve_scores", "retrieve_topk",
     "pair_context", "pair_structural", "pair_numeric", "pair_rarity", "pair_labels", "pair_list_lengths",
-    "sim_ratio", "sim_ratio_native", "sim_token_sort", "sim_sorted", "sim_num", "sim_zip", "sim_token_set", "sim_jw", "sim_address",
+    "sim_ratio", "sim_ratio_native", "sim_token_sort", "sim_sorted", "sim_num", "sim_zip", "sim_token_set", "sim_jw", "sim_address", "sim_partial_name",
     "decide_threshold", "decide_rule", "best_probability", "decide_bijective", "threshold_sweep", "best_threshold",
     "assemble_matches", "assemble_candidates", "predict_lists", "variant_sweep", "metric_f05", "metric_summary",
     "block_coverage", "block_recall", "block_cand_dist", "block_reduction", "recall_at_k", "absent_rate",
