@@ -37,80 +37,104 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import id_and_text, stored, unused
 from .fmindex import FMIndex
-from .wordhash import NUMBERS, OTHERS, PRIME, mix, rolled, span_hashes, spans, word_hashes
+from .wordhash import NUMBERS, OTHERS, PRIME, mix, rolled, span_hashes, spans
 
 HOT = 50_000
 #: Segments in a shard, about.
 SHARD = 30_000
+#: Bytes of text gone through at once.
+SLICE = 1 << 20
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor of each segment."""
-    if len(hashes) < window:
+def segments(hashes: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor of each segment of texts whose words lie end to end, text k from ``at[k]`` on."""
+    count = len(hashes) - window + 1
+    if count < 1:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
     span = window - gram + 1
     low = np.uint64((1 << span.bit_length()) - 1)
-    # The low bits give way to the place, which tells runs of equal hashes apart; the anchor is the rest.
+    # The low bits give way to the place in the text, which tells runs of equal hashes apart; the anchor is the rest.
     least = rolled(hashes, gram)
-    least = (least & ~low) | (np.arange(len(least), dtype=np.uint64) & low)
+    place = (np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at)))[: len(least)]
+    least = (least & ~low) | (place.astype(np.uint64) & low)
     held = 1
     while held < span:
         step = min(held, span - held)
         least = np.minimum(least[:-step], least[step:])
         held += step
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(least)) + 1))
-    return starts, np.diff(np.append(starts, len(least))), least[starts] & ~low
+    # Windows that reach into the next text are none, and part segments.
+    inner = at[1:-1]
+    torn = np.zeros(count + 1, np.int32)
+    np.add.at(torn, np.clip(inner - window + 1, 0, count), 1)
+    np.add.at(torn, np.clip(inner, 0, count), -1)
+    torn = np.cumsum(torn[:-1]) > 0
+    fresh = np.append(True, least[1:] != least[:-1])
+    fresh[at[:-1][at[:-1] < count]] = True
+    edges = np.flatnonzero(fresh | torn)
+    sizes = np.append(edges[1:], count) - edges
+    whole = ~torn[edges]
+    starts = edges[whole]
+    return starts, sizes[whole], least[starts] & ~low
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """A row for each segment: doc_id, row_key, anchor and its first window."""
+    """A row for each segment: doc_id, anchor and its first window."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
-                found = [segments(x, window, gram) for x in word_hashes(batch.column("text"))]
-                ends = pa.array(np.cumsum([0, *(len(s) for s, _, _ in found)]), pa.int32())
-                flat = lambda k, t: np.concatenate([np.empty(0, t), *(x[k].astype(t) for x in found)])
+            for batch in slices(whole, "text", SLICE):
+                raw, firsts, ends, at = spans(batch.column("text"))
+                starts, _, found = segments(span_hashes(raw, firsts, ends, NUMBERS), at, window, gram)
+                row = np.searchsorted(at, starts, "right") - 1
+                lists = pa.array(np.searchsorted(starts, at), pa.int32())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id"),
-                        "row_key": batch.column("row_key"),
-                        "starts": pa.ListArray.from_arrays(ends, pa.array(flat(0, np.int32))),
-                        "anchors": pa.ListArray.from_arrays(ends, pa.array(flat(2, np.uint64).view(np.int64))),
+                        "starts": pa.ListArray.from_arrays(lists, pa.array((starts - at[row]).astype(np.int32))),
+                        "anchors": pa.ListArray.from_arrays(lists, pa.array(found.view(np.int64))),
                     }
                 )
 
-    found = docs.mapInArrow(run, f"doc_id {kind}, row_key long, starts array<int>, anchors array<long>")
-    return found.select("doc_id", "row_key", F.inline(F.arrays_zip("anchors", "starts"))).withColumnsRenamed({"anchors": "anchor", "starts": "start"})
+    found = docs.mapInArrow(run, f"doc_id {kind}, starts array<int>, anchors array<long>")
+    return found.select("doc_id", F.inline(F.arrays_zip("anchors", "starts"))).withColumnsRenamed({"anchors": "anchor", "starts": "start"})
 
 
 def keyed_segments(batch: pa.RecordBatch, window: int, gram: int) -> dict[str, np.ndarray]:
     """The chosen segments of all texts of a batch, hot ones window by window: row (of the batch), start (first window), n (windows),
-    anchor, two hashes as key, and the bytes from ``begin`` to ``end`` of all texts end to end (``raw``) that hold its words."""
+    anchor, two hashes as key, and the bytes from ``begin`` to ``end`` of all texts end to end (``raw``) that hold its words.
+
+    Rows that share a doc_id have the starts of all of them; those that begin no segment of a row's own are left out.
+    """
     raw, firsts, ends, at = spans(batch.column("text"))
     one, two = span_hashes(raw, firsts, ends, NUMBERS), span_hashes(raw, firsts, ends, OTHERS)
-    found: list[tuple[np.ndarray, ...]] = []
-    for row, (a, b, chosen, hot) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), batch.column("starts"), batch.column("hot"))):
-        starts, sizes, anchors = segments(one[a:b], window, gram)
-        own, hot = chosen.values.to_numpy(), hot.values.to_numpy(zero_copy_only=False)
-        order = np.argsort(own)
-        own, hot = own[order].astype(np.int64), hot[order]
-        place = np.searchsorted(starts, own)
-        times = np.where(hot, sizes[place], 1)
-        start = np.repeat(own, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        n = np.repeat(np.where(hot, 1, sizes[place]), times)
-        # A segment is shorter than two windows: its first and last window have all its words.
-        keys = []
-        for hashes in (one[a:b], two[a:b]):
-            whole = rolled(hashes, window)
-            keys.append(mix((whole[start] * PRIME + whole[start + n - 1]) * PRIME + n.astype(np.uint64)))
-        anchor = np.where(np.repeat(hot, times), keys[0], np.repeat(anchors[place], times))
-        found.append((np.full(len(start), row), start, n, anchor, *keys, firsts[a + start], ends[a + start + n + window - 2]))
-    names = ("row", "start", "n", "anchor", "one", "two", "begin", "end")
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64)
-    return {"raw": raw} | {name: np.concatenate([np.empty(0, kind), *(x[k] for x in found)]) for k, (name, kind) in enumerate(zip(names, kinds))}
+    starts, sizes, found = segments(one, at, window, gram)
+    lists = batch.column("starts")
+    times = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(times)), times)
+    start = at[row] + lists.flatten().to_numpy().astype(np.int64)
+    hot = batch.column("hot").flatten().to_numpy(zero_copy_only=False).astype(bool)
+    inside = start < at[row + 1]
+    row, start, hot = row[inside], start[inside], hot[inside]
+    order = np.argsort(start)
+    row, start, hot = row[order], start[order], hot[order]
+    place = np.searchsorted(starts, start)
+    own = place < len(starts)
+    own[own] = starts[place[own]] == start[own]
+    row, start, hot, place = row[own], start[own], hot[own], place[own]
+    times = np.where(hot, sizes[place], 1)
+    total = int(times.sum())
+    start = np.repeat(start, times) + np.arange(total) - np.repeat(np.cumsum(times) - times, times)
+    row, hot, place = (np.repeat(x, times) for x in (row, hot, place))
+    n = np.where(hot, 1, sizes[place])
+    out = {"raw": raw, "row": row, "start": start - at[row], "n": n}
+    # A segment is shorter than two windows: its first and last window have all its words.
+    for name, hashes in (("one", one), ("two", two)):
+        whole = rolled(hashes, window) if total else hashes
+        out[name] = mix((whole[start] * PRIME + whole[start + n - 1]) * PRIME + n.astype(np.uint64)) if total else np.empty(0, np.uint64)
+    out["anchor"] = np.where(hot, out["one"], found[place])
+    return out | {"begin": firsts[start], "end": ends[start + n + window - 2]}
 
 
 def to_shards(chosen: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
@@ -119,7 +143,7 @@ def to_shards(chosen: DataFrame, shards: int, window: int, gram: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", SLICE):
                 got = keyed_segments(batch, window, gram)
                 ids = batch.column("doc_id")
                 # Rows in order of doc_id: the least and the greatest of a segment are the first and last of its run.
@@ -191,7 +215,7 @@ def occurrences(chosen: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", SLICE):
                 got = keyed_segments(batch, window, gram)
                 ends = pa.array(np.searchsorted(got["row"], np.arange(batch.num_rows + 1)), pa.int32())
                 out = {"one": got["one"].view(np.int64), "two": got["two"].view(np.int64), "start": got["start"].astype(np.int32), "n": got["n"].astype(np.int32)}
@@ -221,9 +245,10 @@ def removals(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFr
     shared = each.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     # Written first: an anchor that very many segments have can then be split in the join.
     shared = stored(shared.where("lo < hi").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
-    marked = each.join(shared, "anchor").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "hot")).alias("s"))
-    marked = marked.select("doc_id", "row_key", F.col("s.start").alias("starts"), F.col("s.hot").alias("hot"))
-    chosen = stored(known.join(marked, ["doc_id", "row_key"]), "shared")
+    # By doc_id alone: rows that share one are few, and get each other's places, which does no harm.
+    marked = each.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("start", "hot")).alias("s"))
+    marked = marked.select("doc_id", F.col("s.start").alias("starts"), F.col("s.hot").alias("hot"))
+    chosen = stored(known.join(marked, "doc_id"), "shared")
     total = chosen.agg(F.sum(F.size("starts"))).first()[0] or 0
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = to_shards(chosen, int(total // SHARD) + 1, window, gram)

@@ -112,4 +112,4 @@ def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
         if left:
             block = block[: len(block) - width] * PRIME ** np.uint64(width) + block[width:]
             width *= 2
-    return mix(out + np.uint64(size) * PRIME ** np.uint64(size))
+    return mix(out + np.uint64(size * pow(int(PRIME), size, 1 << 64) % (1 << 64)))
