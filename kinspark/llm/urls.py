@@ -69,9 +69,10 @@ def mapped(url: Column) -> Column:
 
 
 def trigrams(df: DataFrame, *keep: str) -> DataFrame:
-    s = F.col("s")
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
-    return df.select(*keep, F.explode(grams).alias("g"))
+    # Letters first: a place in a string is counted from its beginning, one in an array is not.
+    letters = df.select(*keep, F.split("s", "").alias("letters"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("letters") - 3), lambda i: F.concat(F.get("letters", i), F.get("letters", i + 1), F.get("letters", i + 2)))
+    return letters.select(*keep, F.explode(grams).alias("g"))
 
 
 def held_back(url: Column) -> Column:
