@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -21,7 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``min`` is pre-aggregated before each shuffle, so a node with very many links is
     no hot spot there, and the joins have one row a key on one side, so a skewed
-    one can be split. Every round is written to the shared folder.
+    one can be split. Every round is written to the shared folder, and the round before it removed.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges, seen = written(edges)
@@ -31,7 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last = edges
         edges, now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         if now == seen:
             break
         seen = now

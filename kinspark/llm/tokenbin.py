@@ -151,8 +151,11 @@ def digests(docs: DataFrame, vocabulary: str, end: int = 2) -> DataFrame:
     back = read(spark, path)
     rows = back.select("part", "n", "doc_id", "before", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     rows = stored(rows, "token-rows")
-    # One row a file; files are bounded in size, so these are few beside the documents.
+    # Ids before each file: within its partition first, so that one task sees a row for each partition only.
     sums = rows.groupBy("part", "n").agg(F.sum("n_tokens").alias("total"))
-    sums = sums.select("part", "n", (F.sum("total").over(W.orderBy("part", "n")) - F.col("total")).alias("earlier"))
+    own = F.sum("total").over(W.partitionBy("part").orderBy("n")) - F.col("total")
+    parts = sums.groupBy("part").agg(F.sum("total").alias("whole"))
+    parts = parts.select("part", (F.sum("whole").over(W.orderBy("part")) - F.col("whole")).alias("ahead"))
+    sums = sums.select("part", "n", own.alias("own")).join(parts, "part").select("part", "n", (F.col("own") + F.col("ahead")).alias("earlier"))
     out = rows.join(sums, ["part", "n"])
     return out.select("doc_id", (F.col("earlier") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
