@@ -14,7 +14,7 @@ LEGAL = (
 
 # Abbreviations in names and the form each stands for.
 NAME_FORMS = {
-    "&": "and", "+": "and", "n": "and",
+    "n": "and",
     "intl": "international", "int": "international", "natl": "national",
     "assoc": "associates", "assocs": "associates", "asso": "associates",
     "assn": "association", "bros": "brothers", "bro": "brothers",
@@ -39,7 +39,7 @@ NAME_FORMS = {
     "prod": "products", "prods": "products", "product": "products",
     "sys": "systems", "system": "systems",
     "grp": "group", "ctr": "center", "centre": "center",
-    "co-op": "cooperative", "coop": "cooperative",
+    "coop": "cooperative",
 }
 
 # Abbreviations in addresses and the form each stands for.
@@ -54,15 +54,15 @@ ADDRESS_FORMS = {
     "n": "north", "s": "south", "e": "east", "w": "west",
     "ne": "northeast", "nw": "northwest", "se": "southeast", "sw": "southwest",
     "no": "number", "num": "number", "nos": "number", "opp": "opposite",
-    "mkt": "market", "gali": "gali", "galli": "gali",
+    "mkt": "market", "galli": "gali",
     "rly": "railway", "stn": "station", "jn": "junction", "ph": "phase",
     "sec": "sector", "ngr": "nagar", "col": "colony", "vill": "village",
     "po": "postoffice", "ps": "policestation", "dist": "district", "distt": "district",
     "teh": "tehsil", "tq": "taluk", "taluka": "taluk", "vpo": "village",
     "bh": "behind", "nr": "near", "flt": "flat", "gr": "ground", "grnd": "ground",
-    "r": "rue", "bd": "boulevard", "av_": "avenue", "pl_": "place",
+    "r": "rue", "bd": "boulevard",
     "imp": "impasse", "all": "allee", "che": "chemin", "rte": "route",
-    "sq_": "square", "res": "residence", "bat": "batiment", "app": "appartement",
-    "zi": "zoneindustrielle", "za": "zoneartisanale", "zac": "zac", "cs": "cs",
-    "bp": "boitepostale", "cedex": "cedex",
+    "res": "residence", "bat": "batiment", "app": "appartement",
+    "zi": "zoneindustrielle", "za": "zoneartisanale",
+    "bp": "boitepostale",
 }
