@@ -101,6 +101,14 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return found.select("doc_id", F.inline(F.arrays_zip("anchors", "starts"))).withColumnsRenamed({"anchors": "anchor", "starts": "start"})
 
 
+def key(hashes: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each segment's words. A segment is shorter than two windows: its first and last window have all of them."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    whole = rolled(hashes, window)
+    return mix((whole[start] * PRIME + whole[start + n - 1]) * PRIME + n.astype(np.uint64))
+
+
 def keyed_segments(batch: pa.RecordBatch, window: int, gram: int) -> dict[str, np.ndarray]:
     """The chosen segments of all texts of a batch, hot ones window by window: row (of the batch), start (first window), n (windows),
     anchor, two hashes as key, and the bytes from ``begin`` to ``end`` of all texts end to end (``raw``) that hold its words.
@@ -129,16 +137,13 @@ def keyed_segments(batch: pa.RecordBatch, window: int, gram: int) -> dict[str, n
     row, hot, place = (np.repeat(x, times) for x in (row, hot, place))
     n = np.where(hot, 1, sizes[place])
     out = {"raw": raw, "row": row, "start": start - at[row], "n": n}
-    # A segment is shorter than two windows: its first and last window have all its words.
-    for name, hashes in (("one", one), ("two", two)):
-        whole = rolled(hashes, window) if total else hashes
-        out[name] = mix((whole[start] * PRIME + whole[start + n - 1]) * PRIME + n.astype(np.uint64)) if total else np.empty(0, np.uint64)
+    out["one"], out["two"] = (key(hashes, start, n, window) for hashes in (one, two))
     out["anchor"] = np.where(hot, out["one"], found[place])
     return out | {"begin": firsts[start], "end": ends[start + n + window - 2]}
 
 
 def to_shards(chosen: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
-    """shard, key (one, two), segment, first (smallest doc_id) and last (largest), merged within each batch."""
+    """shard, segment, first (smallest doc_id) and last (largest), merged within each batch. A shard works out the keys anew: they would not get smaller on the way."""
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +163,13 @@ def to_shards(chosen: DataFrame, shards: int, window: int, gram: int) -> DataFra
                 yield pa.RecordBatch.from_pydict(
                     {
                         "shard": pa.array((mix(got["anchor"][first]) % np.uint64(shards)).astype(np.int32)),
-                        "one": pa.array(one[head].view(np.int64)),
-                        "two": pa.array(two[head].view(np.int64)),
                         "segment": pa.array([raw[a:b] for a, b in zip(got["begin"][first].tolist(), got["end"][first].tolist())], pa.binary()),
                         "first": ids.take(pa.array(got["row"][first])),
                         "last": ids.take(pa.array(got["row"][last])),
                     }
                 )
 
-    return chosen.mapInArrow(run, f"shard int, one long, two long, segment binary, first {kind}, last {kind}")
+    return chosen.mapInArrow(run, f"shard int, segment binary, first {kind}, last {kind}")
 
 
 def search_shard(table: pa.Table, window: int) -> pa.Table:
@@ -174,8 +177,10 @@ def search_shard(table: pa.Table, window: int) -> pa.Table:
 
     Segments that occur in one document and have no covered window are left out.
     """
-    merged = table.group_by(["one", "two"]).aggregate([("segment", "min"), ("first", "min"), ("last", "max")])
-    merged = merged.combine_chunks()
+    raw, starts, ends, at = spans(table.column("segment").combine_chunks().cast(pa.large_string()))
+    keys = {name: key(span_hashes(raw, starts, ends, numbers), at[:-1], np.diff(at) - window + 1, window).view(np.int64) for name, numbers in (("one", NUMBERS), ("two", OTHERS))}
+    rows = pa.table({"one": keys["one"], "two": keys["two"], "segment": table.column("segment"), "first": table.column("first"), "last": table.column("last")})
+    merged = rows.group_by(["one", "two"]).aggregate([("segment", "min"), ("first", "min"), ("last", "max")]).combine_chunks()
     first, last = merged.column("first_min").combine_chunks(), merged.column("last_max").combine_chunks()
     # Owners by order of doc_id.
     values = pc.unique(first)
