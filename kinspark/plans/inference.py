@@ -106,10 +106,9 @@ def train(spark: SparkSession, records: DataFrame, truth: DataFrame, params: Par
 
     known = T.stage(spark, root, f"pairs-{digest}", pairs)
     places = {name: f"{root}/{name}-{digest}" for name in ("logistic", "trees")}
-    if not T.exists(spark, places["trees"]):
-        rows = L.downsample(known.where("part = 'fit'"))
-        L.save(L.fit_logistic(rows, features, max_iter=max_iter), places["logistic"])
-        L.save(L.fit_trees(rows, features, rounds, depth), places["trees"])
+    rows = lambda: L.downsample(known.where("part = 'fit'"))
+    T.once(spark, places["logistic"], lambda: L.save(L.fit_logistic(rows(), features, max_iter=max_iter), places["logistic"]))
+    T.once(spark, places["trees"], lambda: L.save(L.fit_trees(rows(), features, rounds, depth), places["trees"]))
     judged = lambda: blended(known.where("part = 'val'").drop("part"), places)
     validation = T.stage(spark, root, f"validation-{digest}", judged)
     held = entities.where("part = 'val'").select("s1_id")

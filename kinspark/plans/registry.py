@@ -430,31 +430,40 @@ def neg_downsample(spark, sf_dir):
 
 
 def training(spark, sf_dir) -> DataFrame:
-    """Pairs of the fit part. Written once: every pass of a fit would score them again."""
-    pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), LIMITS.get())
-    pairs = pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in PR.FEATURES))
-    path = T.scratch(spark)
-    pairs.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(pairs.schema).parquet(path)
+    """Labelled pairs with all features. A stage: every pass of a fit would score them again."""
+
+    def make() -> DataFrame:
+        pairs = PR.build(views(spark, sf_dir), FX.truth(spark, sf_dir), LIMITS.get())
+        return pairs.select("s1_id", "src", "tgt_id", "label", *(F.col(f).cast("double").alias(f) for f in PR.FEATURES))
+
+    return T.stage(spark, T.shared_folder(spark), f"training-{model_key(spark, sf_dir)}", make)
+
+
+def model_key(spark, sf_dir) -> str:
+    return LIMITS.get().key(T.fingerprint(spark, f"{sf_dir}/documents.parquet"))
+
+
+def fitted(spark, sf_dir, name: str, fit):
+    """The model of that name for these pairs, fitted and saved where no other query has."""
+    path = f"{T.shared_folder(spark)}/{name}-{model_key(spark, sf_dir)}"
+    T.once(spark, path, lambda: L.save(fit(training(spark, sf_dir), list(PR.FEATURES)), path))
+    return L.load(path)
 
 
 @query()
 def model_lr(spark, sf_dir):
-    pairs = training(spark, sf_dir)
-    return L.probability(pairs, L.fit_logistic(pairs, list(PR.FEATURES)), "p_lr").select("s1_id", "tgt_id", "p_lr")
+    return L.probability(training(spark, sf_dir), fitted(spark, sf_dir, "logistic", L.fit_logistic), "p_lr").select("s1_id", "tgt_id", "p_lr")
 
 
 @query()
 def model_gbt(spark, sf_dir):
-    pairs = training(spark, sf_dir)
-    return L.probability(pairs, L.fit_trees(pairs, list(PR.FEATURES)), "p_gbt").select("s1_id", "tgt_id", "p_gbt")
+    return L.probability(training(spark, sf_dir), fitted(spark, sf_dir, "trees", L.fit_trees), "p_gbt").select("s1_id", "tgt_id", "p_gbt")
 
 
 @query()
 def model_blend(spark, sf_dir):
-    pairs = training(spark, sf_dir)
-    both = L.probability(pairs, L.fit_logistic(pairs, list(PR.FEATURES)), "p_lr")
-    both = L.probability(both, L.fit_trees(pairs, list(PR.FEATURES)), "p_gbt")
+    both = L.probability(training(spark, sf_dir), fitted(spark, sf_dir, "logistic", L.fit_logistic), "p_lr")
+    both = L.probability(both, fitted(spark, sf_dir, "trees", L.fit_trees), "p_gbt")
     return both.select("s1_id", "tgt_id", "label", L.blend(F.col("p_gbt"), F.col("p_lr")).alias("p"))
 
 

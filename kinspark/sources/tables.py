@@ -17,6 +17,7 @@ TRUTH = ("source1_entity_id", "matched_entity_ids")
 
 
 _OWN: list[str] = []
+_MADE: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -96,6 +97,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own)
 
 
+def once(spark: SparkSession, path: str, make) -> None:
+    """Calls ``make`` unless it has come to its end for this ``path`` before; an empty file beside it tells."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.done")
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        make()
+        fs.createNewFile(done)
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
     """``df``, written under ``path`` and read back."""
     df.write.option("compression", "zstd").parquet(path)
@@ -105,9 +115,10 @@ def kept(df: DataFrame, path: str) -> DataFrame:
 def stage(spark: SparkSession, path: str, key: str, make) -> DataFrame:
     """The table under ``path``/``key``, made and written first unless it is there in full. ``key`` digests all it depends on."""
     own = f"{path.rstrip('/')}/{key}"
-    # The committer leaves this file only after the last task.
-    if not exists(spark, f"{own}/_SUCCESS"):
+    # The committer leaves this file only after the last task. A stage of this process is not made again under a plan that reads it.
+    if not exists(spark, f"{own}/_SUCCESS") and not (own in _MADE and exists(spark, own)):
         make().write.mode("overwrite").option("compression", "zstd").parquet(own)
+        _MADE.add(own)
     return spark.read.parquet(own)
 
 
