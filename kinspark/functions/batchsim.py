@@ -12,8 +12,6 @@ from functools import cached_property, wraps
 
 import numpy as np
 
-from .similarity import of_lengths
-
 #: Pairs or stretches that go in step, and windows of them that are held at once: bounds of memory.
 STEP = 8192
 ONES = np.uint64((1 << 64) - 1)
@@ -22,7 +20,7 @@ POWERS = np.ldexp(1.0, np.arange(32))
 
 
 def percent(both: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """``of_lengths`` of arrays."""
+    """``similarity.of_lengths`` of arrays."""
     return np.where(total > 0, 200.0 * both / np.maximum(total, 1), 100.0)
 
 
@@ -372,6 +370,3 @@ def winkler(left: Strings, right: Strings, i: np.ndarray, j: np.ndarray) -> np.n
     out = np.empty(n)
     out[order] = score
     return out
-
-
-__all__ = ["jaro_winkler", "of_lengths", "partial_ratio", "ratio", "token_set_ratio", "token_sort_ratio", "weighted_ratio"]
