@@ -143,9 +143,13 @@ def false_negatives(pairs: DataFrame, truth: DataFrame, threshold: float, p: str
     )
 
 
-def examples(pairs: DataFrame, threshold: float, n: int, false_positive: bool, p: str = "p", more: tuple[str, ...] = ()) -> DataFrame:
-    """The n likeliest false positives, or the n unlikeliest missed pairs, with their strings and the columns ``more``."""
+def chosen(pairs: DataFrame, threshold: float, n: int, false_positive: bool, p: str = "p") -> DataFrame:
+    """The n likeliest false positives, or the n unlikeliest missed pairs."""
     yes = F.col(p) >= threshold
     rows = pairs.where(yes & (F.col("label") == 0)) if false_positive else pairs.where(~yes & (F.col("label") == 1))
-    order = F.desc(p) if false_positive else F.asc(p)
-    return rows.orderBy(order, "s1_id", "tgt_id").limit(n).select("s1_id", "tgt_id", "src", p, "score", "rank", "a_nm", "a_ad", "b_nm", "b_ad", *more)
+    return rows.orderBy(F.desc(p) if false_positive else F.asc(p), "s1_id", "tgt_id").limit(n)
+
+
+def examples(pairs: DataFrame, threshold: float, n: int, false_positive: bool, p: str = "p", more: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs of ``chosen`` with their strings and the columns ``more``."""
+    return chosen(pairs, threshold, n, false_positive, p).select("s1_id", "tgt_id", "src", p, "score", "rank", "a_nm", "a_ad", "b_nm", "b_ad", *more)

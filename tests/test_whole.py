@@ -99,3 +99,17 @@ def test_best_of_ties():
     places, rounded = shards.best(scores, 30)
     assert places.tolist() == [9_999, 7, *range(5_000, 5_028)] and set(rounded.tolist()) == {0.7, 0.5}
     assert shards.best(np.zeros(10_000), 30)[0].tolist() == []
+
+
+def test_examples_are_chosen_first(spark, small, entry_module):
+    """The same rows as from all pairs with all scores, with strings and scores of the chosen ones alone."""
+    from kinspark.operators import metrics
+    from kinspark.plans import registry
+
+    run = lambda df: [tuple(map(cell, r)) for r in df.collect()]
+    every = registry.whole(lambda s, d: metrics.examples(registry.featured(s, d), registry.TH, 20, True, more=metrics.SHOWN))
+    chosen = entry_module.queries()["err_examples_scored"](spark, small)
+    assert run(chosen) == run(every(spark, small)) and chosen.count() == 20
+    for name in ("err_examples_scored", "err_examples_fp_whole", "err_examples_fn_whole"):
+        plan = entry_module.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan[: plan.rindex("GlobalLimit")], name
