@@ -6,6 +6,7 @@ import pytest
 
 CUT = [
     "absent_rate_whole",
+    "assemble_matches_whole",
 ]
 
 
