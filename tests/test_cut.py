@@ -7,6 +7,7 @@ import pytest
 CUT = [
     "absent_rate_whole",
     "assemble_matches_whole",
+    "best_probability_whole",
 ]
 
 
