@@ -8,6 +8,7 @@ CUT = [
     "absent_rate_whole",
     "assemble_matches_whole",
     "best_probability_whole",
+    "best_threshold_whole",
 ]
 
 
