@@ -9,6 +9,7 @@ CUT = [
     "assemble_matches_whole",
     "best_probability_whole",
     "best_threshold_whole",
+    "block_cand_dist_whole",
 ]
 
 
