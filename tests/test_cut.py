@@ -10,6 +10,7 @@ CUT = [
     "best_probability_whole",
     "best_threshold_whole",
     "block_cand_dist_whole",
+    "block_recall_whole",
 ]
 
 
