@@ -11,6 +11,7 @@ CUT = [
     "best_threshold_whole",
     "block_cand_dist_whole",
     "block_recall_whole",
+    "block_reduction_whole",
 ]
 
 
