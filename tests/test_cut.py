@@ -12,6 +12,7 @@ CUT = [
     "block_cand_dist_whole",
     "block_recall_whole",
     "block_reduction_whole",
+    "err_confusion_whole",
 ]
 
 
