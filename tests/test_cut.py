@@ -13,6 +13,7 @@ CUT = [
     "block_recall_whole",
     "block_reduction_whole",
     "err_confusion_whole",
+    "err_feature_means_whole",
 ]
 
 
