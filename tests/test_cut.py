@@ -14,6 +14,7 @@ CUT = [
     "block_reduction_whole",
     "err_confusion_whole",
     "err_feature_means_whole",
+    "err_fn_split_whole",
 ]
 
 
