@@ -15,6 +15,7 @@ CUT = [
     "err_confusion_whole",
     "err_feature_means_whole",
     "err_fn_split_whole",
+    "err_fp_by_source_whole",
 ]
 
 
