@@ -16,6 +16,7 @@ CUT = [
     "err_feature_means_whole",
     "err_fn_split_whole",
     "err_fp_by_source_whole",
+    "err_rank_buckets_whole",
 ]
 
 
