@@ -17,6 +17,7 @@ CUT = [
     "err_fn_split_whole",
     "err_fp_by_source_whole",
     "err_rank_buckets_whole",
+    "pair_labels_whole",
 ]
 
 
