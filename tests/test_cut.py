@@ -18,6 +18,7 @@ CUT = [
     "err_fp_by_source_whole",
     "err_rank_buckets_whole",
     "pair_labels_whole",
+    "pair_numeric_whole",
 ]
 
 
