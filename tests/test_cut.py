@@ -19,6 +19,7 @@ CUT = [
     "err_rank_buckets_whole",
     "pair_labels_whole",
     "pair_numeric_whole",
+    "decide_bijective_whole",
 ]
 
 
