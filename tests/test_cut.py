@@ -20,6 +20,7 @@ CUT = [
     "pair_labels_whole",
     "pair_numeric_whole",
     "decide_bijective_whole",
+    "decide_threshold_whole",
 ]
 
 
