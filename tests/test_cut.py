@@ -21,6 +21,7 @@ CUT = [
     "pair_numeric_whole",
     "decide_bijective_whole",
     "decide_threshold_whole",
+    "err_entity_ok_whole",
 ]
 
 
