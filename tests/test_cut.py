@@ -22,6 +22,7 @@ CUT = [
     "decide_bijective_whole",
     "decide_threshold_whole",
     "err_entity_ok_whole",
+    "block_coverage_whole",
 ]
 
 
