@@ -23,6 +23,7 @@ CUT = [
     "decide_threshold_whole",
     "err_entity_ok_whole",
     "block_coverage_whole",
+    "pair_list_lengths_whole",
 ]
 
 
